@@ -1 +1,6 @@
+"""All registered queries."""
 
+from linkloom.catalog import extracting
+from linkloom.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "extracting"]

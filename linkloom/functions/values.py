@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def trimmed(value: Column) -> Column:
     return F.btrim(value, F.lit(fixed.WHITESPACE))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Names an intermediate value, so that it is written and evaluated once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def alternation(words: list[str]) -> str:
     """A pattern that matches any of the literal words."""
     special = set(r"\.[]{}()*+?^$|")
@@ -78,56 +85,57 @@ def domain(value: Column) -> Column:
     """Lower-case ASCII name without final dots; '' when it is not a domain."""
     plain = F.lower(F.rtrim(trimmed(value), F.lit(".")))
     # Internationalized names take the JVM's own IDNA conversion; plain names never reach it.
-    name = F.when(
-        plain.rlike(r"[^\x00-\x7F]"),
-        F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain),
-    ).otherwise(plain)
+    foreign = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain)
+    name = F.when(plain.rlike(r"[^\x00-\x7F]"), foreign).otherwise(plain)
     return F.when(name.rlike(fixed.DOMAIN_VALID), name).otherwise("")
 
 
-def _ipv6_groups(text: Column) -> Column:
-    """Eight lower-case groups without leading zeros."""
-    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    octets = F.transform(F.split(tail, r"\."), lambda o: o.cast("int"))
-    as_groups = F.concat(
-        F.hex(octets[0] * 256 + octets[1]), F.lit(":"), F.hex(octets[2] * 256 + octets[3])
-    )
-    plain = F.when(
-        tail != "", F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), as_groups)
-    ).otherwise(text)
-    halves = F.split(plain, "::")
-    left = F.filter(F.split(halves[0], ":"), lambda g: g != "")
-    right = F.when(
-        F.size(halves) > 1, F.filter(F.split(F.try_element_at(halves, F.lit(2)), ":"), lambda g: g != "")
-    ).otherwise(F.array().cast("array<string>"))
-    missing = F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))
-    groups = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
-    return F.transform(groups, lambda g: F.lower(F.regexp_replace(g, r"^0+(?=.)", "")))
-
-
 def ipv6(value: Column) -> Column:
     """Shortest form: the first of the longest runs of two or more zero groups becomes '::'."""
-    line = F.concat(F.lit(":"), F.array_join(_ipv6_groups(value), ":"), F.lit(":"))
-    forms = []
-    for zeros in range(8, 1, -1):
-        run = ":0" * zeros + ":"
-        at = F.instr(line, run)
-        head = F.substring(line, F.lit(2), F.greatest(at - 2, F.lit(0)))
-        rest = F.rtrim(F.substring(line, at + len(run), F.length(line)), F.lit(":"))
-        forms.append(F.when(at > 0, F.concat(head, F.lit("::"), rest)))
-    return F.coalesce(*forms, F.btrim(line, F.lit(":")))
+    dotted = r"(\d+)\.(\d+)\.(\d+)\.(\d+)$"
+
+    def undotted(text: Column) -> Column:
+        """A dotted tail as two groups."""
+        octet = [F.regexp_extract(text, dotted, i).cast("int") for i in range(1, 5)]
+        tail = F.concat(F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]))
+        return F.when(text.contains("."), F.concat(F.regexp_replace(text, dotted, ""), tail)).otherwise(text)
+
+    def filled(text: Column) -> Column:
+        """All eight groups as ':a:b:...:h:'."""
+        groups = F.size(F.filter(F.split(text, ":"), lambda g: g != ""))
+        whole = F.replace(text, F.lit("::"), F.concat(F.repeat(F.lit(":0"), F.lit(8) - groups), F.lit(":")))
+        parts = F.transform(
+            F.split(F.btrim(whole, F.lit(":")), ":"), lambda g: F.lower(F.regexp_replace(g, r"^0+(?=.)", ""))
+        )
+        return F.concat(F.lit(":"), F.array_join(parts, ":"), F.lit(":"))
+
+    def shortened(line: Column) -> Column:
+        runs = F.filter(
+            F.transform(F.sequence(F.lit(8), F.lit(2)), lambda n: F.concat(F.repeat(F.lit(":0"), n), F.lit(":"))),
+            lambda run: F.contains(line, run),
+        )
+
+        def cut(run: Column) -> Column:
+            at = F.instr(line, run)
+            head = F.substring(line, F.lit(2), F.greatest(at - 2, F.lit(0)))
+            rest = F.rtrim(F.substring(line, at + F.length(run), F.length(line)), F.lit(":"))
+            return F.concat(head, F.lit("::"), rest)
+
+        return F.coalesce(F.try_element_at(F.transform(F.slice(runs, 1, 1), cut), F.lit(1)), F.btrim(line, F.lit(":")))
+
+    return let(let(undotted(value), filled), shortened)
 
 
 def ip(value: Column) -> Column:
     """Canonical address; text that is no address is only lower-cased."""
+    numbers = r"^\d{1,9}(?:\.\d{1,9}){3}$"
+
+    def plain(text: Column) -> Column:
+        shown = F.regexp_replace(text, r"(^|\.)0+(?=\d)", "$1")
+        return F.when(text.rlike(numbers) & shown.rlike(IPV4_VALID), shown).otherwise(F.lower(text))
+
     text = trimmed(value)
-    octets = F.transform(F.split(text, r"\."), lambda o: o.try_cast("int"))
-    fits = text.rlike(r"^\d{1,9}(?:\.\d{1,9}){3}$") & F.forall(octets, lambda o: o <= 255)
-    return (
-        F.when(text.contains(":") & text.rlike(IPV6_VALID), ipv6(text))
-        .when(fits, F.array_join(F.transform(octets, lambda o: o.cast("string")), "."))
-        .otherwise(F.lower(text))
-    )
+    return F.when(text.contains(":") & text.rlike(IPV6_VALID), ipv6(text)).otherwise(let(text, plain))
 
 
 def email(value: Column) -> Column:
@@ -149,30 +157,37 @@ def url_host(value: Column) -> Column:
 
 def url(value: Column) -> Column:
     """Lower-case scheme and host, no default port, no user part, no slash at the end of the path."""
-    scheme = F.lower(F.regexp_extract(value, _URL, 1))
-    netloc = F.regexp_replace(F.regexp_extract(value, _URL, 2), r"^.*@", "")
-    host = F.lower(F.regexp_replace(F.regexp_replace(netloc, r":[^:\]]*$", ""), r"[\[\]]", ""))
-    port_text = F.regexp_extract(netloc, r":([^:\]]*)$", 1)
-    port = port_text.try_cast("int")
-    bad_port = (port_text != "") & (port.isNull() | ~port.between(0, 65535))
-    default = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443)) | (port == 0)
-    path = F.regexp_extract(value, _URL, 3)
-    # ';parameters' of the last path segment keep their place behind the shortened path
-    parameters = F.regexp_extract(path, r"^(?:.*/)?[^;/]*(;[^/]+)$", 1)
-    bare = F.rtrim(F.substring(path, F.lit(1), F.length(path) - F.length(parameters)), F.lit("/"))
-    query = F.regexp_extract(value, _URL, 4)
-    fragment = F.regexp_extract(value, _URL, 5)
-    built = F.concat(
-        scheme,
-        F.lit("://"),
-        host,
-        F.when(port.isNotNull() & ~default, F.concat(F.lit(":"), port.cast("string"))).otherwise(""),
-        bare,
-        parameters,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
-    return F.when(bad_port, F.lower(trimmed(value))).otherwise(built)
+    names = ["scheme", "netloc", "path", "query", "fragment"]
+    pieces = F.struct(*[F.regexp_extract(value, _URL, i + 1).alias(n) for i, n in enumerate(names)])
+
+    def with_port(u: Column) -> Column:
+        netloc = F.regexp_replace(u["netloc"], r"^.*@", "")
+        text = F.regexp_extract(netloc, r":([^:\]]*)$", 1)
+        return F.struct(
+            F.lower(u["scheme"]).alias("scheme"),
+            F.lower(F.regexp_replace(netloc, r":[^:\]]*$|[\[\]]", "")).alias("host"),
+            text.alias("port"),
+            # ';parameters' of the last path segment keep their place behind the shortened path
+            F.regexp_extract(u["path"], r"^(?:.*/)?[^;/]*(;[^/]+)$", 1).alias("parameters"),
+            u["path"].alias("path"),
+            F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise("").alias("query"),
+            F.when(u["fragment"] != "", F.concat(F.lit("#"), u["fragment"])).otherwise("").alias("fragment"),
+        )
+
+    def built(u: Column) -> Column:
+        number = u["port"].try_cast("int")
+        default = F.concat_ws(":", u["scheme"], number.cast("string")).isin("http:80", "https:443") | (number == 0)
+        path = F.substring(u["path"], F.lit(1), F.length(u["path"]) - F.length(u["parameters"]))
+        port = F.when(default | (u["port"] == ""), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+        return F.when(
+            (u["port"] == "") | number.between(0, 65535),
+            F.concat(
+                u["scheme"], F.lit("://"), u["host"], F.coalesce(port, F.lit("")), F.rtrim(path, F.lit("/")),
+                u["parameters"], u["query"], u["fragment"],
+            ),
+        )
+
+    return F.coalesce(let(let(pieces, with_port), built), F.lower(trimmed(value)))
 
 
 def standard_target(value: Column, kind: Column) -> Column:

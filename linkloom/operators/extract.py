@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from linkloom.functions import fixed, values
+from linkloom.functions.once import built_once
 from linkloom.operators.text import TEXT_CONFIDENCE, text_candidates
 
 MENTION = (
@@ -108,6 +109,10 @@ def _list(*items: Column, of: str) -> Column:
     )
 
 
+def _no_edges() -> Column:
+    return _list(of=EDGE)
+
+
 def _each(items: Column, build: Callable[[Column], Column], of: str) -> Column:
     return F.coalesce(F.transform(items, build).cast(f"array<{of}>"), F.array().cast(f"array<{of}>"))
 
@@ -137,7 +142,8 @@ def _text_mentions(text: Column) -> Column:
 
 
 # --- adapters ----------------------------------------------------------------------------------------------------
-# Every function returns (mentions, edges stated by the payload, edges that hold only between known entities).
+# Every function returns what builds (mentions, edges stated by the payload, edges that hold only between known
+# entities), so that only the wanted array is built.
 # ``p`` is the parsed payload; the columns _anchor, _anchor_type and _name describe the target, see _prepared().
 
 
@@ -187,7 +193,7 @@ def _dns(p: Column):
         _present(rname) & ~rname.contains("@") & rname.contains("."),
         F.concat(F.substring_index(rname, ".", 1), F.lit("@"), F.regexp_replace(rname, r"^[^.]*\.", "")),
     )
-    mentions = F.concat(
+    mentions = lambda: F.concat(
         _list(*_target_mentions(0.95), of=MENTION),
         _each(a, lambda v: _mention("IP", v, 0.9), MENTION),
         _each(aaaa, lambda v: _mention("IP", v, 0.9), MENTION),
@@ -203,7 +209,7 @@ def _dns(p: Column):
         ),
         _each(ptr, lambda v: _mention("Domain", v, 0.9), MENTION),
     )
-    edges = F.concat(
+    edges = lambda: F.concat(
         _list(_email_of_target(), of=EDGE),
         _each(a, _anchored("IP", "hosted_on", 0.9, "dns_a_record"), EDGE),
         _each(aaaa, _anchored("IP", "hosted_on", 0.9, "dns_aaaa_record"), EDGE),
@@ -216,7 +222,7 @@ def _dns(p: Column):
         ),
         _each(ptr, _anchored("Domain", "has_ptr", 0.9, "dns_ptr_record"), EDGE),
     )
-    links = F.concat(
+    links = lambda: F.concat(
         _each(a, _anchored("IP", "hosted_on", 0.95, "dns_a_record"), EDGE),
         _each(aaaa, _anchored("IP", "hosted_on", 0.95, "dns_aaaa_record"), EDGE),
         _each(ns, _anchored("Domain", "uses_nameserver", 0.95, "dns_ns_record"), EDGE),
@@ -263,7 +269,7 @@ def _whois(p: Column):
     servers = _name_servers(p)
     named = F.filter(servers, lambda s: s["name"].isNotNull())
     placed = F.filter(servers, lambda s: s["address"].isNotNull())
-    mentions = F.concat(
+    mentions = lambda: F.concat(
         _list(
             *_target_mentions(0.9, about),
             F.when(registrar.isNotNull(), _mention("Organization", registrar, 0.8)),
@@ -285,7 +291,7 @@ def _whois(p: Column):
             EDGE,
         )
 
-    edges = F.concat(
+    edges = lambda: F.concat(
         _list(
             _email_of_target(),
             F.when(
@@ -304,7 +310,7 @@ def _whois(p: Column):
             EDGE,
         ),
     )
-    links = F.concat(
+    links = lambda: F.concat(
         _list(
             F.when(mail.isNotNull(), _anchored("Email", "registered_by", 0.8, "whois_registrant_email")(mail)),
             F.when(
@@ -347,7 +353,7 @@ def _ct(p: Column, max_certs: int | None = 100):
     about = _properties(
         _ct_total_certs=F.size(every), _ct_processed_certs=F.size(certs), _ct_truncated=F.size(every) > F.size(certs)
     )
-    mentions = F.concat(
+    mentions = lambda: F.concat(
         _list(*_target_mentions(0.95, about), of=MENTION),
         F.flatten(
             F.transform(
@@ -407,7 +413,7 @@ def _ct(p: Column, max_certs: int | None = 100):
             )
         )
 
-    edges = F.concat(_list(_email_of_target(), of=EDGE), per_cert(0.9, lambda c: c["names"]))
+    edges = lambda: F.concat(_list(_email_of_target(), of=EDGE), per_cert(0.9, lambda c: c["names"]))
     links = per_cert(0.85, lambda c: F.filter(c["names"], lambda n: n["kind"] == "Subdomain"))
     return mentions, edges, links
 
@@ -432,11 +438,11 @@ def _header_mentions(headers: Column) -> Column:
 
 
 def _http(p: Column):
-    mentions = F.concat(
+    mentions = lambda: F.concat(
         F.coalesce(_header_mentions(p["headers"]), _list(of=MENTION)),
         F.coalesce(F.when(_present(p["title"]), _text_mentions(p["title"])), _list(of=MENTION)),
     )
-    links = F.concat(
+    links = lambda: F.concat(
         _each(
             p["technologies"],
             lambda t: _anchored("Technology", "uses_technology", 0.85, "http_tech_detection")(_field(t, "name")),
@@ -444,7 +450,7 @@ def _http(p: Column):
         ),
         _each(p["redirects"], lambda r: _anchored("URL", "links_to", 0.8, "http_redirect")(_field(r, "url")), EDGE),
     )
-    return mentions, _list(of=EDGE), links
+    return mentions, _no_edges, links
 
 
 def _github(p: Column):
@@ -482,7 +488,7 @@ def _github(p: Column):
         ),
         lambda r: _present(r["name"]),
     )
-    mentions = F.concat(
+    mentions = lambda: F.concat(
         _list(
             _mention(
                 "Username", login, 0.9, _properties(profile_url=F.concat(F.lit("https://github.com/"), login)), True
@@ -495,7 +501,7 @@ def _github(p: Column):
         _each(orgs, lambda o: _mention("Organization", o, 0.75, verbatim=True), MENTION),
         _each(repos, lambda r: _mention("Repository", r["name"], 0.85, _properties(profile_url=r["url"]), True), MENTION),
     )
-    links = F.concat(
+    links = lambda: F.concat(
         _list(
             F.when(
                 mail.isNotNull(),
@@ -511,7 +517,7 @@ def _github(p: Column):
             EDGE,
         ),
     )
-    return mentions, _list(of=EDGE), links
+    return mentions, _no_edges, links
 
 
 def _profile(kind: str, name_field: str):
@@ -558,7 +564,7 @@ def _profile(kind: str, name_field: str):
                     of=MENTION,
                 ),
             ]
-        return F.when(ok, F.concat(*parts)).otherwise(_list(of=MENTION)), _list(of=EDGE), _list(of=EDGE)
+        return lambda: F.when(ok, F.concat(*parts)), _no_edges, _no_edges
 
     return build
 
@@ -566,18 +572,18 @@ def _profile(kind: str, name_field: str):
 def _ip_asn(p: Column):
     number = values.asn(p["asn"])
     org = p["organization"]
-    mentions = _list(
+    mentions = lambda: _list(
         _mention("IP", F.col("target"), 0.9),
         F.when(number != "", _mention("ASN", number, 0.88)),
         F.when(_present(org), _mention("Organization", org, 0.8, verbatim=True)),
         of=MENTION,
     )
-    links = _list(
+    links = lambda: _list(
         F.when(number != "", _edge("IP", F.col("target"), "belongs_to_asn", "ASN", number, 0.9, "ip_to_asn")),
         F.when(_present(org), _edge("IP", F.col("target"), "operated_by", "Organization", org, 0.8, "ip_to_asn")),
         of=EDGE,
     )
-    return mentions, _list(of=EDGE), links
+    return mentions, _no_edges, links
 
 
 def _threat(p: Column):
@@ -588,7 +594,7 @@ def _threat(p: Column):
     link = F.when(~is_ip, F.concat(F.lit("https://"), F.col("_name")))
     abuse_key = F.concat(F.lit("abuse_score_"), score.cast("string"))
     urlhaus_key = F.concat(F.lit("urlhaus_"), threat)
-    mentions = _list(
+    mentions = lambda: _list(
         _mention(kind, F.col("target"), 0.85, _properties(profile_url=link)),
         F.when(
             score > 50,
@@ -617,18 +623,18 @@ def _threat(p: Column):
             _edge(kind, F.col("target"), "associated_with_threat", "ThreatIndicator", key, confidence, method),
         )
 
-    links = _list(
+    links = lambda: _list(
         indicates(score > 50, abuse_key, 0.85, "threat_intel_abuseipdb"),
         indicates(_present(threat), urlhaus_key, 0.8, "threat_intel_urlhaus"),
         of=EDGE,
     )
-    return mentions, _list(of=EDGE), links
+    return mentions, _no_edges, links
 
 
 def _search(p: Column):
     found = p["extracted_entities"]
     asked = F.coalesce(p["query"], F.col("target"))
-    mentions = F.concat(
+    mentions = lambda: F.concat(
         _each(
             found["domains"],
             lambda d: _mention(
@@ -653,7 +659,7 @@ def _search(p: Column):
             of=MENTION,
         ),
     )
-    return mentions, _list(of=EDGE), _list(of=EDGE)
+    return mentions, _no_edges, _no_edges
 
 
 def _account(p: Column):
@@ -671,7 +677,7 @@ def _account(p: Column):
     )
     short = _properties(platform=platform, profile_url=link, title=seen["title"])
     site = _properties(platform=platform, title=seen["title"], domain=seen["domain"])
-    mentions = _list(
+    mentions = lambda: _list(
         _mention("Username", name, trust, about, True),
         F.when(platform.isin(fixed.PROFESSIONAL_PLATFORMS), _mention("Person", name, trust, short, True)),
         F.when(personal, _mention("URL", link, F.coalesce(p["confidence"], F.lit(0.75)), site, True)),
@@ -681,7 +687,7 @@ def _account(p: Column):
         ),
         of=MENTION,
     )
-    edges = _list(
+    edges = lambda: _list(
         F.when(
             _present(link) & ~F.coalesce(personal, F.lit(False)),
             _edge("Username", name, "has_account_on", "URL", link, trust, "username_probe", True),
@@ -689,14 +695,10 @@ def _account(p: Column):
         of=EDGE,
     )
     ok = F.coalesce(p["found"], F.lit(False))
-    return (
-        F.when(ok, mentions).otherwise(_list(of=MENTION)),
-        F.when(ok, edges).otherwise(_list(of=EDGE)),
-        _list(of=EDGE),
-    )
+    return lambda: F.when(ok, mentions()), lambda: F.when(ok, edges()), _no_edges
 
 
-ADAPTERS: dict[str, Callable[[Column], tuple[Column, Column, Column]]] = {
+ADAPTERS: dict[str, Callable[[Column], tuple[Callable[[], Column], ...]]] = {
     "dns": _dns,
     "whois": _whois,
     "certificate_transparency": _ct,
@@ -726,10 +728,10 @@ def _prepared(obs: DataFrame) -> DataFrame:
     host = F.when(F.col("_is_email"), values.trimmed(F.substring_index(target, "@", -1))).otherwise(target)
     is_ip = (F.col("source_adapter") == "dns") & (values.is_ipv4(F.col("_anchor")) | values.is_ipv6(F.col("_anchor")))
     return (
-        kept.withColumn("_is_email", values.target_type(target) == "email")
+        kept.withColumn("_is_email", _target_kind("target") == "email")
         .withColumn("_anchor", host)
         .withColumn("_anchor_type", F.when(is_ip, "IP").otherwise("Domain"))
-        .withColumn("_name", values.domain(F.col("_anchor")))
+        .withColumn("_name", _domain_of("_anchor"))
     )
 
 
@@ -737,22 +739,48 @@ def _parsed(adapter: str) -> Column:
     return F.from_json(F.col("raw_response"), PAYLOADS[adapter])
 
 
+@built_once
+def _array(which: str, adapter: str, max_certs: int | None) -> Column:
+    """The array that one adapter builds; null where the target is unusable."""
+    position, kind = _OUTPUT[which]
+    payload = F.col(f"_{adapter}")
+    parts = _ct(payload, max_certs) if adapter == "certificate_transparency" else ADAPTERS[adapter](payload)
+    array = parts[position]()
+    if adapter in _NEED_ANCHOR:
+        array = F.when((F.col("_name") != "") | (F.col("_anchor_type") == "IP"), array)
+    return array.cast(f"array<{kind}>")
+
+
 def _arrays(which: str, adapters: list[str], max_certs: int | None) -> Column:
     """One array per row, built by the adapter the row belongs to."""
-    position, kind = _OUTPUT[which]
     source = F.col("source_adapter")
-    chosen = None
-    for name in adapters:
-        payload = F.col(f"_{name}")
-        parts = _ct(payload, max_certs) if name == "certificate_transparency" else ADAPTERS[name](payload)
-        array = parts[position]
-        if name in _NEED_ANCHOR:
-            array = F.when((F.col("_name") != "") | (F.col("_anchor_type") == "IP"), array)
-        array = array.cast(f"array<{kind}>")
-        chosen = F.when(source == name, array) if chosen is None else chosen.when(source == name, array)
+    chosen = F.when(source == adapters[0], _array(which, adapters[0], max_certs))
+    for name in adapters[1:]:
+        chosen = chosen.when(source == name, _array(which, name, max_certs))
     return chosen
 
 
+@built_once
+def _scanned(col: str) -> Column:
+    return _text_mentions(F.col(col)).cast(f"array<{MENTION}>")
+
+
+@built_once
+def _standard(kind: str, raw: str, verbatim: str) -> Column:
+    """The value of a mention or an end of an edge."""
+    return F.when(F.col(verbatim), F.col(raw)).otherwise(values.entity_value(F.col(kind), F.col(raw)))
+
+
+@built_once
+def _target_kind(col: str) -> Column:
+    return values.target_type(F.col(col))
+
+
+@built_once
+def _domain_of(col: str) -> Column:
+    return values.domain(F.col(col))
+
+
 def _rows(obs: DataFrame, which: str, adapters: list[str], generic: bool, max_certs: int | None) -> DataFrame:
     rows = _prepared(obs)
     if not generic:
@@ -763,7 +791,7 @@ def _rows(obs: DataFrame, which: str, adapters: list[str], generic: bool, max_ce
     array = _arrays(which, adapters, max_certs)
     if which == "mentions":
         if generic:
-            array = array.otherwise(_text_mentions(F.col("raw_response")).cast(f"array<{kind}>"))
+            array = array.otherwise(_scanned("raw_response"))
         lost = F.col("source_adapter").isin(_NEED_ANCHOR) & (F.col("_name") == "")
         target_email = F.when(
             F.col("_is_email") & (~F.col("source_adapter").isin(_NEED_ANCHOR) | lost),
@@ -782,9 +810,7 @@ def _rows(obs: DataFrame, which: str, adapters: list[str], generic: bool, max_ce
 def _mentions(obs: DataFrame, adapters: list[str], generic: bool, max_certs: int | None = 100) -> DataFrame:
     keys = ["investigation_id", "observation_id", "source", "seen_at"]
     raw = _rows(obs, "mentions", adapters, generic, max_certs).withColumnRenamed("id", "stated_id")
-    valued = raw.withColumn(
-        "value", F.when(F.col("verbatim"), F.col("raw")).otherwise(values.entity_value(F.col("type"), F.col("raw")))
-    ).where(F.col("value") != "")
+    valued = raw.withColumn("value", _standard("type", "raw", "verbatim")).where(F.col("value") != "")
     known = F.when(F.col("source").isin(list(ADAPTERS)), F.col("source")).otherwise("generic")
     return valued.select(
         *[known.alias("source") if k == "source" else F.col(k) for k in keys],
@@ -799,11 +825,9 @@ def _mentions(obs: DataFrame, adapters: list[str], generic: bool, max_certs: int
 def _edges(obs: DataFrame, which: str, adapters: list[str], max_certs: int | None = 100) -> DataFrame:
     raw = _rows(obs, which, adapters, False, max_certs)
 
-    def end(side: str) -> Column:
-        kind, text = F.col(f"{side}_type"), F.col(f"{side}_raw")
-        return F.when(F.col("verbatim"), text).otherwise(values.entity_value(kind, text))
-
-    ends = raw.withColumn("_src", end("src")).withColumn("_tgt", end("tgt"))
+    ends = raw.withColumn("_src", _standard("src_type", "src_raw", "verbatim")).withColumn(
+        "_tgt", _standard("tgt_type", "tgt_raw", "verbatim")
+    )
     ends = ends.where((F.col("_src") != "") & (F.col("_tgt") != ""))
     ids = ends.withColumn("source_id", values.entity_id(F.col("src_type"), F.col("_src"))).withColumn(
         "target_id", values.entity_id(F.col("tgt_type"), F.col("_tgt"))

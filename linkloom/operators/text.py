@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import fixed, values
+from linkloom.functions.once import built_once
 
 TEXT_CONFIDENCE = 0.85
 
@@ -61,6 +62,11 @@ def text_candidates(text: Column, exclude_email_domains: bool = False) -> Column
     )
 
 
+@built_once
+def _candidates_in(col: str, exclude_email_domains: bool) -> Column:
+    return text_candidates(F.col(col), exclude_email_domains)
+
+
 def extract_from_text(
     df: DataFrame, text_col: str, id_cols: list[str], exclude_email_domains: bool = False
 ) -> DataFrame:
@@ -68,7 +74,7 @@ def extract_from_text(
 
     One narrow pass without a shuffle: whatever repeats inside a text is removed before its rows leave the task.
     """
-    found = df.select(*id_cols, F.inline(text_candidates(F.col(text_col), exclude_email_domains)))
+    found = df.select(*id_cols, F.inline(_candidates_in(text_col, exclude_email_domains)))
     return found.select(
         *id_cols,
         values.entity_id(F.col("type"), F.col("value")).alias("id"),

@@ -14,6 +14,8 @@ JOB_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Large column expressions are built from Python; call-site capture would triple the time that takes.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
