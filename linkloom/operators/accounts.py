@@ -281,9 +281,8 @@ def handle_variants(handle: Column, limit: int = fixed.MAX_HANDLE_VARIANTS) -> C
         F.flatten(
             F.transform(
                 F.sequence(F.lit(0), F.size(parts) - 1),
-                lambda k: F.transform(
-                    F.array(*[F.lit(s) for s in fixed.HANDLE_SEPARATORS[:2]]),
-                    lambda sep: F.array_join(F.filter(parts, lambda p, i: i != k), sep),
+                lambda k: F.array(
+                    *[F.array_join(F.filter(parts, lambda p, i: i != k), s) for s in fixed.HANDLE_SEPARATORS[:2]]
                 ),
             )
         ),

@@ -414,7 +414,7 @@ def _ct(p: Column, max_certs: int | None = 100):
         )
 
     edges = lambda: F.concat(_list(_email_of_target(), of=EDGE), per_cert(0.9, lambda c: c["names"]))
-    links = per_cert(0.85, lambda c: F.filter(c["names"], lambda n: n["kind"] == "Subdomain"))
+    links = lambda: per_cert(0.85, lambda c: F.filter(c["names"], lambda n: n["kind"] == "Subdomain"))
     return mentions, edges, links
 
 

@@ -12,9 +12,12 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from linkloom.functions import values
+from linkloom.session import cut_lineage
 
 FUZZY_TYPES = ["Organization", "Person", "Username"]
 SIMILARITY = 0.85
@@ -24,13 +27,14 @@ UUID = r"^(?i)(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4
 
 def _merged_properties(rows: DataFrame, keys: list[str], order: list[Column], fill_empty: bool) -> DataFrame:
     """Per key columns, the first value of every property."""
-    pairs = rows.select(*keys, *[o.alias(f"_o{i}") for i, o in enumerate(order)], F.explode("properties"))
+    named = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    pairs = rows.select(*keys, *named, F.explode("properties").alias("_k", "_v"))
     if fill_empty:
-        pairs = pairs.where(F.col("value") != "")
-    rank = F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("value"))
-    first = pairs.groupBy(*keys, "key").agg(F.min_by("value", rank).alias("value"))
+        pairs = pairs.where(F.col("_v") != "")
+    rank = F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("_v"))
+    first = pairs.groupBy(*keys, "_k").agg(F.min_by("_v", rank).alias("_v"))
     return first.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("properties")
     )
 
 
@@ -214,7 +218,7 @@ def co_occurrences(memberships: DataFrame, block_size: int = BLOCK_SIZE) -> Data
 # --- similar names -----------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
@@ -343,9 +347,7 @@ def dedupe_within(obs: DataFrame, keys: list[str], time_col: str, ttl_seconds: i
     row, so all windows are per key and slot, and following the pointers by doubling takes log2(slots) rounds: a key
     that holds a third of all rows never lands in one task.
     """
-    from linkloom.session import cut_lineage
-
-    micros = F.unix_micros(F.col(time_col))
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
     span = ttl_seconds * 1_000_000
     # rows with the same key and time: the lowest id stands for all of them
     first = (
@@ -354,8 +356,6 @@ def dedupe_within(obs: DataFrame, keys: list[str], time_col: str, ttl_seconds: i
         .withColumn("_slot", F.floor(F.col("_t") / span))
     )
     slots = first.groupBy(*keys, "_slot").agg(F.min("_t").alias("_first"))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy(*keys).orderBy("_slot")
     later = slots.withColumn("_next_slot", F.lead("_slot").over(order)).withColumn(
         "_next_first", F.lead("_first").over(order)

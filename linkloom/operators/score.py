@@ -39,7 +39,7 @@ def corroboration(distinct: Column) -> Column:
 
 
 def recency(seen: Column, as_of: Column) -> Column:
-    days = (F.unix_micros(as_of) - F.unix_micros(seen)) / F.lit(86_400_000_000)
+    days = (F.unix_micros(as_of) - F.unix_micros(seen.cast("timestamp"))) / F.lit(86_400_000_000)
     factor = F.when(seen.isNull(), fixed.RECENCY_UNKNOWN)
     for limit, value in fixed.RECENCY_STEPS:
         factor = factor.when(days <= limit, value)
