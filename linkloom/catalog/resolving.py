@@ -379,7 +379,7 @@ def _age(col: str) -> str:
         WHEN {days} <= 180 THEN 0.85 WHEN {days} <= 365 THEN 0.80 ELSE 0.75 END"""
 
 
-_SCORE_SQL = f"""scored AS (SELECT investigation_id, id, least(1.0, 0.75
+_SCORE_SQL = f"""scored AS (SELECT investigation_id, id, least(1.0::DOUBLE, 0.75::DOUBLE
     * least(1.0, 0.7 + CASE WHEN source_count >= 3 THEN 0.15 WHEN source_count = 2 THEN 0.1 ELSE 0.05 END
       + CASE WHEN evidence_count >= 2 THEN 0.1 ELSE 0.05 END + least(0.05, 0.01 * coalesce(np, 0)))
     * CASE WHEN source_count >= 3 THEN 1.15 WHEN source_count = 2 THEN 1.08 ELSE 1.0 END
@@ -417,7 +417,7 @@ def _(spark, d):
 
 
 _RELS_SQL = """edges AS (SELECT investigation_id, 'user:' || investigation_id AS source_id, id AS target_id,
-    count(DISTINCT observation_id) AS n, min(seen_at) AS at,
+    count(DISTINCT observation_id) AS n, min(seen_at) AS since,
     arg_min(CASE WHEN event_id % 2 = 0 THEN 'dns_a_record' ELSE 'other' END, (seen_at, observation_id)) AS method
     FROM men GROUP BY ALL)"""
 
@@ -441,9 +441,9 @@ def _event_edges(spark, d, to_self=False):
 
 @query(
     "c2_scored_relationships",
-    f"""{_E}, {_RELS_SQL} SELECT investigation_id, target_id, round(least(1.0,
-      CASE method WHEN 'dns_a_record' THEN 0.95 ELSE 0.75 END
-      * CASE WHEN n >= 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * {_age('at')}), 8) AS confidence FROM edges""",
+    f"""{_E}, {_RELS_SQL} SELECT investigation_id, target_id, round(least(1.0::DOUBLE,
+      CASE method WHEN 'dns_a_record' THEN 0.95::DOUBLE ELSE 0.75 END
+      * CASE WHEN n >= 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * {_age('since')}), 8) AS confidence FROM edges""",
 )
 def _(spark, d):
     scored = score.score_relationships(_event_edges(spark, d), event_entities(spark, d), AS_OF)
@@ -452,10 +452,10 @@ def _(spark, d):
 
 @query(
     "c3_scored_graph",
-    f"""{_SCORED}, {_RELS_SQL} SELECT e.investigation_id, target_id, round(least(1.0,
-      CASE method WHEN 'dns_a_record' THEN 0.95 ELSE 0.75 END
+    f"""{_SCORED}, {_RELS_SQL} SELECT e.investigation_id, target_id, round(least(1.0::DOUBLE,
+      CASE method WHEN 'dns_a_record' THEN 0.95::DOUBLE ELSE 0.75 END
       * CASE WHEN n >= 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * (0.8 + 0.2 * s.confidence)
-      * {_age('at')}), 8) AS confidence FROM edges e JOIN scored s
+      * {_age('since')}), 8) AS confidence FROM edges e JOIN scored s
       ON s.investigation_id = e.investigation_id AND s.id = e.target_id""",
 )
 def _(spark, d):
@@ -665,8 +665,8 @@ def _refs(spark, d):
 @query(
     "j4_valid_references",
     """WITH r AS (SELECT o_orderkey, unnest([o_custkey, o_orderkey % 3000, o_orderkey % 7]) AS ref,
-        unnest([1, 2, 3]) AS at FROM orders)
-    SELECT o_orderkey, coalesce(string_agg(CASE WHEN c_custkey IS NOT NULL THEN '' || ref END, ',' ORDER BY at), '') AS refs,
+        unnest([1, 2, 3]) AS pos FROM orders)
+    SELECT o_orderkey, coalesce(string_agg(CASE WHEN c_custkey IS NOT NULL THEN '' || ref END, ',' ORDER BY pos), '') AS refs,
       count(*) - count(c_custkey) AS unknown_count FROM r LEFT JOIN customer ON ref = c_custkey GROUP BY o_orderkey""",
 )
 def _(spark, d):
