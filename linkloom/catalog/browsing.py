@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from linkloom.catalog.derive import (
     graph,
     observations,
 )
-from linkloom.catalog.extracting import text_scan_sql
+from linkloom.catalog.extracting import mentions_sql, text_scan_sql
 from linkloom.catalog.registry import query, table
 from linkloom.catalog.resolving import _RELS_SQL, _event_edges, event_entities
 from linkloom.operators import browse, candidates, graph as graphs, link, pages, report, resolve
@@ -79,8 +79,8 @@ def _(spark, d):
         c_custkey % 5 = 0 AS negative, c_custkey % 7 = 0 AS named FROM customer),
       ok AS (SELECT * FROM h WHERE NOT negative AND c_custkey % 4 <> 3)
     SELECT username, platform_key, count(*) AS matches, min(url) AS best_url,
-      round((CASE platform_key WHEN 'x_twitter' THEN 0.55 ELSE 0.5 END + CASE WHEN count(*) > 1 THEN 0.05 ELSE 0 END
-        + CASE WHEN bool_or(named) THEN 0.03 ELSE 0 END)::DOUBLE, 6) AS confidence FROM ok GROUP BY ALL""",
+      round((CASE any_value(platform_key) WHEN 'x_twitter' THEN 0.55 ELSE 0.5 END + CASE WHEN count(*) > 1 THEN 0.05 ELSE 0 END
+        + CASE WHEN bool_or(named) THEN 0.03 ELSE 0 END)::DOUBLE, 6) AS confidence FROM ok GROUP BY username, platform_key""",
 )
 def _(spark, d):
     rows = table(spark, d, "customer").selectExpr(
@@ -495,25 +495,25 @@ def _(spark, d):
 @query(
     "q7_notes",
     f"""{_E} SELECT 'n' || id AS id, 'note ' || id AS content, created_at FROM act
-    WHERE event_type = 'investigation_stopped' AND investigation_id = 'inv-7'""",
+    WHERE event_type = 'investigation_stopped'""",
 )
 def _(spark, d):
-    return browse.list_notes(_model(spark, d)["notes"], "inv-7").select("id", "content", "created_at")
+    return browse.list_notes(_model(spark, d)["notes"]).select("id", "content", "created_at")
 
 
 @query(
     "q7_upserted_notes",
     f"""{_E}, n AS (SELECT id, 'n' || id AS nid, created_at FROM act WHERE event_type = 'investigation_stopped')
-    SELECT nid AS id, CASE WHEN id % 2 = 0 THEN 'new ' || id ELSE 'note ' || id END AS content, created_at FROM n
-    WHERE id % 5 <> 0""",
+    SELECT nid AS id, CASE WHEN created_at < TIMESTAMP '2024-01-15' THEN 'new ' || id ELSE 'note ' || id END AS content,
+      created_at FROM n WHERE created_at >= TIMESTAMP '2024-01-04'""",
 )
 def _(spark, d):
     notes = _model(spark, d)["notes"]
-    k = F.col("id").substr(F.lit(2), F.lit(20)).cast("bigint")
-    changed = notes.where(k % 2 == 0).withColumns(
+    at = F.col("created_at")
+    changed = notes.where(at < "2024-01-15").withColumns(
         {"content": F.replace("content", F.lit("note"), F.lit("new")), "created_at": F.lit(AS_OF).cast("timestamp_ntz")}
     )
-    return tables.upsert_notes(notes, changed, notes.where(k % 5 == 0)).select("id", "content", "created_at")
+    return tables.upsert_notes(notes, changed, notes.where(at < "2024-01-04")).select("id", "content", "created_at")
 
 
 @query(
@@ -735,11 +735,11 @@ def _(spark, d):
 
 @query(
     "g1_subgraph_edges",
-    f"""WITH {GRAPH_SQL}, page AS (SELECT id FROM ent ORDER BY id LIMIT 40 OFFSET 5)
+    f"""WITH {GRAPH_SQL}, page AS (SELECT id FROM ent ORDER BY id LIMIT 60 OFFSET 5)
     SELECT source_id, target_id FROM rel WHERE source_id IN (SELECT id FROM page) AND target_id IN (SELECT id FROM page)""",
 )
 def _(spark, d):
-    _nodes, edges = graphs.subgraph(*graph(spark, d), limit=40, offset=5)
+    _nodes, edges = graphs.subgraph(*graph(spark, d), limit=60, offset=5)
     return edges.select("source_id", "target_id")
 
 
@@ -871,10 +871,9 @@ def _(spark, d):
     f"""{_E} SELECT source_adapter, status, count(*) AS n FROM obs GROUP BY ALL""",
 )
 def _(spark, d):
-    from linkloom.session import checkpoint_dir
     from linkloom.sources.observations import read_observations
 
-    path = tempfile.mkdtemp(prefix="obs-", dir=checkpoint_dir(spark).removeprefix("file:"))
+    path = _folder(spark, "observations")
     event_observations(spark, d).withColumns(
         {c: F.col(c).cast("timestamp") for c in ("collected_at", "created_at")}
     ).write.mode("overwrite").json(path)
@@ -976,24 +975,23 @@ def _(spark, d):
 
 @query(
     "s7_new_provenance",
-    f"""{_E} SELECT id AS entity_id, observation_id FROM men WHERE event_id % 4 <> 0""",
+    f"""{_E} SELECT id AS entity_id, observation_id FROM men WHERE source <> 'view'""",
 )
 def _(spark, d):
     found = resolve.entity_provenance(event_mentions(spark, d), uuid_only=False)
-    k = F.col("observation_id").substr(F.lit(2), F.lit(20)).cast("bigint")
-    return tables.new_provenance(found, found.where(k % 4 == 0)).select("entity_id", "observation_id")
+    return tables.new_provenance(found, found.where("entity_id LIKE 'ip:%'")).select("entity_id", "observation_id")
 
 
 @query(
     "s9_after_delete",
-    f"""{_E}, gone AS (SELECT id FROM inv WHERE CAST(id[5:] AS INTEGER) % 4 = 1 AND status <> 'running')
+    f"""{_E}, gone AS (SELECT id FROM inv WHERE depth = 'standard' AND status <> 'running')
     SELECT 'investigations' AS name, count(*) AS n FROM inv WHERE id NOT IN (SELECT id FROM gone)
     UNION ALL SELECT 'entities', count(*) FROM ents WHERE investigation_id NOT IN (SELECT id FROM gone)
     UNION ALL SELECT 'observations', count(*) FROM obs WHERE investigation_id NOT IN (SELECT id FROM gone)""",
 )
 def _(spark, d):
     m = _model(spark, d)
-    wanted = m["investigations"].where(F.col("id").substr(F.lit(5), F.lit(20)).cast("int") % 4 == 1)
+    wanted = m["investigations"].where(F.col("depth") == "standard")
     left = tables.delete_investigation({k: m[k] for k in ("investigations", "entities", "observations")}, wanted)
     out = None
     for name, rows in left.items():
@@ -1024,7 +1022,7 @@ def _(spark, d):
     return ents.select("id", "confidence").unionByName(rels.select("id", "confidence"))
 
 
-# --- batch twins of the streams ----------------------------------------------------------------------------------
+# --- streams, and their batch twins ----------------------------------------------------------------------------------
 
 
 @query(
@@ -1082,3 +1080,34 @@ def _(spark, d):
     obs = observations(spark, d, "dns", "whois", "ip_to_asn", "github", "reddit")
     found = correlate(obs, AS_OF, fuzzy=False, co_occurrence=False)
     return found["entities"].select("investigation_id", "id", F.round("confidence", 8).alias("confidence"))
+
+
+def _folder(spark, name):
+    from linkloom.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("x1_streamed_activity", f"{_E} SELECT id, investigation_id, event_type, details, created_at FROM act")
+def _(spark, d):
+    source, out = _folder(spark, "activity"), _folder(spark, "feed")
+    rows = event_activity(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    rows.write.mode("overwrite").parquet(source)
+    feed = jobs.stream_activity(spark, source)
+    run = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(feed.schema).parquet(out)
+
+
+@query(
+    "x2_streamed_correlation",
+    f"""SELECT investigation_id, id, count(DISTINCT source) AS source_count,
+      count(DISTINCT observation_id) AS evidence_count FROM ({mentions_sql('dns', 'threat_intel')}) GROUP BY ALL""",
+)
+def _(spark, d):
+    source, out = _folder(spark, "observations"), _folder(spark, "tables")
+    observations(spark, d, "dns", "threat_intel").write.mode("overwrite").parquet(source)
+    stream = jobs.stream_observations(spark, source, files_per_trigger=1)
+    jobs.stream_correlate(stream, out, f"{out}-state", AS_OF, buckets=4, co_occurrence=False).awaitTermination()
+    ents = spark.read.parquet(f"{out}/entities")
+    return ents.select("investigation_id", "id", "source_count", "evidence_count")

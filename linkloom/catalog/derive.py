@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.catalog.registry import table
+from linkloom.catalog.registry import table, texts
 from linkloom.operators.text import text_mentions
+from linkloom.session import spread
 
 AS_OF = "2024-02-15 00:00:00"
 DOC_TIME = "2024-02-10 00:00:00"
@@ -163,7 +164,7 @@ def observations(spark: SparkSession, d: str, *adapters: str) -> DataFrame:
     out = None
     for adapter in adapters or _PAYLOADS:
         source, key, inv, target, payload = _PAYLOADS[adapter]
-        rows = table(spark, d, source).selectExpr(
+        rows = spread(table(spark, d, source)).selectExpr(
             *_columns(_OBS.format(adapter=adapter, key=key, inv=inv, target=target, payload=payload))
         )
         out = rows if out is None else out.unionByName(rows)
@@ -293,7 +294,7 @@ def event_investigations(spark: SparkSession, d: str) -> DataFrame:
 
 def document_mentions(spark: SparkSession, d: str) -> DataFrame:
     return text_mentions(
-        table(spark, d, "documents"),
+        texts(spark, d, "documents", "doc_id", "source", "lang", "text"),
         "text",
         F.col("source"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")),

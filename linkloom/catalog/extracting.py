@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.catalog.derive import document_mentions, observations
-from linkloom.catalog.registry import query, table
+from linkloom.catalog.derive import observations
+from linkloom.catalog.registry import query, table, texts
 from linkloom.operators import extract, text
 
 # Same scans for the check tool; its word edges know ASCII letters only, which the test texts do not tell apart.
@@ -40,7 +40,9 @@ def text_scan_sql(source: str, keys: str, text_col: str = "text") -> str:
     FROM ({text_scan_sql('documents', 'doc_id, source')})""",
 )
 def _(spark, d):
-    return text.extract_from_text(table(spark, d, "documents"), "text", ["doc_id", "source"])
+    return text.extract_from_text(
+        texts(spark, d, "documents", "doc_id", "source", "text"), "text", ["doc_id", "source"]
+    )
 
 
 @query(
@@ -48,7 +50,9 @@ def _(spark, d):
     f"""SELECT conv_id, turn, id, type, value FROM ({text_scan_sql('conversations', 'conv_id, turn')})""",
 )
 def _(spark, d):
-    rows = text.extract_from_text(table(spark, d, "conversations"), "text", ["conv_id", "turn"])
+    rows = text.extract_from_text(
+        texts(spark, d, "conversations", "conv_id", "turn", "text"), "text", ["conv_id", "turn"]
+    )
     return rows.select("conv_id", "turn", "id", "type", "value")
 
 
@@ -56,7 +60,6 @@ def _(spark, d):
 # Expected mentions and edges per source row: (type, value, confidence, properties) and (from, rel, to, confidence,
 # method). Properties are written as sorted k=v pairs.
 
-_S = "supplier, (SELECT 0)"
 _MENTIONS = {
     "dns": (
         "SELECT *, s_suppkey AS k, 'inv-' || s_nationkey AS inv, 's' || s_suppkey || '.example.com' AS dom, "

@@ -464,7 +464,7 @@ def _(spark, d):
 
 
 _OVERRIDES = """ov AS (SELECT investigation_id, id AS entity_id, event_id, seen_at, (event_id % 100) / 100.0 AS c
-    FROM men WHERE event_id % 5 = 0)"""
+    FROM men WHERE source = 'error')"""
 
 
 @query(
@@ -475,7 +475,7 @@ _OVERRIDES = """ov AS (SELECT investigation_id, id AS entity_id, event_id, seen_
 )
 def _(spark, d):
     k = F.col("observation_id").substr(F.lit(2), F.lit(20)).cast("bigint")
-    rows = event_mentions(spark, d).where(k % 5 == 0).select(
+    rows = event_mentions(spark, d).where("source = 'error'").select(
         "investigation_id",
         F.col("id").alias("entity_id"),
         ((k % 100) / 100.0).alias("override_confidence"),

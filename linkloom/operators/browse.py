@@ -91,8 +91,8 @@ def observation_page(obs: DataFrame, limit: int | None = 50, offset: int = 0) ->
     return _page(obs.orderBy(F.desc("collected_at"), F.desc("id")), limit, offset)
 
 
-def list_notes(notes: DataFrame, investigation: str, entity: str | None = None) -> DataFrame:
-    rows = notes.where(F.col("investigation_id") == investigation)
+def list_notes(notes: DataFrame, investigation: str | None = None, entity: str | None = None) -> DataFrame:
+    rows = notes if investigation is None else notes.where(F.col("investigation_id") == investigation)
     if entity is not None:
         rows = rows.where(F.col("entity_id") == entity)
     return rows.orderBy(F.desc("created_at"), "id")

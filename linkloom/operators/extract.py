@@ -785,8 +785,7 @@ def _rows(obs: DataFrame, which: str, adapters: list[str], generic: bool, max_ce
     rows = _prepared(obs)
     if not generic:
         rows = rows.where(F.col("source_adapter").isin(adapters))
-    for name in adapters:
-        rows = rows.withColumn(f"_{name}", F.when(F.col("source_adapter") == name, _parsed(name)))
+    rows = rows.withColumns({f"_{a}": F.when(F.col("source_adapter") == a, _parsed(a)) for a in adapters})
     kind = _OUTPUT[which][1]
     array = _arrays(which, adapters, max_certs)
     if which == "mentions":
@@ -882,7 +881,10 @@ def extract_generic(obs: DataFrame) -> DataFrame:
 
 
 def extract_all(obs: DataFrame, max_certs: int | None = 100) -> tuple[DataFrame, DataFrame]:
-    """Mentions and edges of every observation, each adapter by its own rule, unknown ones as text."""
+    """Mentions and edges of every observation, each adapter by its own rule, unknown ones as text.
+
+    Only three adapters and account findings state edges, so the edges read only those rows.
+    """
     own = obs
     if _CUSTOM:
         own = obs.where(~F.col("source_adapter").isin(list(_CUSTOM)))

@@ -30,7 +30,13 @@ def stream_observations(
 
 
 def stream_correlate(
-    observations: DataFrame, out: str, checkpoint: str, as_of: str, buckets: int = 64
+    observations: DataFrame,
+    out: str,
+    checkpoint: str,
+    as_of: str,
+    buckets: int = 64,
+    fuzzy: bool = True,
+    co_occurrence: bool = True,
 ) -> StreamingQuery:
     """Correlates observations batch by batch; a batch run twice leaves the same tables.
 
@@ -70,6 +76,8 @@ def stream_correlate(
             stored("mentions", schemas.MENTIONS),
             stored("edges", schemas.EDGE_MENTIONS),
             as_of,
+            fuzzy,
+            co_occurrence,
         )
         for name in ("entities", "relationships", "entity_provenance"):
             write_bucketed(result[name], f"{out}/{name}", buckets)
