@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.catalog.registry import table, texts
 from linkloom.operators.text import text_mentions
-from linkloom.session import spread
+from linkloom.session import cut_lineage, spread
 
 AS_OF = "2024-02-15 00:00:00"
 DOC_TIME = "2024-02-10 00:00:00"
@@ -346,6 +346,8 @@ def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         f"TIMESTAMP '{DOC_TIME}' AS discovered_at",
         "'manual' AS method",
     )
+    # A graph is a stored table; several joins read it.
+    rels = cut_lineage(rels)
     ids = rels.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     ents = ids.selectExpr(
         "id",

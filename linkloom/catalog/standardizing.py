@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.catalog.derive import observations
-from linkloom.catalog.registry import query, table
+from linkloom.catalog.registry import query, table, texts
 from linkloom.operators import pages, report
 from linkloom.operators import standardize as st
 
@@ -159,7 +159,7 @@ def _redact_sql(text: str) -> str:
     f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted FROM documents",
 )
 def _(spark, d):
-    rows = st.redact_text(table(spark, d, "documents"), "text", None)
+    rows = st.redact_text(texts(spark, d, "documents", "doc_id", "text"), "text", None)
     return rows.select("doc_id", F.md5("text").alias("redacted"))
 
 
@@ -169,7 +169,7 @@ def _(spark, d):
     FROM (SELECT conv_id, turn, {_redact_sql('text')} AS r FROM conversations)""",
 )
 def _(spark, d):
-    rows = st.redact_text(table(spark, d, "conversations"), "text", 500, "redacted")
+    rows = st.redact_text(texts(spark, d, "conversations", "conv_id", "turn", "text"), "text", 500, "redacted")
     return rows.select("conv_id", "turn", "redacted")
 
 

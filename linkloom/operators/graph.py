@@ -47,6 +47,12 @@ def induced_edges(nodes: DataFrame, rels: DataFrame, per: list[str]) -> DataFram
     return at_source.join(ids.withColumnRenamed("id", "target_id"), [*per, *keys, "target_id"], "left_semi")
 
 
+def _links(rels: DataFrame, hops: int) -> DataFrame:
+    """Distinct links in both directions; written once when several hops read them."""
+    links = edges_bidi(rels).distinct()
+    return cut_lineage(links) if hops > 1 else links
+
+
 def reach(rels: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` hops of every seed, with the least number of hops.
 
@@ -55,7 +61,7 @@ def reach(rels: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """
     depth = max(1, min(depth, MAX_DEPTH))
     keys = ["investigation_id", "seed"]
-    links = edges_bidi(rels).distinct()
+    links = _links(rels, depth)
     frontier = seeds.select(*keys, F.col("seed").alias("node")).distinct()
     seen = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
@@ -113,7 +119,7 @@ def paths(rels: DataFrame, pairs: DataFrame, max_hops: int = 4, keep: int | None
     """
     max_hops = max(1, min(max_hops, MAX_HOPS))
     inv = "investigation_id"
-    links = edges_bidi(rels).distinct()
+    links = _links(rels, max_hops)
     targets = pairs.select(inv, F.col("dst")).distinct()
     frontier = targets.select(inv, "dst", F.col("dst").alias("node"))
     back = frontier.withColumn("left", F.lit(0))
