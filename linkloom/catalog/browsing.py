@@ -226,25 +226,34 @@ def _(spark, d):
 
 @query(
     "a4_values_shared_between_sources",
-    f"""SELECT type, value, count(DISTINCT source) AS overlap_count, string_agg(DISTINCT source, ',' ORDER BY source)
-      AS shared_across FROM ({text_scan_sql('documents', 'doc_id, source')}) GROUP BY type, value
-    HAVING count(DISTINCT source) > 1""",
+    f"""SELECT type, value, count(DISTINCT source) AS overlap_count
+    FROM ({text_scan_sql('documents', 'doc_id, source')}) GROUP BY type, value HAVING count(DISTINCT source) > 1""",
+)
+def _(spark, d):
+    return report.shared_values(resolve.resolve_exact(document_mentions(spark, d)))
+
+
+@query(
+    "a4_sources_that_share_values",
+    f"""WITH t AS ({text_scan_sql('documents', 'doc_id, source')}), n AS (SELECT type, value,
+        count(DISTINCT source) AS overlap_count FROM t GROUP BY ALL HAVING count(DISTINCT source) > 1)
+    SELECT DISTINCT type, value, overlap_count, source AS shared_across FROM t JOIN n USING (type, value)""",
 )
 def _(spark, d):
     ents = resolve.resolve_exact(document_mentions(spark, d))
-    found = report.shared_values(ents)
-    return found.withColumn("shared_across", F.array_join("shared_across", ","))
+    sources = table(spark, d, "documents").selectExpr("source AS id", "source AS name").distinct()
+    return report.shared_value_members(ents, sources)
 
 
 @query(
     "a4_values_shared_between_investigations",
-    f"""{_E} SELECT type, value, count(DISTINCT investigation_id) AS overlap_count,
-      string_agg(DISTINCT name, ',' ORDER BY name) AS shared_across FROM ents JOIN inv ON inv.id = investigation_id
-    GROUP BY type, value HAVING count(DISTINCT investigation_id) > 1""",
+    f"""{_E}, n AS (SELECT type, value, count(DISTINCT investigation_id) AS overlap_count FROM ents GROUP BY ALL
+        HAVING count(DISTINCT investigation_id) > 1)
+    SELECT type, value, overlap_count, name AS shared_across FROM n JOIN ents USING (type, value)
+      JOIN inv ON inv.id = investigation_id""",
 )
 def _(spark, d):
-    found = report.shared_values(event_entities(spark, d), event_investigations(spark, d))
-    return found.withColumn("shared_across", F.array_join("shared_across", ","))
+    return report.shared_value_members(event_entities(spark, d), event_investigations(spark, d))
 
 
 @query(
@@ -256,7 +265,7 @@ def _(spark, d):
     rows = table(spark, d, "lineitem").selectExpr(
         "'part' AS type", "'' || l_partkey AS value", "l_suppkey AS investigation_id"
     )
-    return report.shared_values(rows, names=False)
+    return report.shared_values(rows)
 
 
 @query(
@@ -331,6 +340,8 @@ def _(spark, d):
     UNION ALL SELECT 'collection_coverage', count(DISTINCT source_adapter) FROM obs
     UNION ALL SELECT 'shared_values', count(*) FROM (SELECT type, value FROM ents GROUP BY ALL
       HAVING count(DISTINCT investigation_id) > 1)
+    UNION ALL SELECT 'shared_value_members', sum(n) FROM (SELECT count(DISTINCT investigation_id) AS n FROM ents
+      GROUP BY type, value HAVING count(DISTINCT investigation_id) > 1)
     UNION ALL SELECT 'workspace_notes', count(*) FROM act WHERE event_type = 'investigation_stopped'
     UNION ALL SELECT 'activity_log', 50
     UNION ALL SELECT 'full_reports', 3 * (SELECT count(*) FROM inv) + 3 * count(*) + (SELECT count(*) FROM ents)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import fixed, values
+from linkloom.operators.resolve import member_pairs
 
 PROFILE = (
     "found BOOLEAN, profile STRUCT<name STRING, username STRING, full_name STRING, display_name STRING, "
@@ -86,19 +87,16 @@ def link_accounts(accts: DataFrame) -> DataFrame:
     inv = "investigation_id"
     named = accts.withColumn("handle", _plain(F.col("username")))
     sizes = named.groupBy(inv, "handle").agg(F.count("*").alias("group_size"))
-    attributes = [*_EQUAL, "bio"]
     clean = named.select(
         inv, "handle", "platform", "observation_id",
         *[_plain(F.col(c)).alias(c) for c in _EQUAL],
-        F.col("bio"),
+        F.array_sort(bio_keywords(F.col("bio"))).alias("words"),
     )
     profiles = (
-        clean.groupBy(inv, "handle", "platform", *attributes)
+        clean.groupBy(inv, "handle", "platform", *_EQUAL, "words")
         .agg(F.count("*").alias("copies"), F.min("observation_id").alias("observation_id"))
         .join(sizes.where(F.col("group_size") > 1), [inv, "handle"])
-        .withColumn("words", bio_keywords(F.col("bio")))
-        .withColumn("pid", F.sha2(F.to_json(F.struct("platform", *attributes)), 256))
-        .drop("bio")
+        .withColumn("pid", F.sha2(F.to_json(F.struct("platform", *_EQUAL, "words")), 256))
     )
     keys = F.array_compact(
         F.array(
@@ -112,10 +110,9 @@ def link_accounts(accts: DataFrame) -> DataFrame:
         )
     )
     keyed = profiles.select(inv, "handle", "pid", F.explode(keys).alias("key"))
-    a = keyed.withColumnRenamed("pid", "pid_a")
-    b = keyed.withColumnRenamed("pid", "pid_b")
-    pairs = a.join(b, [inv, "handle", "key"]).where(F.col("pid_a") < F.col("pid_b")).select(
-        inv, "handle", "pid_a", "pid_b"
+    # Even a key that most profiles of a busy user name share is compared in blocks by many tasks.
+    pairs = member_pairs(keyed, [inv, "handle", "key"], "pid").select(
+        inv, "handle", F.col("id_a").alias("pid_a"), F.col("id_b").alias("pid_b")
     )
     twins = profiles.where(F.col("copies") > 1).select(
         inv, "handle", F.col("pid").alias("pid_a"), F.col("pid").alias("pid_b")

@@ -56,16 +56,21 @@ def entity_evidence(ents: DataFrame, prov: DataFrame, obs: DataFrame, newest: in
     own = prov.select(*keys, "observation_id").distinct().join(wanted, keys, "left_semi")
     with_own = own.select(*keys).distinct()
     rest = wanted.join(with_own, keys, "left_anti")
-    other = rest.join(prov.select("entity_id", "observation_id").distinct(), "entity_id").select(*keys, "observation_id")
-    by_provenance = own.unionByName(other).join(details, "observation_id")
-    last = rest.join(other.select(*keys).distinct(), keys, "left_anti").withColumn(
+    order = [F.desc("collected_at"), F.col("observation_id")]
+    # All investigations that fall back to an id get the same newest rows, so these are found once per id.
+    by_id = prov.select("entity_id", "observation_id").distinct().join(
+        rest.select("entity_id").distinct(), "entity_id", "left_semi"
+    )
+    other = rest.join(first_rows(by_id.join(details, "observation_id"), ["entity_id"], order, newest), "entity_id")
+    by_provenance = own.join(details, "observation_id").unionByName(other, allowMissingColumns=True)
+    last = rest.join(by_id.select("entity_id").distinct(), "entity_id", "left_anti").withColumn(
         "_v", values.id_value(F.col("entity_id"))
     )
     by_target = last.join(seen.withColumn("_v", F.col("target")), ["investigation_id", "_v"])
     by_normal = last.join(seen.withColumn("_v", F.col("normalized_value")), ["investigation_id", "_v"])
     by_value = by_target.unionByName(by_normal).drop("_v").distinct()
     every = by_provenance.select(*keys, *cols).unionByName(by_value.select(*keys, *cols))
-    return first_rows(every, keys, [F.desc("collected_at"), F.col("observation_id")], newest)
+    return first_rows(every, keys, order, newest)
 
 
 def entity_context(ents: DataFrame, rels: DataFrame, prov: DataFrame, obs: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:

@@ -29,24 +29,28 @@ def collection_coverage(obs: DataFrame) -> DataFrame:
     return obs.groupBy("source_adapter").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "source_adapter")
 
 
-def shared_values(ents: DataFrame, inv: DataFrame | None = None, names: bool = True) -> DataFrame:
-    """Values that occur in more than one investigation, with how many and which.
+def shared_values(ents: DataFrame) -> DataFrame:
+    """Values that occur in more than one investigation, and in how many.
 
-    Counting spreads a value over (value, investigation) before it is merged. ``names=False`` leaves out the list.
+    The distinct pairs are counted, so a value is spread over its investigations before it is merged.
     """
     pairs = ents.select("type", "value", "investigation_id").distinct()
-    if inv is not None:
-        named = inv.select(F.col("id").alias("investigation_id"), F.col("name").alias("_name"))
-        pairs = pairs.join(named, "investigation_id")
-    else:
-        pairs = pairs.withColumn("_name", F.col("investigation_id"))
-    measures = [F.count("*").alias("overlap_count")]
-    if names:
-        measures.append(F.array_sort(F.collect_set("_name")).alias("shared_across"))
-    found = pairs.groupBy("type", "value").agg(*measures)
+    found = pairs.groupBy("type", "value").agg(F.count("*").alias("overlap_count"))
     return found.where(F.col("overlap_count") > 1).orderBy(F.desc("overlap_count"), "type", "value")
 
 
+def shared_value_members(ents: DataFrame, inv: DataFrame) -> DataFrame:
+    """Which investigations share a value, one row each: a list per value would have no bound."""
+    pairs = ents.select("type", "value", "investigation_id").distinct()
+    shared = pairs.groupBy("type", "value").agg(F.count("*").alias("overlap_count")).where(F.col("overlap_count") > 1)
+    named = inv.select(F.col("id").alias("investigation_id"), F.col("name").alias("shared_across"))
+    return (
+        pairs.join(shared, ["type", "value"])
+        .join(named, "investigation_id")
+        .select("type", "value", "overlap_count", "shared_across")
+    )
+
+
 def graph_stats(ents: DataFrame, rels: DataFrame) -> DataFrame:
     """Nodes and edges per investigation."""
     rows = ents.select("investigation_id", F.lit(1).alias("node")).unionAll(
@@ -161,7 +165,8 @@ def workspace_report(tables: Tables, last: int = 50) -> Tables:
         "totals": workspace_totals(tables),
         "entity_distribution": entity_distribution(tables["entities"]),
         "collection_coverage": collection_coverage(tables["observations"]),
-        "shared_values": shared_values(tables["entities"], tables["investigations"]),
+        "shared_values": shared_values(tables["entities"]),
+        "shared_value_members": shared_value_members(tables["entities"], tables["investigations"]),
         "workspace_notes": workspace_notes(tables["notes"], tables["investigations"]),
         "activity_log": tables["activity_log"].orderBy(F.desc("created_at"), F.desc("id")).limit(last),
         "full_reports": investigation_report(tables),

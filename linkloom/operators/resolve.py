@@ -88,7 +88,7 @@ def resolve_normalized(ents: DataFrame, prov: DataFrame | None = None) -> DataFr
         F.max("confidence").alias("confidence"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
         F.sum("evidence_count").alias("evidence_count"),
         F.count("*").alias("_ids"),
     )
@@ -339,56 +339,68 @@ def similarity_edges(pairs: DataFrame, seen_at: Column | None = None) -> DataFra
 # --- repeats in time ---------------------------------------------------------------------------------------------
 
 
-def dedupe_within(obs: DataFrame, keys: list[str], time_col: str, ttl_seconds: int, id_col: str = "id") -> DataFrame:
-    """Keeps an observation only when none kept before it under the same key is younger than the time to live.
+FINE_SLOTS = 1440
+
 
-    Whether a row stays depends on the row kept before it, so each row points to the first row that is old enough to
-    follow it, and the rows reached from the first one stay. A slot as long as the time to live holds at most one kept
-    row, so all windows are per key and slot, and following the pointers by doubling takes log2(slots) rounds: a key
-    that holds a third of all rows never lands in one task.
+def _next_in_bucket(asks: DataFrame, have: DataFrame, bucket: list[str], place: str, value: str) -> DataFrame:
+    """Adds to every ask the ``value`` of the first row of its bucket whose ``place`` is not before the ask's.
+
+    Both sides are sorted backwards together, so the answer is simply the last row seen.
     """
-    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    span = ttl_seconds * 1_000_000
-    # rows with the same key and time: the lowest id stands for all of them
-    first = (
-        obs.groupBy(*keys, micros.alias("_t"))
-        .agg(F.min(id_col).alias("_id"))
-        .withColumn("_slot", F.floor(F.col("_t") / span))
+    mixed = asks.withColumn("_ask", F.lit(1)).unionByName(
+        have.select(*bucket, place, F.col(value).alias("_hit")).withColumn("_ask", F.lit(0)), allowMissingColumns=True
     )
-    slots = first.groupBy(*keys, "_slot").agg(F.min("_t").alias("_first"))
-    order = W.partitionBy(*keys).orderBy("_slot")
-    later = slots.withColumn("_next_slot", F.lead("_slot").over(order)).withColumn(
-        "_next_first", F.lead("_first").over(order)
-    ).withColumn("_after_first", F.lead("_first", 2).over(order))
-    # a row's follower lies in the next slot, or is the first row of the slot after that
+    backwards = W.partitionBy(*bucket).orderBy(F.desc(place), "_ask").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        mixed.withColumn("_hit", F.last("_hit", ignorenulls=True).over(backwards)).where(F.col("_ask") == 1).drop("_ask")
+    )
+
+
+def _followers(first: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Every time ``_t`` of a key with ``_to``, the first time that lies ``span`` or more after it.
+
+    Looked up in three steps, so that no task sees more than a fine slot of a key, the fine slots of a slot, or the
+    slots of a key: inside the fine slot of the due time, then among later fine slots, then among later slots.
+    """
+    fine = max(1, span // FINE_SLOTS)
     due = F.col("_t") + span
-    asks = first.select(*keys, (F.col("_slot") + 1).alias("_slot"), due.alias("_when"), F.col("_t").alias("_from"))
-    have = first.select(*keys, "_slot", F.col("_t").alias("_when"), F.lit(None).cast("bigint").alias("_from"))
-    mixed = asks.unionByName(have)
-    ahead = W.partitionBy(*keys, "_slot").orderBy("_when", F.col("_from").desc_nulls_last()).rowsBetween(
-        0, W.unboundedFollowing
+    asks = first.select(*keys, "_t", due.alias("_at"), F.floor(due / fine).alias("_fine"))
+    have = first.select(*keys, F.col("_t").alias("_at"), F.floor(F.col("_t") / fine).alias("_fine"), "_t")
+    near = _next_in_bucket(asks, have, [*keys, "_fine"], "_at", "_t")
+    slot = F.floor(F.col("_fine") / FINE_SLOTS)
+    by_fine = have.groupBy(*keys, "_fine").agg(F.min("_t").alias("_t")).withColumn("_slot", slot)
+    open_ = near.where(F.col("_hit").isNull()).select(*keys, (F.col("_fine") + 1).alias("_fine"))
+    later = _next_in_bucket(
+        open_.distinct().withColumn("_slot", slot), by_fine, [*keys, "_slot"], "_fine", "_t"
     )
-    answered = (
-        mixed.withColumn(
-            "_hit", F.first(F.when(F.col("_from").isNull(), F.col("_when")), ignorenulls=True).over(ahead)
-        )
-        .where(F.col("_from").isNotNull())
-        .select(*keys, F.col("_from").alias("_t"), "_hit")
+    by_slot = by_fine.groupBy(*keys, "_slot").agg(F.min("_t").alias("_t"))
+    unmet = later.where(F.col("_hit").isNull()).select(*keys, (F.col("_slot") + 1).alias("_slot"))
+    last = _next_in_bucket(unmet.distinct(), by_slot, keys, "_slot", "_t")
+    far = last.select(*keys, (F.col("_slot") - 1).alias("_slot"), F.col("_hit").alias("_far"))
+    middle = later.join(far, [*keys, "_slot"], "left").select(
+        *keys, (F.col("_fine") - 1).alias("_fine"), F.coalesce("_hit", "_far").alias("_later")
     )
-    known = first.join(later, [*keys, "_slot"]).join(answered, [*keys, "_t"])
-    gap = F.col("_next_slot") > F.col("_slot") + 1
-    following = F.coalesce("_hit", F.when(gap, F.col("_next_first")).otherwise(F.col("_after_first")))
-    hops = cut_lineage(known.select(*keys, "_t", following.alias("_to")))
-    kept = cut_lineage(first.groupBy(*keys).agg(F.min("_t").alias("_t")))
-    extent = slots.agg((F.max("_slot") - F.min("_slot") + 1).alias("n")).first()["n"] or 1
-    for _ in range(max(1, math.ceil(math.log2(extent + 1)))):
-        reached = kept.join(hops, [*keys, "_t"]).where(F.col("_to").isNotNull()).select(*keys, F.col("_to").alias("_t"))
+    return near.join(middle, [*keys, "_fine"], "left").select(*keys, "_t", F.coalesce("_hit", "_later").alias("_to"))
+
+
+def dedupe_within(obs: DataFrame, keys: list[str], time_col: str, ttl_seconds: int, id_col: str = "id") -> DataFrame:
+    """Keeps an observation only when none kept before it under the same key is younger than the time to live.
+
+    Whether a row stays depends on the row kept before it. So each time points to the first time that is old enough
+    to follow it, and the times reached from the first one stay. Following the pointers by doubling takes
+    log2(time range / time to live) rounds, and a key that holds a third of all rows never lands in one task.
+    """
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    span = ttl_seconds * 1_000_000
+    # of rows with the same key and time, the one with the lowest id stands for all
+    first = cut_lineage(obs.groupBy(*keys, micros.alias("_t")).agg(F.min(id_col).alias("_id")))
+    hops = cut_lineage(_followers(first.select(*keys, "_t"), keys, span).where(F.col("_to").isNotNull()))
+    kept = first.groupBy(*keys).agg(F.min("_t").alias("_t"))
+    spread = first.agg(((F.max("_t") - F.min("_t")) / span + 1).alias("n")).first()["n"] or 1
+    for _ in range(max(1, math.ceil(math.log2(spread + 1)))):
+        reached = kept.join(hops, [*keys, "_t"]).select(*keys, F.col("_to").alias("_t"))
         kept = cut_lineage(kept.unionByName(reached).distinct())
         step = hops.select(*keys, F.col("_t").alias("_to"), F.col("_to").alias("_far"))
-        hops = cut_lineage(
-            hops.where(F.col("_to").isNotNull())
-            .join(step, [*keys, "_to"])
-            .select(*keys, "_t", F.col("_far").alias("_to"))
-        )
+        hops = cut_lineage(hops.join(step, [*keys, "_to"]).select(*keys, "_t", F.col("_far").alias("_to")))
     ids = first.join(kept, [*keys, "_t"]).select(F.col("_id").alias(id_col))
     return obs.join(ids, id_col, "left_semi")
