@@ -90,9 +90,38 @@ def stream_correlate(
     )
 
 
-def stream_dedupe(observations: DataFrame, keys: list[str], time_col: str, ttl: str) -> DataFrame:
-    """Drops repeats of a key within the time to live."""
-    return observations.withWatermark(time_col, ttl).dropDuplicatesWithinWatermark(keys)
+def stream_dedupe(
+    observations: DataFrame, keys: list[str], time_col: str, ttl_seconds: int, exact: bool = True
+) -> DataFrame:
+    """Drops repeats of a key within the time to live of the row kept last.
+
+    The exact form remembers when a key was last kept and forgets it once the watermark has passed the time to live.
+    ``exact=False`` uses Spark's own deduplication, which stays in the JVM but may drop rows up to twice the time to
+    live after the first one, because its state lives until the watermark reaches it.
+    """
+    rows = observations.withWatermark(time_col, f"{ttl_seconds} seconds")
+    if not exact:
+        return rows.dropDuplicatesWithinWatermark(keys)
+    span = ttl_seconds * 1000
+
+    def step(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(time_col, kind="stable")
+        keep = []
+        for at in rows[time_col].astype("datetime64[ms]").astype("int64"):
+            ok = last is None or at >= last + span
+            last = at if ok else last
+            keep.append(ok)
+        yield rows[keep]
+        state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last) + span, state.getCurrentWatermarkMs() + 1))
+
+    return rows.groupBy(*keys).applyInPandasWithState(
+        step, observations.schema, "last BIGINT", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def stream_rates(
