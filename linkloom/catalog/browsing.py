@@ -1117,7 +1117,7 @@ def _(spark, d):
 )
 def _(spark, d):
     source, out = _folder(spark, "observations"), _folder(spark, "tables")
-    observations(spark, d, "dns", "threat_intel").write.mode("overwrite").parquet(source)
+    observations(spark, d, "dns", "threat_intel").repartition(2).write.mode("overwrite").parquet(source)
     stream = jobs.stream_observations(spark, source, files_per_trigger=1)
     jobs.stream_correlate(stream, out, f"{out}-state", AS_OF, buckets=4, co_occurrence=False).awaitTermination()
     ents = spark.read.parquet(f"{out}/entities")

@@ -880,16 +880,27 @@ def extract_generic(obs: DataFrame) -> DataFrame:
     return _mentions(obs.where(~F.col("source_adapter").isin(list(ADAPTERS))), ["dns"], True)
 
 
-def extract_all(obs: DataFrame, max_certs: int | None = 100) -> tuple[DataFrame, DataFrame]:
+def present_adapters(obs: DataFrame) -> list[str]:
+    """Which of the built-in adapters occur in the observations."""
+    known = obs.where(F.col("source_adapter").isin(list(ADAPTERS))).select("source_adapter").distinct()
+    return sorted(r.source_adapter for r in known.collect())
+
+
+def extract_all(
+    obs: DataFrame, max_certs: int | None = 100, adapters: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Mentions and edges of every observation, each adapter by its own rule, unknown ones as text.
 
-    Only three adapters and account findings state edges, so the edges read only those rows.
+    Only three adapters and account findings state edges, so the edges read only those rows. ``adapters`` names the
+    built-in adapters that occur, which keeps the plan small; by default all are planned for.
     """
+    planned = list(ADAPTERS) if adapters is None else adapters
     own = obs
     if _CUSTOM:
         own = obs.where(~F.col("source_adapter").isin(list(_CUSTOM)))
-    mentions = _mentions(own, list(ADAPTERS), True, max_certs)
-    edges = _edges(own, "edges", [*_NEED_ANCHOR, "username_probe"], max_certs)
+    mentions = _mentions(own, planned or ["dns"], True, max_certs)
+    stating = [a for a in [*_NEED_ANCHOR, "username_probe"] if a in planned]
+    edges = _edges(own, "edges", stating or ["dns"], max_certs)
     for name, extractor in _CUSTOM.items():
         more_mentions, more_edges = extractor(obs.where(F.col("source_adapter") == name))
         mentions, edges = mentions.unionByName(more_mentions), edges.unionByName(more_edges)
@@ -904,7 +915,8 @@ def rejected_observations(obs: DataFrame) -> DataFrame:
 def link_candidates(obs: DataFrame, adapters: list[str] | None = None) -> DataFrame:
     """Edges that count only between known entities, see linkloom.operators.link."""
     with_links = ["dns", "whois", "certificate_transparency", "ip_to_asn", "http", "threat_intel", "github"]
-    return _edges(obs, "links", adapters or with_links, None)
+    planned = with_links if adapters is None else [a for a in with_links if a in adapters]
+    return _edges(obs, "links", planned or ["dns"], None)
 
 
 def extract_header_tech(obs: DataFrame, headers_col: str = "headers") -> DataFrame:

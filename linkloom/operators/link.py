@@ -65,9 +65,9 @@ def link_email_domain(obs: DataFrame, ents: DataFrame) -> DataFrame:
     return between_known(edges, ents)
 
 
-def detect_relationships(obs: DataFrame, ents: DataFrame) -> DataFrame:
+def detect_relationships(obs: DataFrame, ents: DataFrame, adapters: list[str] | None = None) -> DataFrame:
     """All structural edges between known entities; the first sighting of an edge counts."""
-    candidates = link_candidates(obs)
+    candidates = link_candidates(obs, adapters)
     known = between_known(candidates, ents)
     return first_per_edge(known.unionByName(link_email_domain(obs, ents)))
 

@@ -9,27 +9,30 @@ from linkloom.operators import extract, link, resolve, score
 from linkloom.session import cut_lineage
 
 
-def correlate(
-    obs: DataFrame, as_of: str, fuzzy: bool = True, co_occurrence: bool = True, keep_mentions: bool = True
-) -> dict[str, DataFrame]:
+def correlate(obs: DataFrame, as_of: str, fuzzy: bool = True, co_occurrence: bool = True) -> dict[str, DataFrame]:
     """Entities, relationships and provenance of a table of observations.
 
-    Mentions and extracted edges are read several times, so they are written to the checkpoint folder once.
+    Mentions and extracted edges are read several times, so they are written once.
     """
-    mentions, edges = extract.extract_all(obs)
-    if keep_mentions:
-        mentions, edges = cut_lineage(mentions), cut_lineage(edges)
-    return relate(obs, mentions, edges, as_of, fuzzy, co_occurrence)
+    adapters = extract.present_adapters(obs)
+    mentions, edges = extract.extract_all(obs, adapters=adapters)
+    return relate(obs, cut_lineage(mentions), cut_lineage(edges), as_of, fuzzy, co_occurrence, adapters)
 
 
 def relate(
-    obs: DataFrame, mentions: DataFrame, edges: DataFrame, as_of: str, fuzzy: bool = True, co_occurrence: bool = True
+    obs: DataFrame,
+    mentions: DataFrame,
+    edges: DataFrame,
+    as_of: str,
+    fuzzy: bool = True,
+    co_occurrence: bool = True,
+    adapters: list[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """The steps after extraction: resolve, link, merge, score."""
+    """The steps after extraction: resolve, link, merge, score. Entities are written once; every later step joins them."""
     now = F.lit(as_of).cast("timestamp")
     sightings = resolve.entity_provenance(mentions, uuid_only=False)
-    ents = resolve.resolve_normalized(resolve.resolve_exact(mentions, fill_empty=True), sightings)
-    tables = [link.detect_relationships(obs, ents)]
+    ents = cut_lineage(resolve.resolve_normalized(resolve.resolve_exact(mentions, fill_empty=True), sightings))
+    tables = [link.detect_relationships(obs, ents, adapters)]
     if co_occurrence:
         members = mentions.select("investigation_id", "observation_id", F.col("id").alias("entity_id"))
         together = resolve.co_occurrences(members).drop("shared").withColumn("seen_at", now)

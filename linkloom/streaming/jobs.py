@@ -57,7 +57,7 @@ def stream_correlate(
         try:
             if batch_rows.isEmpty():
                 return
-            mentions, edges = extract.extract_all(batch_rows)
+            mentions, edges = extract.extract_all(batch_rows, adapters=extract.present_adapters(batch_rows))
             save(batch_rows, "observations", batch)
             save(mentions, "mentions", batch)
             save(edges, "edges", batch)
@@ -71,13 +71,15 @@ def stream_correlate(
             whole = spark.read.schema(f"{schema}, batch INT, bucket INT").parquet(f"{out}/{name}")
             return whole.where(touched).drop("batch", "bucket")
 
+        known = stored("observations", schemas.OBSERVATIONS)
         result = relate(
-            stored("observations", schemas.OBSERVATIONS),
+            known,
             stored("mentions", schemas.MENTIONS),
             stored("edges", schemas.EDGE_MENTIONS),
             as_of,
             fuzzy,
             co_occurrence,
+            extract.present_adapters(known),
         )
         for name in ("entities", "relationships", "entity_provenance"):
             write_bucketed(result[name], f"{out}/{name}", buckets)
