@@ -1083,7 +1083,16 @@ def _(spark, d):
 
 @query(
     "plan_correlated_collectors",
-    None,
+    f"""WITH m AS ({mentions_sql('dns', 'whois', 'ip_to_asn', 'github', 'reddit')}), e AS (SELECT investigation_id, id,
+        list(DISTINCT source) AS s, count(DISTINCT observation_id) AS n FROM m GROUP BY ALL),
+      p AS (SELECT investigation_id, id, count(DISTINCT split_part(kv, '=', 1)) AS np FROM (SELECT investigation_id, id,
+        unnest(string_split(properties, ';')) AS kv FROM m WHERE properties <> '') GROUP BY ALL)
+    SELECT investigation_id, id, round(least(1.0, list_avg(list_transform(s, lambda x: CASE x WHEN 'dns' THEN 0.95
+        WHEN 'whois' THEN 0.9 WHEN 'ip_to_asn' THEN 0.88 WHEN 'github' THEN 0.82 ELSE 0.75 END))
+      * least(1.0, 0.7 + CASE len(s) WHEN 1 THEN 0.05 WHEN 2 THEN 0.1 ELSE 0.15 END
+        + CASE WHEN n >= 2 THEN 0.1 ELSE 0.05 END + least(0.05, 0.01 * coalesce(np, 0)))
+      * CASE len(s) WHEN 1 THEN 1.0 WHEN 2 THEN 1.08 ELSE 1.15 END * 0.9), 8) AS confidence
+    FROM e LEFT JOIN p USING (investigation_id, id)""",
 )
 def _(spark, d):
     from linkloom.plans.correlate import correlate

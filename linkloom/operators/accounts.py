@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import fixed, values
 from linkloom.operators.resolve import member_pairs
+from linkloom.session import cut_lineage
 
 PROFILE = (
     "found BOOLEAN, profile STRUCT<name STRING, username STRING, full_name STRING, display_name STRING, "
@@ -98,6 +99,8 @@ def link_accounts(accts: DataFrame) -> DataFrame:
         .join(sizes.where(F.col("group_size") > 1), [inv, "handle"])
         .withColumn("pid", F.sha2(F.to_json(F.struct("platform", *_EQUAL, "words")), 256))
     )
+    # Five joins read the profiles.
+    profiles = cut_lineage(profiles)
     keys = F.array_compact(
         F.array(
             *[
@@ -120,17 +123,16 @@ def link_accounts(accts: DataFrame) -> DataFrame:
     pairs = pairs.distinct().unionByName(twins)
 
     def side(letter: str) -> DataFrame:
-        cols = ["platform", "observation_id", "words", *_EQUAL]
+        cols = ["platform", "observation_id", "words", "group_size", *_EQUAL]
         return profiles.select(
             inv, "handle", F.col("pid").alias(f"pid_{letter}"), *[F.col(c).alias(f"{letter}_{c}") for c in cols]
         )
 
     both = pairs.join(side("a"), [inv, "handle", "pid_a"]).join(side("b"), [inv, "handle", "pid_b"])
-    both = both.join(sizes, [inv, "handle"])
     total = round(sum(fixed.ACCOUNT_WEIGHTS.values()), 10)
     weight = _shared_weight()
     score = F.least(
-        F.lit(1.0), F.col("weight") / total + F.least(F.lit(0.1), F.col("group_size") * 0.02)
+        F.lit(1.0), F.col("weight") / total + F.least(F.lit(0.1), F.col("a_group_size") * 0.02)
     )
     scored = (
         both.withColumn("weight", weight)
