@@ -16,6 +16,7 @@ from linkloom.catalog.derive import (
 from linkloom.catalog.extracting import _LINKS, edges_sql, links_sql, mentions_sql, text_scan_sql
 from linkloom.catalog.registry import query, table
 from linkloom.operators import accounts, link, resolve, score
+from linkloom.session import cut_lineage
 
 _E = f"WITH {EVENTS_SQL}"
 
@@ -508,8 +509,9 @@ def _entities_of(spark, d, *adapters):
     from linkloom.operators import extract
 
     obs = observations(spark, d, *adapters)
-    ents = resolve.resolve_exact(extract.extract_all(obs)[0])
-    return obs, ents
+    # Entities are a stored table; both ends of an edge are looked up in it by id.
+    mentions, _edges = extract.extract_all(obs, adapters=list(adapters))
+    return obs, cut_lineage(mentions.select("investigation_id", "id").distinct())
 
 
 # links to a technology and to a redirect hold only when some observation mentions those entities
