@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import repetition
+from linkloom.llm import repetition, simple8b
 from linkloom.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "repetition"]
+__all__ = ["ORACLES", "QUERIES", "repetition", "simple8b"]

@@ -189,17 +189,22 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+#: A window of MAX_LONGEST + 1 words, as windows of MIN_WORDS words that cover it.
+_LONG = ", ".join(f"hm[i + {k}]" for k in [*range(0, MAX_LONGEST + 1 - MIN_WORDS, MIN_WORDS), MAX_LONGEST + 1 - MIN_WORDS])
 _ORACLE = f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 l AS (SELECT doc_id, sum(n - 1) AS d FROM (SELECT doc_id, line, count(*) AS n FROM
     (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
     WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL) GROUP BY 1),
-p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (SELECT doc_id, i, len(ws) AS n,
-    i + 4 <= len(ws) AND count(*) OVER (PARTITION BY doc_id, hash(ws[i:i+4])) > 1 AS r5,
-    i + {MIN_WORDS - 1} <= len(ws) AND count(*) OVER (PARTITION BY doc_id, hash(ws[i:i+{MIN_WORDS - 1}])) > 1 AS rm,
-    i + {MAX_LONGEST} <= len(ws) AND count(*) OVER (PARTITION BY doc_id, hash(ws[i:i+{MAX_LONGEST}])) > 1 AS rx FROM p),
+h AS (SELECT doc_id, ws, list_transform(range(1, len(ws) + 1), lambda i: hash(ws[i:i+4])) AS h5,
+    list_transform(range(1, len(ws) + 1), lambda i: hash(ws[i:i+{MIN_WORDS - 1}])) AS hm FROM w),
+p AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, unnest(h5) AS h5, unnest(hm) AS hm,
+    unnest(list_transform(range(1, len(ws) + 1), lambda i: hash([{_LONG}]))) AS hx FROM h),
+g AS (SELECT doc_id, i, n,
+    i + 4 <= n AND count(*) OVER (PARTITION BY doc_id, h5) > 1 AS r5,
+    i + {MIN_WORDS - 1} <= n AND count(*) OVER (PARTITION BY doc_id, hm) > 1 AS rm,
+    i + {MAX_LONGEST} <= n AND count(*) OVER (PARTITION BY doc_id, hx) > 1 AS rx FROM p),
 s AS (SELECT doc_id, i, rx,
     bool_or(r5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5,
     bool_or(rm) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW) AS cm FROM g),
