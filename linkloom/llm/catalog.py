@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import repetition, simple8b
+from linkloom.llm import bpe_tree, repetition, reply_trees, simple8b
 from linkloom.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "repetition", "simple8b"]
+__all__ = ["ORACLES", "QUERIES", "bpe_tree", "repetition", "reply_trees", "simple8b"]
