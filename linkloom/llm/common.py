@@ -103,3 +103,33 @@ def batches_of(rows: Iterable, weigh: Callable, most: int) -> Iterator[list]:
 
 def record_batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def summed_counts(rows: DataFrame, *, chunk: int) -> np.ndarray:
+    """The sum of equally long counter arrays that come as rows (part int, counts binary): pieces of ``chunk``
+    little-endian 64-bit counters. The caller's arrays have a fixed length, so the sum has it too; the pieces are summed
+    where they meet by number, one after the other."""
+
+    def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                values = np.frombuffer(counts, "<i8")
+                sums[part] = sums[part] + values if part in sums else values
+        schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+        columns = {"part": list(sums), "counts": [v.astype("<i8").tobytes() for v in sums.values()]}
+        yield record_batch(schema, columns)
+
+    # A second sum joins what tasks have summed, should a piece's rows come in several of them.
+    found = rows.select("part", "counts").repartition("part").mapInArrow(run, "part int, counts binary").collect()
+    size = chunk * (1 + max((r.part for r in found), default=-1))
+    out = np.zeros(size, np.int64)
+    for r in found:
+        out[r.part * chunk : (r.part + 1) * chunk] += np.frombuffer(r.counts, "<i8")
+    return out
+
+
+def count_rows(counts: np.ndarray, chunk: int) -> dict[str, list]:
+    """Columns part and counts of a counter array, for ``summed_counts``."""
+    pieces = counts.astype("<i8").reshape(-1, chunk)
+    return {"part": list(range(len(pieces))), "counts": [p.tobytes() for p in pieces]}
