@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
-from linkloom.llm import bpe_tree, byte_cnn, licenses, repetition, reply_trees, secret_scan, simple8b
+from linkloom.llm import (
+    bpe_tree,
+    byte_cnn,
+    licenses,
+    repetition,
+    reply_trees,
+    secret_scan,
+    simple8b,
+    templates,
+)
 from linkloom.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bpe_tree", "byte_cnn", "licenses", "repetition", "reply_trees", "secret_scan", "simple8b"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "bpe_tree",
+    "byte_cnn",
+    "licenses",
+    "repetition",
+    "reply_trees",
+    "secret_scan",
+    "simple8b",
+    "templates",
+]
