@@ -5,6 +5,7 @@ from __future__ import annotations
 from linkloom.llm import (
     bpe_tree,
     byte_cnn,
+    jaccard_join,
     licenses,
     repetition,
     reply_trees,
@@ -19,6 +20,7 @@ __all__ = [
     "QUERIES",
     "bpe_tree",
     "byte_cnn",
+    "jaccard_join",
     "licenses",
     "repetition",
     "reply_trees",
