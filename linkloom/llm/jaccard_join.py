@@ -287,14 +287,33 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     between = between.join(named_c, F.col("b") == F.col("_id")).select(F.col("c_a").alias("a"), F.col("c").alias("b"))
     merged = written(components(between))
     final = placed.select("cid", "c").join(merged, F.col("c") == F.col("node"), "left")
-    final = written(final.select("cid", F.coalesce("component", "c").alias("component")))
+    final = final.select("cid", F.coalesce("component", "c").alias("component"))
     by_set = classes.select("set_id", "cid").join(final, "cid").select("set_id", "component")
     of_rows = signed.select("doc_id", "n", F.when(F.expr("doc_id IS NOT NULL AND n > 0"), F.col("set_id")).alias("set_id"))
-    return of_rows.join(by_set, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    found = of_rows.join(by_set, "set_id", "left")
+    return written(
+        found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     )
 
 
+def one_of_each_group(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, of which no linked document has a smaller id; one row of those with one id.
+
+    Of rows with one id the first by text stays. Documents without words and rows without an id stay.
+    """
+    found = linked_components(docs, size=size, percent=percent)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    repeated = written(repeated)
+    if repeated.isEmpty():
+        return kept
+    order = W.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    some = kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi")
+    first = some.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(first)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
