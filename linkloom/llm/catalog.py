@@ -5,6 +5,7 @@ from __future__ import annotations
 from linkloom.llm import (
     bpe_tree,
     byte_cnn,
+    hidden_markov,
     jaccard_join,
     licenses,
     repetition,
@@ -20,6 +21,7 @@ __all__ = [
     "QUERIES",
     "bpe_tree",
     "byte_cnn",
+    "hidden_markov",
     "jaccard_join",
     "licenses",
     "repetition",
