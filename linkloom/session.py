@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,10 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        # Small files still give every core a task.
+        .config("spark.sql.files.minPartitionNum", str(cpus) if str(cpus).isdigit() else "8")
+        .config("spark.sql.files.openCostInBytes", "64k")
     )
     for key, value in JOB_CONF.items():
         builder = builder.config(key, value)
@@ -38,36 +44,43 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only for local masters."""
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(configured)
-    return configured
+    folder = (
+        context.getCheckpointDir()
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir", None)
+    )
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
+_SCOPES: list[list[str]] = []
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back.
 
     The rows survive the loss of executors, and unlike a checkpointed plan the written table has a known size, so
-    Spark can choose how to join it. All tables of an application lie in one folder, to be dropped with it.
+    Spark can choose how to join it. Inside ``scratch`` the table goes when the scope ends; otherwise it stays with the
+    application's other tables, in one folder.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Shuffles the rows of a scan that has fewer tasks than there are cores, ahead of work that is heavy per row.
-
-    Files with many row groups are already split well enough and pass through as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables that ``cut_lineage`` writes inside, once the results made from them have been written."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
