@@ -26,6 +26,7 @@ HEADLINE = [
     "e18_all_adapters_entities",
     "r1_resolved_entities",
     "r3_co_occurring_users",
+    "r4_similar_names",
     "r7_linked_accounts",
     "l9_structural_links",
     "c1_scored_entities",

@@ -151,7 +151,7 @@ def _(spark, d):
     "e19_normalized_hits",
     """SELECT o_orderkey, i - CASE WHEN i > 1 THEN 1 ELSE 0 END AS rank, 'https://h' || o_custkey || '/' || i AS url,
       't' || i AS title, CASE WHEN i = 2 THEN 'unknown' ELSE 'e' || i END AS engine
-    FROM (SELECT o_orderkey, o_custkey, unnest([0, 2, 3]) AS i FROM orders)""",
+    FROM (SELECT o_orderkey, o_custkey, unnest([0, 2, 3, 4]) AS i FROM orders)""",
 )
 def _(spark, d):
     item = "'{{\"title\": \"t{i}\", \"url\": \"https://h' || o_custkey || '/{i}\", \"engine\": \"e{i}\"}}'"
@@ -161,7 +161,7 @@ def _(spark, d):
         f"'{{\"results\": [' || {item.format(i=0)} || ', {{\"title\": \"none\"}}, ' || {second} || ', ' || "
         f"{item.format(i=3)} || ', ' || {item.format(i=4)} || ']}}' AS payload",
     )
-    return pages.normalize_hits(raw, max_results=4).select("o_orderkey", "rank", "url", "title", "engine")
+    return pages.normalize_hits(raw).select("o_orderkey", "rank", "url", "title", "engine")
 
 
 @query(
@@ -349,7 +349,7 @@ def _(spark, d):
 )
 def _(spark, d):
     out = None
-    for name, section in report.workspace_report(_model(spark, d)).items():
+    for name, section in report.workspace_report(_model(spark, d), 50).items():
         n = section.agg(F.count("*").alias("rows")).select(F.lit(name).alias("section"), "rows")
         out = n if out is None else out.unionByName(n)
     return out
@@ -500,7 +500,7 @@ def _(spark, d):
     f"""{_E} SELECT id, source_adapter, target, collected_at FROM obs ORDER BY collected_at DESC, id DESC LIMIT 50""",
 )
 def _(spark, d):
-    return browse.observation_page(event_observations(spark, d)).select("id", "source_adapter", "target", "collected_at")
+    return browse.observation_page(event_observations(spark, d), 50).select("id", "source_adapter", "target", "collected_at")
 
 
 @query(
@@ -570,7 +570,7 @@ def _(spark, d):
     FROM (SELECT * FROM obs ORDER BY collected_at DESC, id DESC LIMIT 50)""",
 )
 def _(spark, d):
-    out = browse.timeline(event_activity(spark, d), event_observations(spark, d))
+    out = browse.timeline(event_activity(spark, d), event_observations(spark, d), 50)
     return out.withColumnRenamed("at", "when")
 
 
@@ -579,7 +579,7 @@ def _(spark, d):
     f"""{_E} SELECT investigation_id, id FROM ents ORDER BY investigation_id, id LIMIT 500""",
 )
 def _(spark, d):
-    return browse.cap_graph(event_entities(spark, d), _event_edges(spark, d))[0].select("investigation_id", "id")
+    return browse.cap_graph(event_entities(spark, d), _event_edges(spark, d), 500, 800)[0].select("investigation_id", "id")
 
 
 _STOPS = """ends AS (SELECT investigation_id, arg_max(json_extract_string(details, '$.stop_reason'), (created_at, id))
@@ -610,7 +610,7 @@ def _(spark, d):
       WHERE event_type = 'pivot_dispatched') WHERE n <= 10""",
 )
 def _(spark, d):
-    return browse.recent_dispatches(event_activity(spark, d))
+    return browse.recent_dispatches(event_activity(spark, d), 10)
 
 
 @query(
@@ -1098,7 +1098,7 @@ def _(spark, d):
     from linkloom.plans.correlate import correlate
 
     obs = observations(spark, d, "dns", "whois", "ip_to_asn", "github", "reddit")
-    found = correlate(obs, AS_OF, fuzzy=False, co_occurrence=False)
+    found = correlate(obs, AS_OF, fuzzy=False, link_accounts=False)
     return found["entities"].select("investigation_id", "id", F.round("confidence", 8).alias("confidence"))
 
 

@@ -242,6 +242,39 @@ def _(spark, d):
     return accounts.link_accounts(_accounts(spark, d)).select("id", "confidence", "evidence_count")
 
 
+@query(
+    "plan_linked_accounts",
+    f"""WITH {_ACCOUNT_SQL}, g AS (SELECT handle, count(*) AS n FROM acc GROUP BY handle),
+      p AS (SELECT a.handle, least(a.platform, b.platform) AS platform_a, greatest(a.platform, b.platform) AS platform_b,
+        round(least(1.0, (0.95 * (a.email = b.email)::INT + 0.85 * (a.full_name = b.full_name)::INT
+          + 0.70 * (a.organization = b.organization)::INT
+          + 0.65 * (a.website <> '' AND a.website = b.website)::INT + 0.50 * (a.location = b.location)::INT
+          + 0.55) / 4.2 + least(0.1, 0.02 * n)), 3) AS confidence, a.k AS x, b.k AS y
+        FROM acc a JOIN acc b ON a.handle = b.handle AND a.k < b.k JOIN g ON g.handle = a.handle),
+      ok AS (SELECT *, unnest([x, y]) AS e FROM p WHERE confidence >= 0.45)
+    SELECT 'cross_platform:' || platform_a || ':' || platform_b || ':' || handle AS id,
+      'username:' || handle || '@' || platform_a AS source_id, 'username:' || handle || '@' || platform_b AS target_id,
+      'same_person' AS relationship_type, count(DISTINCT e) AS evidence_count
+    FROM ok GROUP BY platform_a, platform_b, handle
+    UNION ALL SELECT 'username_person:' || handle || ':' || lower(full_name), 'username:' || handle,
+      'person:' || lower(full_name), 'same_person', count(DISTINCT k) FROM acc
+      WHERE handle IN (SELECT handle FROM acc GROUP BY handle HAVING count(*) > 1) GROUP BY handle, full_name""",
+)
+def _(spark, d):
+    from linkloom.plans.correlate import correlate
+
+    profile = F.struct("full_name", "email", "bio", "organization", "website", "location")
+    obs = _accounts(spark, d).select(
+        F.col("observation_id").alias("id"), "investigation_id", F.col("platform").alias("source_adapter"),
+        F.lit(DOC_TIME).cast("timestamp").alias("collected_at"), F.lit("profile").alias("method"),
+        F.trim("username").alias("target"),
+        F.to_json(F.struct(F.lit(True).alias("found"), profile.alias("profile"))).alias("raw_response"),
+        F.lower(F.trim("username")).alias("normalized_value"), "confidence", F.lit("active").alias("status"),
+    )
+    rels = correlate(obs, DOC_TIME, fuzzy=False)["relationships"].where("relationship_type = 'same_person'")
+    return rels.select("id", "source_id", "target_id", "relationship_type", "evidence_count")
+
+
 @query(
     "r7d_accounts",
     """SELECT 'gitlab-' || c_custkey AS observation_id, 'gitlab' AS platform, 'user' || c_custkey AS username,
@@ -301,6 +334,25 @@ def _(spark, d):
     return accounts.candidate_handles(rows, rows)
 
 
+@query(
+    "r8_leet_variants",
+    """WITH n AS (SELECT DISTINCT lower(replace(n_name, '_', '')) AS u FROM nation),
+      m AS (SELECT u, MAP {'a': '4', 'e': '3', 'i': '1', 'o': '0', 's': '5', 't': '7', 'l': '1', 'b': '8', 'g': '9',
+        'z': '2'} AS d FROM n),
+      p AS (SELECT u, d, list_filter(range(1, length(u) + 1), lambda i: len(map_keys(d)) > 0
+        AND list_contains(map_keys(d), u[i:i])) AS ps FROM m),
+      v AS (SELECT u, list_transform(ps, lambda i: u[:i-1] || d[u[i:i]] || u[i+1:]) AS one,
+        flatten(list_transform(ps, lambda i: list_transform(list_filter(ps, lambda j: j > i),
+          lambda j: u[:i-1] || d[u[i:i]] || u[i+1:j-1] || d[u[j:j]] || u[j+1:]))) AS two FROM p)
+    SELECT u AS username, unnest([u, 'the' || u, 'real' || u, u || '0', u || '1', u || '2'] || one || two) AS variant
+    FROM v""",
+)
+def _(spark, d):
+    name = F.lower(F.replace(F.col("n_name"), F.lit("_"), F.lit("")))
+    names = table(spark, d, "nation").select(name.alias("username")).distinct()
+    return names.select("username", F.explode(accounts.handle_variants(F.col("username"))).alias("variant"))
+
+
 @query(
     "r8_part_name_variants",
     """WITH n AS (SELECT DISTINCT p_name AS username, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b

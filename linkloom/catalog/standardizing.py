@@ -165,11 +165,10 @@ def _(spark, d):
 
 @query(
     "p7_redact_messages",
-    f"""SELECT conv_id, turn, CASE WHEN length(r) > 500 THEN r[:500] || '...' ELSE r END AS redacted
-    FROM (SELECT conv_id, turn, {_redact_sql('text')} AS r FROM conversations)""",
+    f"SELECT conv_id, turn, {_redact_sql('text')} AS redacted FROM conversations",
 )
 def _(spark, d):
-    rows = st.redact_text(texts(spark, d, "conversations", "conv_id", "turn", "text"), "text", 500, "redacted")
+    rows = st.redact_text(texts(spark, d, "conversations", "conv_id", "turn", "text"), "text", out="redacted")
     return rows.select("conv_id", "turn", "redacted")
 
 

@@ -272,8 +272,6 @@ LEET_DIGITS = {
     "g": "9",
     "z": "2",
 }
-MAX_LEET_VARIANTS = 4
-MAX_HANDLE_VARIANTS = 15
 PERSONAL_TLDS = [".dev", ".io", ".com", ".me", ".xyz", ".site", ".app"]
 
 # --- Fixed values: company endings ignored when names are compared ------------------------------------------------

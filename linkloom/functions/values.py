@@ -305,7 +305,7 @@ def timestamp(value: Column) -> Column:
     )
 
 
-def redacted(value: Column, limit: int | None = 500) -> Column:
+def redacted(value: Column, limit: int | None = None) -> Column:
     """Text without secrets, file paths, internal addresses and connection strings."""
     text = F.regexp_replace(value, fixed.SECRET_TEXT, "$1=[REDACTED]")
     text = F.regexp_replace(text, fixed.WINDOWS_PATH, "[path]")

@@ -78,12 +78,13 @@ _RULES = [
 ]
 
 
-def link_accounts(accts: DataFrame) -> DataFrame:
-    """same_person edges between accounts of one user name whose shared attributes weigh enough.
+def account_links(accts: DataFrame) -> DataFrame:
+    """same_person links between accounts of one user name whose shared attributes weigh enough, one row per account
+    that supports a link between two platforms.
 
     Accounts with the same attributes on the same platform count as one profile, so copies do not multiply. Profiles
     are compared only when they share attributes that can carry a pair over the threshold; nothing that reaches it is
-    missed. One edge per user name and pair of platforms; its evidence is counted, the best score wins.
+    missed.
     """
     inv = "investigation_id"
     named = accts.withColumn("handle", _plain(F.col("username")))
@@ -146,13 +147,8 @@ def link_accounts(accts: DataFrame) -> DataFrame:
         inv, "handle", "platform_a", "platform_b", "confidence",
         F.explode(F.array("a_observation_id", "b_observation_id")).alias("_e"),
     )
-    merged = evidence.groupBy(inv, "handle", "platform_a", "platform_b").agg(
-        F.max("confidence").alias("confidence"),
-        F.min("_e").alias("observation_id"),
-        F.count_distinct("_e").alias("evidence_count"),
-    )
     user = values.entity_id(F.lit("Username"), F.col("handle"))
-    return merged.select(
+    return evidence.select(
         inv,
         F.concat_ws(":", F.lit("cross_platform"), "platform_a", "platform_b", "handle").alias("id"),
         "handle",
@@ -162,8 +158,17 @@ def link_accounts(accts: DataFrame) -> DataFrame:
         F.concat_ws("@", user, "platform_b").alias("target_id"),
         F.lit("same_person").alias("relationship_type"),
         "confidence",
-        "observation_id",
-        "evidence_count",
+        F.col("_e").alias("observation_id"),
+    )
+
+
+def link_accounts(accts: DataFrame) -> DataFrame:
+    """One edge per user name and pair of platforms; its evidence is counted, the best score wins."""
+    edge = ["investigation_id", "id", "handle", "platform_a", "platform_b", "source_id", "target_id", "relationship_type"]
+    return account_links(accts).groupBy(*edge).agg(
+        F.max("confidence").alias("confidence"),
+        F.min("observation_id").alias("observation_id"),
+        F.count_distinct("observation_id").alias("evidence_count"),
     )
 
 
@@ -244,7 +249,7 @@ def _split(handle: Column) -> Column:
 
 
 def _leet(word: Column) -> Column:
-    """Up to four spellings with one, then two letters as digits."""
+    """All spellings with one, then with two letters as digits."""
     table = F.create_map(*[F.lit(x) for pair in fixed.LEET_DIGITS.items() for x in pair])
     places = F.filter(
         F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))),
@@ -261,11 +266,11 @@ def _leet(word: Column) -> Column:
             lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: put(put(word, i), j)),
         )
     )
-    return F.slice(F.array_distinct(F.concat(single, double)), 1, fixed.MAX_LEET_VARIANTS)
+    return F.array_distinct(F.concat(single, double))
 
 
-def handle_variants(handle: Column, limit: int = fixed.MAX_HANDLE_VARIANTS) -> Column:
-    """The handle itself, then its likely variants in order of preference, at most ``limit`` of them."""
+def handle_variants(handle: Column) -> Column:
+    """The handle itself, then all its likely variants in order of preference; their number is bounded by its length."""
     base = F.lower(handle)
     camel = F.filter(F.split(F.regexp_replace(handle, "([a-z])([A-Z])", "$1 $2"), r"\s+"), lambda p: p != "")
     parts = F.array_distinct(F.concat(_split(handle), camel))
@@ -294,10 +299,10 @@ def handle_variants(handle: Column, limit: int = fixed.MAX_HANDLE_VARIANTS) -> C
     )
     variants = F.when(F.size(parts) < 2, one).otherwise(many)
     other = F.array_distinct(F.filter(variants, lambda v: (v != base) & (v != "")))
-    return F.concat(F.array(base), F.slice(other, 1, limit))
+    return F.concat(F.array(base), other)
 
 
-def probe_variants(handle: Column, limit: int = 10) -> Column:
+def probe_variants(handle: Column) -> Column:
     """Fewer, safer variants: separators, reversed parts, a number behind the joined parts."""
     base = F.lower(values.trimmed(handle))
     parts = _split(base)
@@ -310,7 +315,7 @@ def probe_variants(handle: Column, limit: int = 10) -> Column:
     )
     one = F.array(*[F.concat(base, F.lit(s)) for s in ("0", "1", "dev")])
     other = F.array_distinct(F.filter(F.when(F.size(parts) >= 2, many).otherwise(one), lambda v: v != base))
-    return F.concat(F.array(base), F.slice(other, 1, limit))
+    return F.concat(F.array(base), other)
 
 
 def candidate_handles(
@@ -347,14 +352,11 @@ def personal_domains(handle: Column) -> Column:
     ).otherwise(F.array(clean))
     endings = F.array(*[F.lit(t) for t in fixed.PERSONAL_TLDS])
     wide = F.flatten(F.transform(stems, lambda s: F.transform(endings, lambda t: F.concat(s, t))))
-    more = F.transform(
-        F.slice(handle_variants(handle), 1, 3), lambda v: F.regexp_replace(F.lower(v), "[^a-z0-9]", "")
-    )
-    few = F.slice(endings, 1, 3)
+    more = F.transform(handle_variants(handle), lambda v: F.regexp_replace(F.lower(v), "[^a-z0-9]", ""))
     extra = F.flatten(
         F.transform(
             F.filter(more, lambda v: (v != "") & (v != clean)),
-            lambda v: F.transform(few, lambda t: F.concat(v, t)),
+            lambda v: F.transform(endings, lambda t: F.concat(v, t)),
         )
     )
     return F.array_distinct(F.concat(wide, extra))

@@ -18,7 +18,7 @@ def _page(df: DataFrame, limit: int | None, offset: int) -> DataFrame:
 
 
 def list_investigations(
-    inv: DataFrame, status: str | None = None, limit: int | None = 50, offset: int = 0
+    inv: DataFrame, status: str | None, limit: int | None, offset: int = 0
 ) -> DataFrame:
     rows = inv if status is None else inv.where(F.col("status") == status)
     return _page(rows.orderBy(F.desc("created_at"), "id"), limit, offset)
@@ -41,7 +41,7 @@ def evidence_by_value(obs: DataFrame, ents: DataFrame) -> DataFrame:
     return exact.select(*cols).unionByName(folded.select(*cols)).distinct()
 
 
-def entity_evidence(ents: DataFrame, prov: DataFrame, obs: DataFrame, newest: int = 20) -> DataFrame:
+def entity_evidence(ents: DataFrame, prov: DataFrame, obs: DataFrame, newest: int | None) -> DataFrame:
     """The newest observations behind each entity.
 
     Own provenance comes first; an entity without any falls back to provenance of the same id in other
@@ -73,8 +73,11 @@ def entity_evidence(ents: DataFrame, prov: DataFrame, obs: DataFrame, newest: in
     return first_rows(every, keys, order, newest)
 
 
-def entity_context(ents: DataFrame, rels: DataFrame, prov: DataFrame, obs: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """All there is to know about entities (investigation_id, id): themselves, evidence, edges, neighbours."""
+def entity_context(
+    ents: DataFrame, rels: DataFrame, prov: DataFrame, obs: DataFrame, ids: DataFrame, newest: int | None = None
+) -> dict[str, DataFrame]:
+    """All there is to know about entities (investigation_id, id): themselves, evidence (all of it, or the ``newest`` of
+    each), edges, neighbours."""
     chosen = ents.join(ids.select("investigation_id", "id").distinct(), ["investigation_id", "id"], "left_semi")
     seeds = chosen.select("investigation_id", F.col("id").alias("seed"))
     edges = entity_relationships(rels, seeds, incident_only=True)
@@ -82,17 +85,17 @@ def entity_context(ents: DataFrame, rels: DataFrame, prov: DataFrame, obs: DataF
     near = edges.select("investigation_id", "seed", other.alias("id")).distinct()
     return {
         "entities": chosen,
-        "evidence": entity_evidence(chosen, prov, obs),
+        "evidence": entity_evidence(chosen, prov, obs, newest),
         "relationships": edges,
         "related": near.join(ents, ["investigation_id", "id"]),
     }
 
 
-def activity_page(activity: DataFrame, limit: int | None = 50, offset: int = 0) -> DataFrame:
+def activity_page(activity: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     return _page(activity.orderBy(F.desc("created_at"), F.desc("id")), limit, offset)
 
 
-def observation_page(obs: DataFrame, limit: int | None = 50, offset: int = 0) -> DataFrame:
+def observation_page(obs: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     return _page(obs.orderBy(F.desc("collected_at"), F.desc("id")), limit, offset)
 
 
@@ -138,7 +141,7 @@ def search_investigations(inv: DataFrame, text: str = "", status: str | None = N
     return rows.orderBy(F.desc("created_at"), "id")
 
 
-def timeline(activity: DataFrame, obs: DataFrame, n: int = 50) -> DataFrame:
+def timeline(activity: DataFrame, obs: DataFrame, n: int | None) -> DataFrame:
     """The last ``n`` activities and the last ``n`` observations in one list, newest first."""
 
     def part(path: str, before: str = "", after: str = ""):
@@ -172,7 +175,7 @@ def timeline(activity: DataFrame, obs: DataFrame, n: int = 50) -> DataFrame:
     return done.unionByName(seen).orderBy(F.desc("at"), "id")
 
 
-def cap_graph(ents: DataFrame, rels: DataFrame, nodes: int = 500, edges: int = 800) -> tuple[DataFrame, DataFrame]:
+def cap_graph(ents: DataFrame, rels: DataFrame, nodes: int, edges: int) -> tuple[DataFrame, DataFrame]:
     """As much of a graph as a screen shows: the first nodes and edges by id."""
     return (
         ents.orderBy("investigation_id", "id").limit(nodes),
@@ -187,7 +190,7 @@ def stop_reasons(activity: DataFrame) -> DataFrame:
     return last.select("investigation_id", F.get_json_object("_d", "$.stop_reason").alias("stop_reason"))
 
 
-def recent_dispatches(activity: DataFrame, n: int = 10, event_type: str = "pivot_dispatched") -> DataFrame:
+def recent_dispatches(activity: DataFrame, n: int, event_type: str = "pivot_dispatched") -> DataFrame:
     """The newest ``n`` dispatches of every investigation."""
     rows = activity.where((F.col("event_type") == event_type) & F.try_parse_json("details").isNotNull())
     newest = first_rows(rows, ["investigation_id"], [F.desc("created_at"), F.desc("id")], n)

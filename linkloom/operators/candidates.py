@@ -15,6 +15,7 @@ def select_candidates(
     counts: DataFrame,
     budgets: DataFrame,
     permitted: list[str] | None = None,
+    calls_per_action: int = fixed.CALLS_PER_ACTION_AND_ROUND,
 ) -> DataFrame:
     """Candidates to dispatch, best priority first: permitted action, new target, action under its limit, in budget.
 
@@ -32,7 +33,7 @@ def select_candidates(
     )
     used = counts.select(inv, "action", "calls")
     under = fresh.join(used, [inv, "action"], "left").where(
-        F.coalesce("calls", F.lit(0)) < fixed.CALLS_PER_ACTION_AND_ROUND
+        F.coalesce("calls", F.lit(0)) < calls_per_action
     )
     ranked = numbered(under.drop("calls"), [inv], ["priority", "position"], "_rank")
     allowed = ranked.join(budgets.select(inv, "budget"), inv, "left").where(

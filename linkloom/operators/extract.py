@@ -323,7 +323,7 @@ def _whois(p: Column):
     return mentions, edges, links
 
 
-def _ct(p: Column, max_certs: int | None = 100):
+def _ct(p: Column, max_certs: int | None = None):
     every = F.coalesce(p["certificates"], F.array().cast("array<struct<id:string,common_name:string,"
                                                           "name_value:string,issuer_name:string>>"))
     certs = every if max_certs is None else F.slice(every, 1, max_certs)
@@ -806,7 +806,7 @@ def _rows(obs: DataFrame, which: str, adapters: list[str], generic: bool, max_ce
     return rows.select(*keys, F.inline(array))
 
 
-def _mentions(obs: DataFrame, adapters: list[str], generic: bool, max_certs: int | None = 100) -> DataFrame:
+def _mentions(obs: DataFrame, adapters: list[str], generic: bool, max_certs: int | None = None) -> DataFrame:
     keys = ["investigation_id", "observation_id", "source", "seen_at"]
     raw = _rows(obs, "mentions", adapters, generic, max_certs).withColumnRenamed("id", "stated_id")
     valued = raw.withColumn("value", _standard("type", "raw", "verbatim")).where(F.col("value") != "")
@@ -821,7 +821,7 @@ def _mentions(obs: DataFrame, adapters: list[str], generic: bool, max_certs: int
     )
 
 
-def _edges(obs: DataFrame, which: str, adapters: list[str], max_certs: int | None = 100) -> DataFrame:
+def _edges(obs: DataFrame, which: str, adapters: list[str], max_certs: int | None = None) -> DataFrame:
     raw = _rows(obs, which, adapters, False, max_certs)
 
     ends = raw.withColumn("_src", _standard("src_type", "src_raw", "verbatim")).withColumn(
@@ -854,7 +854,7 @@ def register_extractor(adapter: str, extractor: Extractor) -> None:
 
 
 def _adapter_job(*adapters: str) -> Callable[..., tuple[DataFrame, DataFrame]]:
-    def job(obs: DataFrame, max_certs: int | None = 100) -> tuple[DataFrame, DataFrame]:
+    def job(obs: DataFrame, max_certs: int | None = None) -> tuple[DataFrame, DataFrame]:
         mine = list(adapters)
         return _mentions(obs, mine, False, max_certs), _edges(obs, "edges", mine, max_certs)
 
@@ -887,7 +887,7 @@ def present_adapters(obs: DataFrame) -> list[str]:
 
 
 def extract_all(
-    obs: DataFrame, max_certs: int | None = 100, adapters: list[str] | None = None
+    obs: DataFrame, max_certs: int | None = None, adapters: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Mentions and edges of every observation, each adapter by its own rule, unknown ones as text.
 

@@ -9,8 +9,6 @@ from linkloom.functions import values
 from linkloom.operators.resolve import edges_bidi
 from linkloom.session import cut_lineage
 
-MAX_DEPTH = 6
-MAX_HOPS = 10
 
 
 def subgraph(
@@ -59,7 +57,8 @@ def reach(rels: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     ``seeds``: investigation_id, seed. Each hop joins only the newest nodes with the edges and drops the ones already
     seen. Deep searches write every frontier to the checkpoint folder, so a plan never repeats an earlier hop.
     """
-    depth = max(1, min(depth, MAX_DEPTH))
+    if depth < 1:
+        raise ValueError("depth must be 1 or more")
     keys = ["investigation_id", "seed"]
     links = _links(rels, depth)
     frontier = seeds.select(*keys, F.col("seed").alias("node")).distinct()
@@ -81,7 +80,7 @@ def reach(rels: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 def neighbors(
     ents: DataFrame, rels: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Entities within ``depth`` hops (1 to 6) of every seed, and all edges among them.
+    """Entities within ``depth`` hops of every seed, and all edges among them.
 
     ``max_nodes`` keeps the nearest nodes of each seed, ties by id; it is off by default.
     """
@@ -111,13 +110,14 @@ def entity_relationships(rels: DataFrame, ids: DataFrame, incident_only: bool =
 
 
 def paths(rels: DataFrame, pairs: DataFrame, max_hops: int = 4, keep: int | None = None) -> DataFrame:
-    """All simple paths of at most ``max_hops`` edges (1 to 10) between the pairs (investigation_id, src, dst).
+    """All simple paths of at most ``max_hops`` edges between the pairs (investigation_id, src, dst).
 
     A first pass walks backwards from the targets and notes how far each node is from them. The forward pass then only
     grows a path when its end can still reach its target with the hops left, so dead ends are never carried along.
-    ``keep`` keeps that many paths per pair, shortest first.
+    ``keep`` keeps that many paths per pair, shortest first; a pair that has them is not searched any further.
     """
-    max_hops = max(1, min(max_hops, MAX_HOPS))
+    if max_hops < 1:
+        raise ValueError("max_hops must be 1 or more")
     inv = "investigation_id"
     links = _links(rels, max_hops)
     targets = pairs.select(inv, F.col("dst")).distinct()
@@ -151,6 +151,10 @@ def paths(rels: DataFrame, pairs: DataFrame, max_hops: int = 4, keep: int | None
             step = cut_lineage(step)
         done = done.unionByName(step.where(F.col("node") == F.col("dst")))
         growing = step.where(F.col("node") != F.col("dst"))
+        if keep is not None and 1 < hop < max_hops:
+            # All paths found later are longer.
+            full = done.groupBy(inv, "src", "dst").count().where(F.col("count") >= keep).drop("count")
+            growing = growing.join(full, [inv, "src", "dst"], "left_anti")
     found = done.select(inv, "src", "dst", "path", (F.size("path") - 1).alias("hops"))
     if keep is not None:
         from pyspark.sql import Window as W

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from linkloom.session import cut_lineage
 
 
-def first_rows(df: DataFrame, keys: list[str | Column], order: list[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows per key. Spark prunes each task's rows to ``n`` per key before the shuffle."""
+def first_rows(df: DataFrame, keys: list[str | Column], order: list[Column], n: int | None = 1) -> DataFrame:
+    """The first ``n`` rows per key, or all. Spark prunes each task's rows to ``n`` per key before the shuffle."""
+    if n is None:
+        return df
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n).drop("_n")
 

@@ -120,7 +120,7 @@ def match_profiles(hits: DataFrame, keys: list[str]) -> DataFrame:
 # --- search hits -------------------------------------------------------------------------------------------------
 
 
-def normalize_hits(raw: DataFrame, payload_col: str = "payload", max_results: int | None = 10) -> DataFrame:
+def normalize_hits(raw: DataFrame, payload_col: str = "payload", max_results: int | None = None) -> DataFrame:
     """Provider payloads as uniform hits; the rank counts usable results from 0."""
     items = F.from_json(
         payload_col, "results ARRAY<STRUCT<title STRING, url STRING, content STRING, engine STRING>>"

@@ -157,7 +157,7 @@ def investigation_report(tables: Tables) -> DataFrame:
     return out
 
 
-def workspace_report(tables: Tables, last: int = 50) -> Tables:
+def workspace_report(tables: Tables, last: int) -> Tables:
     """Sections over all investigations; every investigation's report is made in the same pass."""
     from linkloom.operators.link import workspace_notes
 

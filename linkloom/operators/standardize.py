@@ -75,8 +75,8 @@ def validate_targets(df: DataFrame, col: str = "target", type_col: str = "target
     return with_clean.withColumn("reject_reason", reason)
 
 
-def redact_text(df: DataFrame, col: str, max_len: int | None = 500, out: str | None = None) -> DataFrame:
-    """Redacts secrets, paths, internal addresses and connection strings. ``max_len=None`` keeps the whole text."""
+def redact_text(df: DataFrame, col: str, max_len: int | None = None, out: str | None = None) -> DataFrame:
+    """Redacts secrets, paths, internal addresses and connection strings. ``max_len`` cuts longer texts."""
     return df.withColumn(out or col, values.redacted(F.col(col), max_len))
 
 

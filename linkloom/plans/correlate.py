@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators import extract, link, resolve, score
+from linkloom.operators import accounts, extract, link, resolve, score
 from linkloom.session import cut_lineage
 
 
-def correlate(obs: DataFrame, as_of: str, fuzzy: bool = True, co_occurrence: bool = True) -> dict[str, DataFrame]:
+def correlate(
+    obs: DataFrame, as_of: str, fuzzy: bool = True, co_occurrence: bool = False, link_accounts: bool = True
+) -> dict[str, DataFrame]:
     """Entities, relationships and provenance of a table of observations.
 
-    Mentions and extracted edges are read several times, so they are written once.
+    Mentions and extracted edges are read several times, so they are written once. ``link_accounts`` also links the
+    accounts of one user name across platforms and adds the people, emails and organizations behind them.
+    ``co_occurrence`` links all entities of one observation: its result grows with the square of what an observation
+    holds, so it is off unless asked for.
     """
     adapters = extract.present_adapters(obs)
     mentions, edges = extract.extract_all(obs, adapters=adapters)
-    return relate(obs, cut_lineage(mentions), cut_lineage(edges), as_of, fuzzy, co_occurrence, adapters)
+    same_person = None
+    if link_accounts:
+        now = F.lit(as_of).cast("timestamp")
+        found = cut_lineage(accounts.accounts(obs))
+        more_mentions, more_edges = accounts.account_entities(found, now)
+        mentions, edges = mentions.unionByName(more_mentions), edges.unionByName(more_edges)
+        same_person = accounts.account_links(found).select(
+            "investigation_id", "observation_id", "id", "source_id", "target_id", "relationship_type", "confidence",
+            F.lit("").alias("method"), now.alias("seen_at"),
+        )
+    return relate(obs, cut_lineage(mentions), cut_lineage(edges), as_of, fuzzy, co_occurrence, adapters, same_person)
 
 
 def relate(
@@ -25,8 +40,9 @@ def relate(
     edges: DataFrame,
     as_of: str,
     fuzzy: bool = True,
-    co_occurrence: bool = True,
+    co_occurrence: bool = False,
     adapters: list[str] | None = None,
+    same_person: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The steps after extraction: resolve, link, merge, score. Entities are written once; every later step joins them."""
     now = F.lit(as_of).cast("timestamp")
@@ -40,6 +56,8 @@ def relate(
     if fuzzy:
         tables.append(resolve.similarity_edges(resolve.similar_entities(ents), now))
     tables.append(edges)
+    if same_person is not None:
+        tables.append(same_person)
     rels = resolve.merge_relationships(*tables)
     scored, scored_rels = score.score_all(ents, rels, as_of)
     return {"entities": scored, "relationships": scored_rels, "entity_provenance": resolve.entity_provenance(mentions)}

@@ -36,7 +36,7 @@ def stream_correlate(
     as_of: str,
     buckets: int = 64,
     fuzzy: bool = True,
-    co_occurrence: bool = True,
+    co_occurrence: bool = False,
 ) -> StreamingQuery:
     """Correlates observations batch by batch; a batch run twice leaves the same tables.
 

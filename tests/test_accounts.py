@@ -88,10 +88,9 @@ def test_handle_variants(spark):
 
     got = dict(zip(["alice", "John_Doe", "a.b.c"], column(spark, ["alice", "John_Doe", "a.b.c"], accounts.handle_variants, "string")))
     assert got["alice"][:6] == ["alice", "thealice", "realalice", "alice0", "alice1", "alice2"]
-    assert got["alice"][6:] == ["4lice", "a1ice", "al1ce", "alic3"]
+    assert got["alice"][6:11] == ["4lice", "a1ice", "al1ce", "alic3", "41ice"] and len(got["alice"]) == 16
     # the whole handle counts as one more part, because it has no camel case to split
     assert got["John_Doe"][1] == "JohnDoeJohn_Doe"
-    assert all(len(v) <= 16 for v in got.values())
     probe = column(spark, ["John_Doe", "solo"], accounts.probe_variants)
     assert probe[0][:5] == ["john_doe", "johndoe", "john.doe", "john-doe", "doejohn"]
     assert probe[1] == ["solo", "solo0", "solo1", "solodev"]
