@@ -158,12 +158,42 @@ def _names(spark, d):
     )
 
 
-@query("r4_similar_names")
+# The ratio is that of recursively longest common substrings, the earliest in the first name, then in the second.
+_SIMILAR_SQL = """RECURSIVE nm AS (SELECT DISTINCT p_type AS inv, 'organization:' || p_name || ' ' || p_brand AS id,
+      lower(p_name || ' ' || p_brand) AS s FROM part),
+    pr AS (SELECT a.inv, a.id AS id_a, b.id AS id_b, a.s AS a, b.s AS b
+      FROM nm a JOIN nm b ON a.inv = b.inv AND a.id < b.id
+      WHERE 2 * list_sum(list_transform(list_distinct(string_split(a.s, '')), lambda c: least(
+        length(a.s) - length(replace(a.s, c, '')), length(b.s) - length(replace(b.s, c, '')))))
+        >= 0.85 * (length(a.s) + length(b.s))),
+    seg AS (SELECT inv, id_a, id_b, a AS x, b AS y, 0 AS m FROM pr
+      UNION ALL
+      SELECT inv, id_a, id_b, unnest([x[:i-1], x[i+l:]]), unnest([y[:j-1], y[j+l:]]), unnest([l, 0])
+      FROM (SELECT inv, id_a, id_b, x, y, best['l'] AS l, -best['i'] AS i, -best['j'] AS j
+        FROM (SELECT inv, id_a, id_b, x, y, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: flatten(
+          list_transform(range(1, length(y) + 1), lambda j: list_transform(list_filter(
+            range(1, least(length(x) - i, length(y) - j) + 2), lambda l: x[i:i+l-1] = y[j:j+l-1]),
+            lambda l: {'l': l, 'i': -i, 'j': -j})))))) AS best
+          FROM seg WHERE x <> '' AND y <> '') WHERE best IS NOT NULL)),
+    alike AS (SELECT inv AS investigation_id, id_a, id_b,
+      2.0 * sum(m) / (any_value(length(a)) + any_value(length(b))) AS similarity
+      FROM seg JOIN pr USING (inv, id_a, id_b) GROUP BY ALL HAVING similarity >= 0.85)"""
+
+
+@query(
+    "r4_similar_names",
+    f"WITH {_SIMILAR_SQL} SELECT investigation_id, 'Organization' AS type, id_a, id_b, similarity FROM alike",
+)
 def _(spark, d):
     return resolve.similar_entities(_names(spark, d))
 
 
-@query("r5_similarity_edges")
+@query(
+    "r5_similarity_edges",
+    f"""WITH {_SIMILAR_SQL} SELECT investigation_id, NULL::VARCHAR AS observation_id, NULL::TIMESTAMP AS seen_at,
+      'similarity:' || id_a || ':' || id_b AS id, id_a AS source_id, id_b AS target_id,
+      'co_occurs_with' AS relationship_type, similarity AS confidence, 'fuzzy_similarity' AS method FROM alike""",
+)
 def _(spark, d):
     return resolve.similarity_edges(resolve.similar_entities(_names(spark, d), normalize=True))
 

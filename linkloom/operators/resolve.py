@@ -232,6 +232,31 @@ def _character_tokens(text: Column) -> Column:
     )
 
 
+def _grams(name: Column) -> Column:
+    """Pairs of neighbouring characters, numbered by occurrence."""
+    n = F.length(name)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: name.substr(i, F.lit(2))))
+    pairs = F.coalesce(pairs, F.array().cast("array<string>"))
+    return F.transform(
+        pairs,
+        lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda d: d == g)).cast("string")),
+    )
+
+
+def _slack(la: Column, lb: Column, t: float) -> Column:
+    """Most characters that can stay unmatched in names of lengths la <= lb; what the lengths differ by is one part, the
+    rest falls on both alike."""
+    most = F.floor((1 - t) * (la + lb) + 1e-9).cast("int")
+    return most - F.pmod(most - (lb - la), F.lit(2))
+
+
+def _least_grams(x: Column, y: Column, t: float) -> Column:
+    """Grams that names of these lengths share at least: the matched characters, less one for each matched block."""
+    la, lb = F.least(x, y), F.greatest(x, y)
+    most = _slack(la, lb, t)
+    return ((la + lb - most) / 2).cast("int") - most - 1
+
+
 def _pieces(length: Column, parts: Column, index: Column) -> tuple[Column, Column]:
     """Start (from 0) and size of piece ``index`` when a text is cut into ``parts`` even pieces."""
     start = F.floor(length * index / parts)
@@ -243,10 +268,12 @@ def similar_entities(
 ) -> DataFrame:
     """Pairs of entities of one investigation and type whose names are at least ``threshold`` alike.
 
-    Candidates come from an equi-join that loses no pair: a ratio of t over lengths la <= lb leaves at most
-    u = (1 - t)(la + lb) unmatched characters, so of u + 1 pieces of the shorter name one stands unchanged in the
-    longer name, moved by no more than the unmatched characters allow. An upper bound on the ratio from character
-    counts then removes most candidates before Python compares the rest.
+    Candidates come from equi-joins that lose no pair. A ratio of t over lengths la <= lb leaves at most
+    u = (1 - t)(la + lb) unmatched characters, so at least so many grams are shared; then the names also share one of
+    the first few of their grams in the order of their frequency, rare ones first. A stem that all names share is
+    never a key. Where lengths and threshold guarantee no shared gram, one of u + 1 pieces of the shorter name stands
+    unchanged in the longer name, moved by no more than the unmatched characters allow. Upper bounds on the ratio from
+    the edit distance and the character counts remove most candidates before Python compares the rest.
     """
     t = threshold
     text = values.comparison_key(F.col("type"), F.col("value")) if normalize else F.col("value")
@@ -259,16 +286,39 @@ def similar_entities(
     eps = 1e-9
 
     def slack(la: Column, lb: Column) -> Column:
-        return F.floor((1 - t) * (la + lb) + eps).cast("int")
+        return _slack(la, lb, t)
 
     n = F.col("n")
     longest = F.floor(n * (2 - t) / t + eps).cast("int")
     shortest = F.greatest(F.lit(1), F.ceil(n * t / (2 - t) - eps).cast("int"))
+    kind = ["investigation_id", "type"]
+    # A name's prefix of grams is long enough for the partner length that guarantees the fewest shared ones.
+    fewest = F.array_min(
+        F.filter(F.transform(F.sequence(shortest, longest), lambda m: _least_grams(n, m, t)), lambda c: c >= 1)
+    )
+    grams = names.withColumn("_c", fewest).where(F.col("_c").isNotNull()).select(
+        *kind, "id", "n", (n - 1 - F.col("_c") + 1).alias("_take"), F.explode(_grams(F.col("name"))).alias("gram")
+    )
+    frequency = grams.groupBy(*kind, "gram").agg(F.count("*").alias("_f"))
+    rare_first = W.partitionBy(*kind, "id").orderBy("_f", "gram")
+    prefix = (
+        grams.join(frequency, [*kind, "gram"])
+        .withColumn("_k", F.row_number().over(rare_first))
+        .where(F.col("_k") <= F.col("_take"))
+        .select(*kind, "gram", "id", "n")
+    )
+    other = prefix.select(*kind, "gram", F.col("id").alias("_id"), F.col("n").alias("_n"))
+    by_gram = prefix.join(other, [*kind, "gram"]).where(
+        (F.col("id") < F.col("_id"))
+        & (F.greatest("n", "_n") - F.least("n", "_n") <= slack(F.least("n", "_n"), F.greatest("n", "_n")))
+    )
+    by_gram = by_gram.select(*kind, F.col("id").alias("id_a"), F.col("_id").alias("id_b"))
     short = (
         names.select(
             "investigation_id", "type", F.col("id").alias("id_s"), F.col("name").alias("_name"), F.col("n").alias("la"),
             F.explode(F.sequence(n, longest)).alias("lb"),
         )
+        .where(_least_grams(F.col("la"), F.col("lb"), t) < 1)
         .withColumn("_u", slack(F.col("la"), F.col("lb")))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_u"))))
     )
@@ -282,6 +332,7 @@ def similar_entities(
             "investigation_id", "type", F.col("id").alias("id_l"), F.col("name").alias("_name"), F.col("n").alias("lb"),
             F.explode(F.sequence(shortest, n)).alias("la"),
         )
+        .where(_least_grams(F.col("la"), F.col("lb"), t) < 1)
         .withColumn("_u", slack(F.col("la"), F.col("lb")))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_u"))))
     )
@@ -308,11 +359,15 @@ def similar_entities(
     met = short.join(long, on).where(F.col("id_s") != F.col("id_l"))
     pairs = met.select(
         "investigation_id", "type", F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b")
-    ).distinct()
+    )
+    pairs = pairs.unionByName(by_gram).distinct()
     facts = names.select("investigation_id", "id", "name", _character_tokens(F.col("name")).alias("tokens"))
     a = facts.select("investigation_id", F.col("id").alias("id_a"), F.col("name").alias("a"), F.col("tokens").alias("ta"))
     b = facts.select("investigation_id", F.col("id").alias("id_b"), F.col("name").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(a, ["investigation_id", "id_a"]).join(b, ["investigation_id", "id_b"])
+    # A replaced character counts once here and twice among the unmatched ones.
+    near = slack(F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b")))
+    both = both.where(F.levenshtein("a", "b") <= near)
     common = F.size(F.array_intersect("ta", "tb"))
     likely = both.where(2 * common >= t * (F.length("a") + F.length("b")) - eps)
     scored = likely.withColumn("similarity", _ratio("a", "b"))
