@@ -47,13 +47,25 @@ def _(spark, d):
 
 @query(
     "e1_text_entities_conversations",
-    f"""SELECT conv_id, turn, id, type, value FROM ({text_scan_sql('conversations', 'conv_id, turn')})""",
+    """WITH v AS (SELECT conv_id, turn, unnest([
+        {'type': 'IP', 'value': '93.184.' || conv_id % 250 || '.' || turn},
+        {'type': 'IP', 'value': '2001:db8::' || (1000 + conv_id % 9000)},
+        {'type': 'Email', 'value': 'user' || conv_id || '@mail' || turn || '.example.org'},
+        {'type': 'ASN', 'value': 'AS' || (64000 + turn)},
+        {'type': 'URL', 'value': 'https://site' || conv_id % 97 || '.example.com/p/' || turn},
+        {'type': 'Domain', 'value': 'site' || conv_id % 97 || '.example.com'},
+        {'type': 'Domain', 'value': 'host' || turn || '.example.net'}]) AS e FROM conversations)
+    SELECT conv_id, turn, lower(e.type) || ':' || e.value AS id, e.type AS type, e.value AS value FROM v""",
 )
 def _(spark, d):
-    rows = text.extract_from_text(
-        texts(spark, d, "conversations", "conv_id", "turn", "text"), "text", ["conv_id", "turn"]
+    """Messages that name one value of each kind, and two domains."""
+    said = (
+        "coalesce(text, '') || ' from User' || conv_id || '@Mail' || turn || '.example.org at 93.184.' || conv_id % 250 || '.' "
+        "|| turn || ' and 2001:0DB8:0::' || (1000 + conv_id % 9000) || ' in as' || (64000 + turn) || ', see https://site' "
+        "|| conv_id % 97 || '.example.com/p/' || turn || ' or Host' || turn || '.Example.net'"
     )
-    return rows.select("conv_id", "turn", "id", "type", "value")
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{said} AS text")
+    return text.extract_from_text(rows, "text", ["conv_id", "turn"]).select("conv_id", "turn", "id", "type", "value")
 
 
 # --- adapters ----------------------------------------------------------------------------------------------------

@@ -271,11 +271,13 @@ def _(spark, d):
 
 @query(
     "p13_unparked_pages",
-    r"""SELECT page_id, url FROM pages WHERE length(html) > 500 AND NOT regexp_matches(lower(html),
+    r"""SELECT page_id, url FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html || ' Buy this Domain' WHEN 1
+      THEN left(html, 300) ELSE html END AS html FROM pages) WHERE length(html) > 500 AND NOT regexp_matches(lower(html),
       'domain for sale|buy this domain|parked|coming soon|under construction|godaddy|namecheap|hover\.com')""",
 )
 def _(spark, d):
-    return pages.filter_parked(table(spark, d, "pages")).select("page_id", "url")
+    html = "CASE page_id % 4 WHEN 0 THEN html || ' Buy this Domain' WHEN 1 THEN left(html, 300) ELSE html END AS html"
+    return pages.filter_parked(table(spark, d, "pages").selectExpr("page_id", "url", html)).select("page_id", "url")
 
 
 @query(
