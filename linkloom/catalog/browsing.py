@@ -22,8 +22,11 @@ from linkloom.catalog.derive import (
 from linkloom.catalog.extracting import mentions_sql, text_scan_sql
 from linkloom.catalog.registry import query, table
 from linkloom.catalog.resolving import _RELS_SQL, _event_edges, event_entities
+from linkloom.functions import values
 from linkloom.operators import browse, candidates, graph as graphs, link, pages, report, resolve
 from linkloom.sources import bundle, stix, tables
+from linkloom.sources.observations import read_platforms
+from linkloom.sources.reports import write_report
 from linkloom.streaming import jobs
 
 _E = f"WITH {EVENTS_SQL}"
@@ -47,7 +50,8 @@ _E = f"WITH {EVENTS_SQL}"
         ELSE least(0.95, 0.8 + CASE WHEN length(b) > 10000 THEN 0.05 ELSE 0 END
           + CASE WHEN len(mustnot) > 0 THEN 0.05 ELSE 0 END) END::DOUBLE, 6) AS confidence,
       CASE WHEN refused THEN NULL WHEN missing IS NOT NULL THEN 'body missing required term: ' || missing
-        WHEN negative IS NOT NULL THEN 'body contains negative term: ' || negative END AS reason FROM k""",
+        WHEN negative IS NOT NULL THEN 'body contains negative term: ' || negative END AS reason,
+      'medium' AS evidence_confidence FROM k""",
 )
 def _(spark, d):
     rows = table(spark, d, "pages").select(
@@ -67,7 +71,7 @@ def _(spark, d):
         "CASE key WHEN 'org' THEN array('Der die') WHEN 'net' THEN array('queaux') END AS must_not",
     )
     out = pages.classify_pages(rows, rules)
-    return out.select("page_id", "found", F.round("confidence", 6).alias("confidence"), "reason")
+    return out.select("page_id", "found", F.round("confidence", 6).alias("confidence"), "reason", "evidence_confidence")
 
 
 @query(
@@ -80,7 +84,7 @@ def _(spark, d):
       ok AS (SELECT * FROM h WHERE NOT negative AND c_custkey % 4 <> 3)
     SELECT username, platform_key, count(*) AS matches, min(url) AS best_url,
       round((CASE any_value(platform_key) WHEN 'x_twitter' THEN 0.55 ELSE 0.5 END + CASE WHEN count(*) > 1 THEN 0.05 ELSE 0 END
-        + CASE WHEN bool_or(named) THEN 0.03 ELSE 0 END)::DOUBLE, 6) AS confidence FROM ok GROUP BY username, platform_key""",
+        + CASE WHEN bool_or(named) THEN 0.03 ELSE 0 END)::DOUBLE, 6) AS confidence, 'low' AS evidence_confidence FROM ok GROUP BY username, platform_key""",
 )
 def _(spark, d):
     rows = table(spark, d, "customer").selectExpr(
@@ -97,7 +101,63 @@ def _(spark, d):
         "CAST(c_custkey % 4 AS INT) AS rank",
     )
     out = pages.match_profiles(rows, [])
-    return out.select("username", "platform_key", "matches", "best_url", F.round("confidence", 6).alias("confidence"))
+    confidence = F.round("confidence", 6).alias("confidence")
+    return out.select("username", "platform_key", "matches", "best_url", confidence, "evidence_confidence")
+
+
+@query(
+    "c8_evidence_tiers",
+    """SELECT event_id, ['high', 'medium', 'low', 'low'][event_id % 4 + 1] AS tier FROM events""",
+)
+def _(spark, d):
+    method = F.element_at(
+        F.array(*[F.lit(m) for m in ("api", "direct_http", "search_discovery")], F.lit(None)), (F.col("event_id") % 4 + 1).cast("int")
+    )
+    return table(spark, d, "events").select("event_id", values.evidence_tier(method).alias("tier"))
+
+
+@query(
+    "s10_platform_rules",
+    """SELECT 'k' || s_suppkey AS key, s_name AS name, 'https://s.example/' || s_suppkey || '/{username}' AS url_pattern,
+      '404,' || (410 + s_suppkey % 2) AS fail_codes, 'gone' AS fail_body, '200' AS ok_codes,
+      s_name || ',profile' AS must_have, '' AS must_not
+    FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0""",
+)
+def _(spark, d):
+    """Rules written as one JSON object, one in five of them switched off, one in seven without a name; read back."""
+    rule = """named_struct('name', if(s_suppkey % 7 = 0, NULL, s_name),
+      'url_pattern', 'https://s.example/' || s_suppkey || '/{username}', 'enabled', s_suppkey % 5 <> 0,
+      'success_indicators', named_struct('status_codes', array(200), 'body_contains', array(s_name, 'profile'),
+        'body_not_contains', CAST(array() AS ARRAY<STRING>)),
+      'failure_indicators', named_struct('status_codes', array(404, CAST(410 + s_suppkey % 2 AS INT)),
+        'body_contains', array('gone'), 'body_not_contains', CAST(array() AS ARRAY<STRING>)))"""
+    rows = table(spark, d, "supplier").selectExpr("'k' || s_suppkey AS key", f"{rule} AS rule")
+    path = _folder(spark, "platforms")
+    rows.selectExpr("to_json(map_from_entries(collect_list(struct(key, rule))))").write.text(path)
+    found = read_platforms(spark, path)
+    lists = ["fail_codes", "fail_body", "ok_codes", "must_have", "must_not"]
+    return found.select("key", "name", "url_pattern", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in lists])
+
+
+@query(
+    "s11_stored_report",
+    """SELECT 'row' AS part, 'inv-' || c_nationkey AS investigation_id, 'customer:' || c_custkey AS id, 1 AS rows,
+      NULL AS format FROM customer
+    UNION ALL SELECT 'log', 'inv-' || c_nationkey, NULL, count(*), 'json' FROM customer GROUP BY c_nationkey""",
+)
+def _(spark, d):
+    """Report rows written as JSON and read back, and the log rows of the writing."""
+    rows = table(spark, d, "customer").selectExpr(
+        "'inv-' || c_nationkey AS investigation_id", "'customer:' || c_custkey AS id", "c_acctbal AS balance"
+    )
+    path, log = _folder(spark, "report"), _folder(spark, "reports")
+    write_report(rows, path, "json", log)
+    back = spark.read.schema("investigation_id string, id string, balance double").json(path)
+    kept = back.selectExpr("'row' AS part", "investigation_id", "id", "CAST(1 AS BIGINT) AS rows", "CAST(NULL AS STRING) AS format")
+    logged = spark.read.parquet(log).where(F.col("file_path") == path)
+    return kept.unionByName(
+        logged.selectExpr("'log' AS part", "investigation_id", "CAST(NULL AS STRING) AS id", "rows", "format")
+    )
 
 
 def _hits(spark, d):
