@@ -100,16 +100,16 @@ def shingle_classes(docs: DataFrame, size: int) -> np.ndarray:
     return bits
 
 
-SIGNATURE = "doc_id bigint, n bigint, set_id binary, gid binary, p0 bigint, p1 bigint, prefix array<bigint>, hot array<int>"
+SIGNATURE = "doc_id bigint, n bigint, set_id binary, gid binary, p array<bigint>, prefix array<bigint>, hot array<int>"
 
 
 def signatures(docs: DataFrame, bits: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per document: size and digest of its set, digest of its prefix and size, parities of its shingles by 128 kinds,
+    """Per document: size and digest of its set, digest of its prefix and size, parities of its shingles by 256 kinds,
     its prefix, and how hot each prefix shingle may be."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("gid", pa.binary())]
-        + [("p0", pa.int64()), ("p1", pa.int64()), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.int32()))]
+        + [("p", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +122,11 @@ def signatures(docs: DataFrame, bits: np.ndarray, size: int, percent: int) -> Da
                 n, take = len(found), prefix_length(len(found), percent)
                 first = np.argsort(kinds, kind="stable")[:take]
                 prefix = found[first]
-                odd = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-                p0, p1 = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+                odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                parities = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 gid = xxhash.xxh3_128_digest(n.to_bytes(8, "little") + prefix.tobytes())
                 hot = np.maximum(kinds[first].astype(np.int32) - HOT_BITS, 0)
-                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid, p0, p1, prefix.view(np.int64), hot))
+                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid, parities, prefix.view(np.int64), hot))
             columns = dict(zip(schema.names[1:], map(list, zip(*rows, strict=True)), strict=True)) if rows else None
             if columns:
                 yield record_batch(schema, {"doc_id": batch.column("doc_id"), **columns})
@@ -135,8 +135,9 @@ def signatures(docs: DataFrame, bits: np.ndarray, size: int, percent: int) -> Da
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """How many of the 128 parities differ: never more than the shingles that only one of the sets has."""
-    return F.bit_count(a["p0"].bitwiseXOR(b["p0"])) + F.bit_count(a["p1"].bitwiseXOR(b["p1"]))
+    """How many of the 256 parities differ: never more than the shingles that only one of the sets has."""
+    parts = [F.bit_count(F.get(a["p"], F.lit(k)).bitwiseXOR(F.get(b["p"], F.lit(k)))) for k in range(4)]
+    return parts[0] + parts[1] + parts[2] + parts[3]
 
 
 def _enough(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -200,50 +201,51 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     signed = written(signatures(docs, bits, size, percent))
     usable = signed.where("doc_id IS NOT NULL AND n > 0")
     # One class per set, named by its smallest document; one group per prefix and size, named by its smallest class.
-    rest = F.struct("n", "gid", "p0", "p1", "prefix", "hot")
+    rest = F.struct("n", "gid", "p", "prefix", "hot")
     classes = written(
         usable.groupBy("set_id").agg(F.min("doc_id").alias("cid"), F.min_by(rest, "doc_id").alias("r")).select("set_id", "cid", "r.*")
     )
     leaders = classes.groupBy("gid").agg(F.min("cid").alias("g"))
-    members = written(classes.select("gid", "cid", "n", "p0", "p1").join(leaders, "gid").select("g", "cid", "n", "p0", "p1"))
+    members = written(classes.select("gid", "cid", "n", "p").join(leaders, "gid").select("g", "cid", "n", "p"))
     heads = classes.join(leaders.select(F.col("gid").alias("_gid"), "g"), (F.col("gid") == F.col("_gid")) & (F.col("cid") == F.col("g")))
-    entries = heads.select("g", "n", "p0", "p1", F.posexplode(F.arrays_zip("prefix", "hot")).alias("at", "e")).select(
-        F.col("e.prefix").alias("key"), F.col("e.hot").alias("hot"), "g", "n", "at", "p0", "p1"
+    entries = heads.select("g", "n", "p", F.posexplode(F.arrays_zip("prefix", "hot")).alias("at", "e")).select(
+        F.col("e.prefix").alias("key"), F.col("e.hot").alias("hot"), "g", "n", "at", "p"
     )
-    # A hot shingle's groups are dealt out by part; in each part, groups stand by size.
+    # A hot shingle's groups are dealt out by part. In each part, groups stand by the place of the shingle: the fewer
+    # rarer shingles stand before it, the fewer the group has for itself, so a family's most typical member comes first.
     part = F.pmod(F.xxhash64("g"), F.pow(F.lit(2), F.col("hot")).cast("bigint"))
-    row = F.struct("g", "n", "at", "p0", "p1")
-    order = W.partitionBy("key", "part").orderBy("n", "g")
+    row = F.struct("g", "n", "at", "p")
+    order = W.partitionBy("key", "part").orderBy("at", "n", "g")
     near = entries.withColumn("part", part).select(
-        "key", "hot", "part", "g", "n", "at", "p0", "p1", F.lag(row).over(order).alias("prev"), F.lead("g").over(order).alias("next"),
+        "key", "hot", "part", "g", "n", "at", "p", F.lag(row).over(order).alias("prev"), F.lead("g").over(order).alias("next"),
         F.first(row).over(order).alias("head"),
     ).where("prev IS NOT NULL OR next IS NOT NULL OR hot > 0")  # a shingle of one group joins nothing
 
     def distance(other: Column) -> Column:
-        own = {"n": F.col("n"), "p0": F.col("p0"), "p1": F.col("p1")}
+        own = {"n": F.col("n"), "p": F.col("p")}
         fits = (
             (other["g"] != F.col("g"))
             & _sizes_fit(F.col("n"), other["n"], percent)
             & _places_fit(F.col("n"), F.col("at"), other["n"], other["at"], percent)
             & _parities_fit(own, other, percent)
         )
-        return F.when(fits, F.struct(_apart(own, other).alias("d"), other["g"].alias("to")))
+        return F.when(fits, F.struct((_apart(own, other) + other["at"]).alias("d"), other["g"].alias("to")))
 
     near = written(
         near.select(
-            "key", "hot", "part", "g", "n", "at", "p0", "p1", distance(F.col("prev")).alias("by_prev"), distance(F.col("head")).alias("by_head")
+            "key", "hot", "part", "g", "n", "at", "p", distance(F.col("prev")).alias("by_prev"), distance(F.col("head")).alias("by_head")
         )
     )
     # The heads of a hot shingle's parts are compared with the first of them all.
     hot = near.where("hot > 0")
-    first = hot.groupBy("key").agg(F.min(F.struct("n", "g", "at", "p0", "p1")).alias("top"))
-    part_heads = hot.groupBy("key", "part").agg(F.min(F.struct("n", "g", "at", "p0", "p1")).alias("h")).select("key", "h.*")
+    first = hot.groupBy("key").agg(F.min(F.struct("at", "n", "g", "p")).alias("top"))
+    part_heads = hot.groupBy("key", "part").agg(F.min(F.struct("at", "n", "g", "p")).alias("h")).select("key", "h.*")
     across = part_heads.join(first, "key").select("g", distance(F.col("top")).alias("c"))
     choices = near.select("g", F.explode(F.array("by_prev", "by_head")).alias("c")).unionByName(across).where("c IS NOT NULL")
     best = choices.groupBy("g").agg(F.min("c").alias("c")).select(F.col("g").alias("a"), F.col("c.to").alias("b"))
-    of_leader = members.where("g = cid").select(F.col("g").alias("_g"), F.struct("n", "p0", "p1").alias("l"))
+    of_leader = members.where("g = cid").select(F.col("g").alias("_g"), F.struct("n", "p").alias("l"))
     inside = members.where("g != cid").join(of_leader, F.col("g") == F.col("_g"))
-    inside = inside.where(_parities_fit({c: F.col(c) for c in ("n", "p0", "p1")}, F.col("l"), percent))
+    inside = inside.where(_parities_fit({c: F.col(c) for c in ("n", "p")}, F.col("l"), percent))
     pairs = best.unionByName(inside.select(F.col("g").alias("a"), F.col("cid").alias("b")))
     edges = verified(_ordered(pairs), docs, size, percent)
     # An id with several texts is one node.
@@ -255,19 +257,22 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     # All pairs of groups that still lie in different components.
     label = known.select(F.col("node").alias("cid"), "component")
     placed = written(
-        members.join(label, "cid", "left").select("g", "cid", "n", "p0", "p1", F.coalesce("component", "cid").alias("c"))
+        members.join(label, "cid", "left").select("g", "cid", "n", "p", F.coalesce("component", "cid").alias("c"))
     )
-    parts = placed.select("g", "c").distinct()
+    # A group's parities are those of its member, if it has only one; they spare an expansion that cannot succeed.
+    parts = placed.groupBy("g", "c").agg(F.when(F.count("*") == 1, F.first("p")).alias("p"))
     buckets = near.select("key", "g", "n", "at").join(parts, "g")
     counts = buckets.groupBy("key", "c").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("key").agg(F.count("*").alias("_n"), F.max_by("c", F.struct("k", "c")).alias("main")).where("_n > 1")
     mixed = written(buckets.join(mixed.select("key", "main"), "key"))
     # Rows outside the main component of their shingle meet all rows of other components.
-    minor = mixed.where("c != main").select("key", *(F.col(x).alias(f"{x}_1") for x in ("g", "n", "at", "c")))
+    minor = mixed.where("c != main").select("key", *(F.col(x).alias(f"{x}_1") for x in ("g", "n", "at", "c", "p")))
+    ours, others = {"n": F.col("n_1"), "p": F.col("p_1")}, {"n": F.col("n"), "p": F.col("p")}
     met = minor.join(mixed, "key").where(
         (F.col("c_1") != F.col("c"))
         & _sizes_fit(F.col("n_1"), F.col("n"), percent)
         & _places_fit(F.col("n_1"), F.col("at_1"), F.col("n"), F.col("at"), percent)
+        & F.coalesce(_parities_fit(ours, others, percent), F.lit(True))
     )
     groups = met.select("g_1", "c_1", "g", "c").distinct()
     split = placed.groupBy("g").agg(F.count_distinct("c").alias("_n")).where("_n > 1").select("g")
@@ -275,9 +280,9 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     within = own.select(F.col("g").alias("g_1"), F.col("c").alias("c_1")).join(own, F.col("g_1") == F.col("g")).where("c_1 < c")
     groups = groups.unionByName(within.select("g_1", "c_1", "g", "c"))
     left = placed.select(
-        F.col("g").alias("g_1"), F.col("c").alias("c_1"), F.struct("cid", "n", "p0", "p1").alias("m_1")
+        F.col("g").alias("g_1"), F.col("c").alias("c_1"), F.struct("cid", "n", "p").alias("m_1")
     )
-    right = placed.select("g", "c", F.struct("cid", "n", "p0", "p1").alias("m"))
+    right = placed.select("g", "c", F.struct("cid", "n", "p").alias("m"))
     expanded = groups.join(left, ["g_1", "c_1"]).join(right, ["g", "c"]).where(_parities_fit(F.col("m_1"), F.col("m"), percent))
     crossing = verified(
         _ordered(expanded.select(F.col("m_1.cid").alias("a"), F.col("m.cid").alias("b"))), docs, size, percent
@@ -287,7 +292,7 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     between = between.join(named_c, F.col("b") == F.col("_id")).select(F.col("c_a").alias("a"), F.col("c").alias("b"))
     merged = written(components(between))
     final = placed.select("cid", "c").join(merged, F.col("c") == F.col("node"), "left")
-    final = final.select("cid", F.coalesce("component", "c").alias("component"))
+    final = final.select("cid", F.coalesce("component", "c").alias("component")).distinct()
     by_set = classes.select("set_id", "cid").join(final, "cid").select("set_id", "component")
     of_rows = signed.select("doc_id", "n", F.when(F.expr("doc_id IS NOT NULL AND n > 0"), F.col("set_id")).alias("set_id"))
     found = of_rows.join(by_set, "set_id", "left")
