@@ -40,6 +40,8 @@ PARTS, HELD_OUT = 7, 2
 ROUNDS = 3
 SAMPLE_ROWS = 600
 SAMPLE_ROUNDS = 12
+#: Every state has so many words of the overall mix besides its own.
+PRIOR_WORDS = 20_000
 #: Training runs over stretches of so many words; a stretch inside a text starts in the long-run mix of states.
 STRETCH = 512
 BATCH_TOKENS = 400_000
@@ -214,8 +216,7 @@ def finished(counts: Hmm, words_of: Counts) -> Hmm:
     model = from_counts(counts)
     room = words_of.room()
     seen = np.where(words_of.tokens > 0, room / np.maximum(words_of.tokens, 1), 0)
-    held = counts.emit.sum(axis=1, keepdims=True) + 1e-6
-    emit = counts.emit * seen + 0.01 * held / held.sum() * room
+    emit = counts.emit * seen + PRIOR_WORDS * room / room.sum()
     return model._replace(emit=emit / emit.sum(axis=1, keepdims=True))
 
 
