@@ -35,6 +35,9 @@ from linkloom.llm.common import (
 STATES = 8
 CLASSES = 1 << 14
 END = CLASSES
+#: Words that no training text has are one class, as they are one word to the base model.
+UNSEEN = CLASSES + 1
+KINDS = CLASSES + 2
 PARTS, HELD_OUT = 7, 2
 #: Rounds over all training texts, after as many rounds over a sample as it takes to tell the states apart.
 ROUNDS = 3
@@ -125,7 +128,7 @@ def expected(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.nd
         beta = here
         alpha[a:b] *= here
     begun = alpha[: offset[1]][first[order]].sum(axis=0)
-    emits = np.stack([np.bincount(laid, weights=alpha[:, k], minlength=CLASSES + 1) for k in range(states)])
+    emits = np.stack([np.bincount(laid, weights=alpha[:, k], minlength=KINDS) for k in range(states)])
     return Hmm(begun, moves * model.move, emits)
 
 
@@ -153,13 +156,13 @@ def _stretches(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
 def first_model(sample: list[np.ndarray], states: int, seed: int = 3) -> Hmm:
     """States that start from some texts of the sample and are told apart by rounds over it."""
     rng = np.random.default_rng(seed)
-    overall = np.bincount(np.concatenate(sample), minlength=CLASSES + 1) + 0.1 if sample else np.ones(CLASSES + 1)
+    overall = np.bincount(np.concatenate(sample), minlength=KINDS) + 0.1 if sample else np.ones(KINDS)
     overall = overall / overall.sum()
     long = sorted(range(len(sample)), key=lambda k: (-len(sample[k]), k))[: max(states, len(sample) // 2)]
     seeds = [sample[k] for k in rng.permutation(long)[:states]] if sample else []
     emit = np.tile(overall, (states, 1))
     for k, text in enumerate(seeds):
-        own = np.bincount(text, minlength=CLASSES + 1)
+        own = np.bincount(text, minlength=KINDS)
         emit[k] = 0.5 * overall + 0.5 * own / own.sum()
     model = Hmm(np.full(states, 1 / states), 0.9 * np.eye(states) + 0.1 / states, emit)
     for _ in range(SAMPLE_ROUNDS if sample else 0):
@@ -171,7 +174,7 @@ def trained_round(docs: DataFrame, model: Hmm) -> Hmm:
     """Expected counts of one round, summed over all partitions of training texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
-    size = states * (1 + states + CLASSES + 1)
+    size = states * (1 + states + KINDS)
     room = -(-size // CHUNK) * CHUNK
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
@@ -188,7 +191,7 @@ def trained_round(docs: DataFrame, model: Hmm) -> Hmm:
     total = summed_counts(docs.mapInArrow(run, "part int, counts binary"), chunk=CHUNK)
     total = (total if len(total) else np.zeros(room, np.int64))[:size] / UNIT
     a, b = states, states + states * states
-    return Hmm(total[:a], total[a:b].reshape(states, states), total[b:].reshape(states, CLASSES + 1))
+    return Hmm(total[:a], total[a:b].reshape(states, states), total[b:].reshape(states, KINDS))
 
 
 class Counts(NamedTuple):
@@ -206,17 +209,20 @@ class Counts(NamedTuple):
         return int(self.distinct.sum())
 
     def room(self) -> np.ndarray:
-        """What the add-one smoothed counts of a class sum to, one unseen word included."""
-        return self.tokens + self.distinct + 1.0
+        """What the add-one smoothed counts of a class sum to; the class of unseen words has one."""
+        out = self.tokens + self.distinct.astype(float)
+        out[UNSEEN] = 1
+        return out
 
 
 def finished(counts: Hmm, words_of: Counts) -> Hmm:
-    """The final model: emissions get the weight that smoothing adds to their class, so that classes of rare words stay
-    as likely as their words and unseen words are."""
+    """The final model: emissions get the weight that smoothing adds to their class, so that classes of rare words are as
+    likely as their words, and unseen words have their share in every state."""
     model = from_counts(counts)
     room = words_of.room()
     seen = np.where(words_of.tokens > 0, room / np.maximum(words_of.tokens, 1), 0)
     emit = counts.emit * seen + PRIOR_WORDS * room / room.sum()
+    emit[:, UNSEEN] = emit.sum(axis=1) / room.sum()
     return model._replace(emit=emit / emit.sum(axis=1, keepdims=True))
 
 
@@ -275,7 +281,7 @@ def scored(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> Da
     )
     train_rows = blocks.where("train").select("doc_id", "text")
     n_train = train_rows.select("doc_id").count()
-    tokens, distinct = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
+    tokens, distinct = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64)
     for r in by_class:
         tokens[r["class"]], distinct[r["class"]] = r["n"], r["v"]
     tokens[END], distinct[END] = n_train, int(n_train > 0)
@@ -311,12 +317,13 @@ def scored(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> Da
         order = np.argsort(known)
         known, known_counts = known[order], right.column("c").to_numpy()[order]
         hashes = Hashes()
-        room = np.log10(words_of.room())
+        room = np.log10(np.maximum(words_of.room(), 1))
         whole = np.log10(words_of.n + words_of.v + 1)
         sequences, rows = [], []
         for text in left.column("text").to_pylist():
             found, classes = token_classes(text, hashes)
             c = np.append(known_counts[np.searchsorted(known, found)] if len(found) else [], words_of.tokens[END])
+            classes = np.where(c > 0, classes, UNSEEN)
             plain = np.log10(c + 1.0)
             sequences.append(classes)
             rows.append((len(c), int((c > 0).sum()), (plain - whole).sum(), (plain - room[classes]).sum()))

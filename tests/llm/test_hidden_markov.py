@@ -10,14 +10,14 @@ from linkloom.llm import hidden_markov as H
 
 def small_model(states=3, seed=0):
     rng = np.random.default_rng(seed)
-    shares = [rng.random(shape) for shape in ((states,), (states, states), (states, H.CLASSES + 1))]
+    shares = [rng.random(shape) for shape in ((states,), (states, states), (states, H.KINDS))]
     return H.Hmm(*(x / x.sum(axis=-1, keepdims=True) for x in shares))
 
 
 def test_recursions_against_all_state_paths():
     model = small_model()
     rng = np.random.default_rng(1)
-    seqs = [rng.integers(0, H.CLASSES + 1, n).astype(np.int32) for n in (1, 4, 2, 5)]
+    seqs = [rng.integers(0, H.KINDS, n).astype(np.int32) for n in (1, 4, 2, 5)]
     lengths = np.array([len(s) for s in seqs])
     starts = np.cumsum(lengths) - lengths
     found = H.forward(model, np.concatenate(seqs), starts, lengths)
@@ -46,13 +46,13 @@ def test_a_round_does_not_lower_the_likelihood():
     seqs = [rng.integers(0, 6, 40).astype(np.int32) + 10 * (k % 2) for k in range(12)]
     sizes = np.array([len(s) for s in seqs])
     model, last = small_model(2), -np.inf
-    for _ in range(8):
+    for _ in range(20):
         now = H.forward(model, np.concatenate(seqs), np.cumsum(sizes) - sizes, sizes).sum()
         assert now >= last - 0.5
         last = now
         model = H.from_counts(H.expected(model, *H._stretches(seqs)))
     low, high = sorted(model.emit[:, :10].sum(axis=1).tolist())
-    assert low < 0.25 and high > 0.9
+    assert low < 0.1 and high > 0.9
 
 
 def test_counts_base_and_gain(spark, sf_dir):
