@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import values
+from linkloom.operators.ordering import first_rows
 
 SECTIONS = ["investigation", "observations", "entities", "activity_log", "relationships"]
 
@@ -68,7 +69,10 @@ def _tables(
 
     observations = again(obs).withColumn("id", F.uuid())
     kind, value = F.coalesce("type", F.lit("unknown")), F.coalesce("value", F.lit(""))
-    entities = again(ents).withColumn("id", values.entity_id(kind, value)).dropDuplicates([key, "id"])
+    # Of entities with one type and value the most certain one counts, then the first by its other fields.
+    rest = F.to_json(F.struct("value", "first_seen", "last_seen", "source_count", "properties"))
+    named = again(ents).withColumn("id", values.entity_id(kind, value))
+    entities = first_rows(named, [key, "id"], [F.desc_nulls_last("confidence"), rest])
     relationships = again(rels).select(
         key,
         F.coalesce("id", F.concat_ws(":", "source", "relationship_type", "target")).alias("id"),
