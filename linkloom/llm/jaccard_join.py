@@ -79,6 +79,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def parities(shingles: np.ndarray, kinds: int) -> np.ndarray:
+    """For each of ``kinds`` kinds (a power of two), whether an odd number of shingles is of it, in 64-bit words. The
+    halves of the words, combined by exclusive or, are the parities by half as many kinds."""
+    odd = np.bincount((shingles >> np.uint64(8) & np.uint64(kinds - 1)).astype(np.int64), minlength=kinds) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_classes(docs: DataFrame, size: int) -> np.ndarray:
     """For each slot of the counters, the number of bits of its count over all shingles of all texts."""
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
@@ -100,16 +107,16 @@ def shingle_classes(docs: DataFrame, size: int) -> np.ndarray:
     return bits
 
 
-SIGNATURE = "doc_id bigint, n bigint, set_id binary, gid binary, p array<bigint>, prefix array<bigint>, hot array<int>"
+SIGNATURE = "doc_id bigint, n bigint, set_id binary, gid binary, p array<bigint>, q array<bigint>, prefix array<bigint>, hot array<int>"
 
 
 def signatures(docs: DataFrame, bits: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per document: size and digest of its set, digest of its prefix and size, parities of its shingles by 256 kinds,
-    its prefix, and how hot each prefix shingle may be."""
+    """Per document: size and digest of its set, digest of its prefix and size, parities of its shingles by 256 kinds and
+    by at least twice as many kinds as there are shingles, its prefix, and how hot each prefix shingle may be."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("gid", pa.binary())]
-        + [("p", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.int32()))]
+        + [("p", pa.list_(pa.int64())), ("q", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +129,10 @@ def signatures(docs: DataFrame, bits: np.ndarray, size: int, percent: int) -> Da
                 n, take = len(found), prefix_length(len(found), percent)
                 first = np.argsort(kinds, kind="stable")[:take]
                 prefix = found[first]
-                odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-                parities = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                p, q = parities(found, 256), parities(found, 64 << max(0, (2 * n - 1) // 64).bit_length())
                 gid = xxhash.xxh3_128_digest(n.to_bytes(8, "little") + prefix.tobytes())
                 hot = np.maximum(kinds[first].astype(np.int32) - HOT_BITS, 0)
-                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid, parities, prefix.view(np.int64), hot))
+                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid, p, q, prefix.view(np.int64), hot))
             columns = dict(zip(schema.names[1:], map(list, zip(*rows, strict=True)), strict=True)) if rows else None
             if columns:
                 yield record_batch(schema, {"doc_id": batch.column("doc_id"), **columns})
@@ -160,9 +166,30 @@ def _parities_fit(a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * (n - _apart(a, b)) >= 2 * percent * n
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of distinct (a, b) pairs of document ids, those whose whole texts have similar enough shingle sets."""
-    pairs = written(pairs)
+def _halved(q: Column, length: Column) -> Column:
+    """Parities by half as many kinds, if there are more words than ``length``."""
+    folded = F.zip_with(F.slice(q, 1, length), F.slice(q, length + 1, length), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(q) > length, folded).otherwise(q)
+
+
+def _many_parities_fit(n: Column, q_a: Column, q_b: Column, percent: int) -> Column:
+    """As ``_parities_fit``, by so many kinds that sets that are not similar hardly pass. Sizes of similar sets differ by
+    less than a factor of two, and so do the numbers of words."""
+    length = F.least(F.size(q_a), F.size(q_b))
+    each = F.zip_with(_halved(q_a, length), _halved(q_b, length), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(each, F.lit(0), lambda total, x: total + x)
+    return (100 + percent) * (n - apart) >= 2 * percent * n
+
+
+def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of distinct (a, b) pairs of document ids, those whose whole texts have similar enough shingle sets.
+
+    ``marks`` (cid, n, q) spare the comparison of most pairs that are not similar."""
+    of = [marks.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("q").alias(f"q_{x}")) for x in "ab"]
+    likely = pairs.join(of[0], "a").join(of[1], "b")
+    likely = likely.where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+    likely = likely.where(_many_parities_fit(F.col("n_a") + F.col("n_b"), F.col("q_a"), F.col("q_b"), percent))
+    pairs = written(likely.select("a", "b").distinct())
     ids = written(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
     needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     body = texts(docs)
@@ -201,10 +228,11 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     signed = written(signatures(docs, bits, size, percent))
     usable = signed.where("doc_id IS NOT NULL AND n > 0")
     # One class per set, named by its smallest document; one group per prefix and size, named by its smallest class.
-    rest = F.struct("n", "gid", "p", "prefix", "hot")
+    rest = F.struct("n", "gid", "p", "q", "prefix", "hot")
     classes = written(
         usable.groupBy("set_id").agg(F.min("doc_id").alias("cid"), F.min_by(rest, "doc_id").alias("r")).select("set_id", "cid", "r.*")
     )
+    marks = classes.select("cid", "n", "q")
     leaders = classes.groupBy("gid").agg(F.min("cid").alias("g"))
     members = written(classes.select("gid", "cid", "n", "p").join(leaders, "gid").select("g", "cid", "n", "p"))
     heads = classes.join(leaders.select(F.col("gid").alias("_gid"), "g"), (F.col("gid") == F.col("_gid")) & (F.col("cid") == F.col("g")))
@@ -247,7 +275,7 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     inside = members.where("g != cid").join(of_leader, F.col("g") == F.col("_g"))
     inside = inside.where(_parities_fit({c: F.col(c) for c in ("n", "p")}, F.col("l"), percent))
     pairs = best.unionByName(inside.select(F.col("g").alias("a"), F.col("cid").alias("b")))
-    edges = verified(_ordered(pairs), docs, size, percent)
+    edges = verified(_ordered(pairs), marks, docs, size, percent)
     # An id with several texts is one node.
     named = usable.select("doc_id", "set_id").join(classes.select("set_id", "cid"), "set_id").select("doc_id", "cid").distinct()
     several = named.groupBy("doc_id").agg(F.count("*").alias("_k"), F.min("cid").alias("_c")).where("_k > 1")
@@ -285,7 +313,7 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     right = placed.select("g", "c", F.struct("cid", "n", "p").alias("m"))
     expanded = groups.join(left, ["g_1", "c_1"]).join(right, ["g", "c"]).where(_parities_fit(F.col("m_1"), F.col("m"), percent))
     crossing = verified(
-        _ordered(expanded.select(F.col("m_1.cid").alias("a"), F.col("m.cid").alias("b"))), docs, size, percent
+        _ordered(expanded.select(F.col("m_1.cid").alias("a"), F.col("m.cid").alias("b"))), marks, docs, size, percent
     )
     named_c = placed.select(F.col("cid").alias("_id"), "c")
     between = crossing.join(named_c, F.col("a") == F.col("_id")).select("b", F.col("c").alias("c_a"))
