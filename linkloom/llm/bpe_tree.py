@@ -24,6 +24,8 @@ from linkloom.llm.common import query, record_batch, table, texts
 #: Texts of up to so many characters, and pieces of up to so many bytes, are leaves of the tree.
 LEAF_CHARS = 4_096
 LEAF_BYTES = 32
+#: Rows whose ids are held at a time.
+ROWS = 500
 #: The pattern's longest look ahead of a position that it does not consume: two letters after an apostrophe.
 LOOK = 3
 
@@ -193,8 +195,10 @@ def encoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         coder = coder_of(ranks, pattern)
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:
-            ids = [coder.encode(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-            yield record_batch(schema, {"doc_id": batch.column("doc_id"), "ids": ids})
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                ids = [coder.encode(t.decode("utf-8", "replace")) for t in some.column("text").to_pylist()]
+                yield record_batch(schema, {"doc_id": some.column("doc_id"), "ids": ids})
 
     return texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
 

@@ -147,10 +147,11 @@ def _window_rows(items: DataFrame, sizes: list[int] | None, wanted) -> DataFrame
         canon = Canon()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            split = [words(t) for t in batch.column("text").to_pylist()]
-            for some in batches_of(range(len(ids)), lambda k: len(split[k]), BATCH_WORDS):
-                codes, kinds, owner = canon.read([split[k] for k in some])
-                lengths = [len(split[k]) for k in some]
+            # Only the words of one run of texts are held at a time.
+            split = ((doc_id, words(t)) for doc_id, t in zip(ids, batch.column("text").to_pylist(), strict=True))
+            for some in batches_of(split, lambda x: len(x[1]), BATCH_WORDS):
+                codes, kinds, owner = canon.read([ws for _, ws in some])
+                lengths = [len(ws) for _, ws in some]
                 starts = np.cumsum([0, *lengths])
                 rows: list[tuple] = []
                 for size in sizes or sorted({min(WINDOW, n) for n in lengths if n}):
@@ -164,9 +165,9 @@ def _window_rows(items: DataFrame, sizes: list[int] | None, wanted) -> DataFrame
                     for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         k = int(owner[p])
                         place = p - int(starts[k])
-                        ws = split[some[k]]
+                        doc_id, ws = some[k]
                         slots = _slots(ws[place : place + size], kinds[p : p + size])
-                        rows.append((ids[some[k]], len(ws), size, place, h, slots))
+                        rows.append((doc_id, len(ws), size, place, h, slots))
                 if rows:
                     yield record_batch(schema, dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 
