@@ -146,6 +146,11 @@ def _apart(a: Column, b: Column) -> Column:
     return parts[0] + parts[1] + parts[2] + parts[3]
 
 
+def _apart_by_64(a: Column, b: Column) -> Column:
+    """The same for the parities by 64 kinds, which are one number."""
+    return F.bit_count(a["s"].bitwiseXOR(b["s"]))
+
+
 def _enough(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     """Whether so many shared shingles suffice for sets of these sizes."""
     return (100 + percent) * shared >= percent * (n_a + n_b)
@@ -160,10 +165,10 @@ def _places_fit(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: i
     return _enough(F.least(n_a - at_a, n_b - at_b), n_a, n_b, percent)
 
 
-def _parities_fit(a: Column, b: Column, percent: int) -> Column:
+def _parities_fit(a: Column, b: Column, percent: int, apart=_apart) -> Column:
     """Sets with d parities apart share at most (n_a + n_b - d) / 2 shingles."""
     n = a["n"] + b["n"]
-    return (100 + percent) * (n - _apart(a, b)) >= 2 * percent * n
+    return (100 + percent) * (n - apart(a, b)) >= 2 * percent * n
 
 
 def _halved(q: Column, length: Column) -> Column:
@@ -236,38 +241,41 @@ def linked_components(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     leaders = classes.groupBy("gid").agg(F.min("cid").alias("g"))
     members = written(classes.select("gid", "cid", "n", "p").join(leaders, "gid").select("g", "cid", "n", "p"))
     heads = classes.join(leaders.select(F.col("gid").alias("_gid"), "g"), (F.col("gid") == F.col("_gid")) & (F.col("cid") == F.col("g")))
-    entries = heads.select("g", "n", "p", F.posexplode(F.arrays_zip("prefix", "hot")).alias("at", "e")).select(
-        F.col("e.prefix").alias("key"), F.col("e.hot").alias("hot"), "g", "n", "at", "p"
+    short = F.get("p", F.lit(0))
+    for k in (1, 2, 3):
+        short = short.bitwiseXOR(F.get("p", F.lit(k)))
+    entries = heads.select("g", "n", short.alias("s"), F.posexplode(F.arrays_zip("prefix", "hot")).alias("at", "e")).select(
+        F.col("e.prefix").alias("key"), F.col("e.hot").alias("hot"), "g", "n", "at", "s"
     )
     # A hot shingle's groups are dealt out by part. In each part, groups stand by the place of the shingle: the fewer
     # rarer shingles stand before it, the fewer the group has for itself, so a family's most typical member comes first.
     part = F.pmod(F.xxhash64("g"), F.pow(F.lit(2), F.col("hot")).cast("bigint"))
-    row = F.struct("g", "n", "at", "p")
+    row = F.struct("g", "n", "at", "s")
     order = W.partitionBy("key", "part").orderBy("at", "n", "g")
     near = entries.withColumn("part", part).select(
-        "key", "hot", "part", "g", "n", "at", "p", F.lag(row).over(order).alias("prev"), F.lead("g").over(order).alias("next"),
+        "key", "hot", "part", "g", "n", "at", "s", F.lag(row).over(order).alias("prev"), F.lead("g").over(order).alias("next"),
         F.first(row).over(order).alias("head"),
     ).where("prev IS NOT NULL OR next IS NOT NULL OR hot > 0")  # a shingle of one group joins nothing
 
     def distance(other: Column) -> Column:
-        own = {"n": F.col("n"), "p": F.col("p")}
+        own = {"n": F.col("n"), "s": F.col("s")}
         fits = (
             (other["g"] != F.col("g"))
             & _sizes_fit(F.col("n"), other["n"], percent)
             & _places_fit(F.col("n"), F.col("at"), other["n"], other["at"], percent)
-            & _parities_fit(own, other, percent)
+            & _parities_fit(own, other, percent, _apart_by_64)
         )
-        return F.when(fits, F.struct((_apart(own, other) + other["at"]).alias("d"), other["g"].alias("to")))
+        return F.when(fits, F.struct((_apart_by_64(own, other) + other["at"]).alias("d"), other["g"].alias("to")))
 
     near = written(
         near.select(
-            "key", "hot", "part", "g", "n", "at", "p", distance(F.col("prev")).alias("by_prev"), distance(F.col("head")).alias("by_head")
+            "key", "hot", "part", "g", "n", "at", "s", distance(F.col("prev")).alias("by_prev"), distance(F.col("head")).alias("by_head")
         )
     )
     # The heads of a hot shingle's parts are compared with the first of them all.
     hot = near.where("hot > 0")
-    first = hot.groupBy("key").agg(F.min(F.struct("at", "n", "g", "p")).alias("top"))
-    part_heads = hot.groupBy("key", "part").agg(F.min(F.struct("at", "n", "g", "p")).alias("h")).select("key", "h.*")
+    first = hot.groupBy("key").agg(F.min(F.struct("at", "n", "g", "s")).alias("top"))
+    part_heads = hot.groupBy("key", "part").agg(F.min(F.struct("at", "n", "g", "s")).alias("h")).select("key", "h.*")
     across = part_heads.join(first, "key").select("g", distance(F.col("top")).alias("c"))
     choices = near.select("g", F.explode(F.array("by_prev", "by_head")).alias("c")).unionByName(across).where("c IS NOT NULL")
     best = choices.groupBy("g").agg(F.min("c").alias("c")).select(F.col("g").alias("a"), F.col("c.to").alias("b"))
@@ -335,7 +343,8 @@ def one_of_each_group(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     Of rows with one id the first by text stays. Documents without words and rows without an id stay.
     """
     found = linked_components(docs, size=size, percent=percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
     repeated = written(repeated)
