@@ -521,7 +521,7 @@ def _(spark, d):
 def _(spark, d):
     known = F.element_at(F.split("entity_id", ":v"), -1).cast("int") % 3 != 0
     prov = resolve.entity_provenance(event_mentions(spark, d), uuid_only=False).where(known)
-    out = browse.entity_evidence(event_entities(spark, d), prov, event_observations(spark, d))
+    out = browse.entity_evidence(event_entities(spark, d), prov, event_observations(spark, d), 20)
     return out.select("investigation_id", "entity_id", "observation_id", "source_adapter")
 
 

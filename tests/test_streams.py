@@ -42,8 +42,9 @@ def test_incremental_correlation_equals_one_batch(spark, tmp_path):
     for part in (rows[:5], rows[5:9], rows[9:]):
         spark.createDataFrame(part, schemas.OBSERVATIONS).coalesce(1).write.mode("append").parquet(source)
     stream = jobs.stream_observations(spark, source, files_per_trigger=1)
-    jobs.stream_correlate(stream, out, str(tmp_path / "state"), "2024-02-01 00:00:00", buckets=4).awaitTermination()
-    batch = correlate(spark.createDataFrame(rows, schemas.OBSERVATIONS), "2024-02-01 00:00:00")
+    state, now = str(tmp_path / "state"), "2024-02-01 00:00:00"
+    jobs.stream_correlate(stream, out, state, now, buckets=4, co_occurrence=True).awaitTermination()
+    batch = correlate(spark.createDataFrame(rows, schemas.OBSERVATIONS), now, co_occurrence=True)
     for name in ("entities", "relationships", "entity_provenance"):
         cols = [c for c in batch[name].columns if c not in ("properties", "sources")]
         want = sorted(map(str, batch[name].select(cols).collect()))
