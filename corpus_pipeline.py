@@ -12,6 +12,9 @@ from linkloom.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near copies share this percentage of their five-word shingles; op8 by itself is stricter (3 words, 90 percent).
+SHINGLE, PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go."""
@@ -20,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of rows with one id, one stays. A document
-    without words links with nothing and stays, and so does every row without an id."""
-    return jaccard_join.one_of_each_group(docs)
+    without words links with nothing and stays, and so does every row without an id. Documents link by SHINGLE and
+    PERCENT of this module."""
+    return jaccard_join.one_of_each_group(docs, size=SHINGLE, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

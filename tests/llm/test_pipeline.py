@@ -46,3 +46,24 @@ def test_stages_take_odd_tables(spark, odd_docs):
         for _, stage in C.STAGES:
             docs = C.written(stage(spark, docs, SF))
         assert docs.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_near_duplicates_against_five_word_sets(spark):
+    docs = C.table(spark, SF, "documents")
+    sets = {}
+    for r in docs.collect():
+        ws = (r.text or "").encode().lower().split()
+        if ws:
+            sets[r.doc_id] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            shared = len(sets[a] & sets[b])
+            if a < b and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    gone = {i for i, g in group.items() if g != i}
+    kept = {r.doc_id for r in C.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - gone
+    op8 = {r.doc_id for r in jaccard_join.one_of_each_group(docs).collect()}
+    assert len(kept) < len(op8)
