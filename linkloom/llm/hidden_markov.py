@@ -39,10 +39,10 @@ END = CLASSES
 UNSEEN = CLASSES + 1
 KINDS = CLASSES + 2
 PARTS, HELD_OUT = 7, 2
-#: Rounds over all training texts, after as many rounds over a sample as it takes to tell the states apart.
-ROUNDS = 3
-SAMPLE_ROWS = 600
-SAMPLE_ROUNDS = 12
+#: Rounds over all training texts go on until one raises their log likelihood by less than this share.
+SETTLED = 5e-4
+#: The states start from the counts of the whole corpus, each class's times e to the power of so much normal noise.
+NOISE = 0.5
 #: Every state has so many words of the overall mix besides its own.
 PRIOR_WORDS = 20_000
 #: Training runs over stretches of so many words; a stretch inside a text starts in the long-run mix of states.
@@ -102,6 +102,13 @@ def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.nda
 
 def expected(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> Hmm:
     """Expected counts of starts (of sequences that begin a text), moves and emissions."""
+    return expected_and_likelihood(model, classes, starts, lengths, first)[0]
+
+
+def expected_and_likelihood(
+    model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray
+) -> tuple[Hmm, float]:
+    """Expected counts, and the natural log likelihood of the sequences under the model."""
     order, active, offset = _by_time(starts, lengths)
     begin = starts[order]
     states = len(model.start)
@@ -129,7 +136,7 @@ def expected(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.nd
         alpha[a:b] *= here
     begun = alpha[: offset[1]][first[order]].sum(axis=0)
     emits = np.stack([np.bincount(laid, weights=alpha[:, k], minlength=KINDS) for k in range(states)])
-    return Hmm(begun, moves * model.move, emits)
+    return Hmm(begun, moves * model.move, emits), float(np.log(scales).sum())
 
 
 def from_counts(counts: Hmm) -> Hmm:
@@ -153,45 +160,65 @@ def _stretches(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(sequences), starts, lengths, nth == 0
 
 
-def first_model(sample: list[np.ndarray], states: int, seed: int = 3) -> Hmm:
-    """States that start from some texts of the sample and are told apart by rounds over it."""
+def first_model(tokens: np.ndarray, states: int, seed: int = 3) -> Hmm:
+    """States that start from the class counts of all training texts, each with noise of its own."""
     rng = np.random.default_rng(seed)
-    overall = np.bincount(np.concatenate(sample), minlength=KINDS) + 0.1 if sample else np.ones(KINDS)
-    overall = overall / overall.sum()
-    long = sorted(range(len(sample)), key=lambda k: (-len(sample[k]), k))[: max(states, len(sample) // 2)]
-    seeds = [sample[k] for k in rng.permutation(long)[:states]] if sample else []
-    emit = np.tile(overall, (states, 1))
-    for k, text in enumerate(seeds):
-        own = np.bincount(text, minlength=KINDS)
-        emit[k] = 0.5 * overall + 0.5 * own / own.sum()
-    model = Hmm(np.full(states, 1 / states), 0.9 * np.eye(states) + 0.1 / states, emit)
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        model = from_counts(expected(model, *_stretches(sample)))
-    return model
-
-
-def trained_round(docs: DataFrame, model: Hmm) -> Hmm:
-    """Expected counts of one round, summed over all partitions of training texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    emit = (tokens + 0.1) * np.exp(NOISE * rng.standard_normal((states, KINDS)))
+    return Hmm(
+        np.full(states, 1 / states), 0.9 * np.eye(states) + 0.1 / states, emit / emit.sum(axis=1, keepdims=True)
+    )
+
+
+def class_rows(docs: DataFrame) -> DataFrame:
+    """(classes): for each text its classes with the end, as 16-bit numbers, so that rounds need not split texts again."""
+    schema = pa.schema([("classes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            found = (token_classes(t, hashes)[1].astype("<u2").tobytes() for t in batch.column("text").to_pylist())
+            for some in batches_of(found, len, 2 * BATCH_TOKENS):
+                yield record_batch(schema, {"classes": some})
+
+    return docs.select("text").mapInArrow(run, "classes binary")
+
+
+def trained_round(rows: DataFrame, model: Hmm) -> tuple[Hmm, float]:
+    """Expected counts and log likelihood of one round, summed over all partitions of ``class_rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
-    size = states * (1 + states + KINDS)
+    size = states * (1 + states + KINDS) + 1
     room = -(-size // CHUNK) * CHUNK
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(room)
-        hashes = Hashes()
         for batch in batches:
-            sequences = (token_classes(t, hashes)[1] for t in batch.column("text").to_pylist())
+            sequences = (np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column("classes").to_pylist())
             for some in batches_of(sequences, len, BATCH_TOKENS):
-                counts = expected(shared.value, *_stretches(some))
-                total[:size] += np.concatenate([counts.start, counts.move.ravel(), counts.emit.ravel()])
+                counts, likelihood = expected_and_likelihood(shared.value, *_stretches(some))
+                total[:size] += np.concatenate([counts.start, counts.move.ravel(), counts.emit.ravel(), [likelihood]])
         yield record_batch(schema, count_rows(np.rint(total * UNIT).astype(np.int64), CHUNK))
 
-    total = summed_counts(docs.mapInArrow(run, "part int, counts binary"), chunk=CHUNK)
+    total = summed_counts(rows.mapInArrow(run, "part int, counts binary"), chunk=CHUNK)
+    shared.destroy()
     total = (total if len(total) else np.zeros(room, np.int64))[:size] / UNIT
     a, b = states, states + states * states
-    return Hmm(total[:a], total[a:b].reshape(states, states), total[b:].reshape(states, KINDS))
+    found = Hmm(total[:a], total[a:b].reshape(states, states), total[b:-1].reshape(states, KINDS))
+    return found, float(total[-1])
+
+
+def trained(rows: DataFrame, tokens: np.ndarray, states: int, rounds: int | None = None) -> Hmm:
+    """Expected counts of the last round. Every round sees all rows of ``class_rows``; without ``rounds`` they go on
+    until the likelihood settles, which it must, as no likelihood is above 1."""
+    model, last = first_model(tokens, states), -np.inf
+    done = 0
+    while True:
+        counts, now = trained_round(rows, model)
+        done += 1
+        if done == rounds or rounds is None and now - last <= SETTLED * abs(now):
+            return counts
+        model, last = from_counts(counts), now
 
 
 class Counts(NamedTuple):
@@ -258,7 +285,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(run, "block bigint, hash bigint, c bigint")
 
 
-def scored(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, *, states: int = STATES, rounds: int | None = None) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document.
 
     The model learns from all texts whose crc32 of the id, as text, modulo 7 is not 2. A null or empty text is its end
@@ -287,16 +314,7 @@ def scored(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> Da
     tokens[END], distinct[END] = n_train, int(n_train > 0)
     words_of = Counts(tokens, distinct)
 
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = train_rows.select("doc_id").distinct().orderBy(*order).limit(SAMPLE_ROWS).select(F.col("doc_id").alias("_id"))
-    sample = train_rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
-    hashes = Hashes()
-    rows = sorted((r.doc_id, bytes(r.text)) for r in sample.limit(2 * SAMPLE_ROWS).collect())
-    model = first_model([token_classes(t, hashes)[1] for _, t in rows], states)
-    counts = None
-    for _ in range(rounds):
-        counts = trained_round(train_rows, model)
-        model = from_counts(counts)
+    counts = trained(written(class_rows(train_rows)), tokens, states, rounds)
     model = finished(counts, words_of)
     shared = docs.sparkSession.sparkContext.broadcast((model, words_of))
     ddl = (

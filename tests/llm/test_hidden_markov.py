@@ -79,3 +79,33 @@ def test_odd_documents(odd_docs, no_docs):
     assert len(rows) == 9 and all(math.isfinite(r.score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (2, 3, 4)} == {1}
     assert H.scored(no_docs, rounds=1).count() == 0
+
+
+def test_states_of_a_rare_language_come_from_all_texts(spark):
+    """1,800 texts in one language and 200 in another, whose training texts lie behind the first 600 by hash of id."""
+    rng = np.random.default_rng(2)
+    ids = spark.range(1, 6000).selectExpr("id", "xxhash64(id) AS h", "crc32(CAST(CAST(id AS STRING) AS BINARY)) % 7 AS p")
+    rows = sorted((r.h, r.id, r.p) for r in ids.collect())
+    train = [i for _, i, p in rows if p != 2]
+    held = [i for _, i, p in rows if p == 2][:6]
+    def text(stem):
+        return " ".join(f"{stem}{x}" for x in rng.integers(0, 40, 200))
+    docs = [(i, text("one")) for i in train[:1800]] + [(i, text("two")) for i in train[1800:2000]]
+    docs += [(i, text("two")) for i in held]
+    got = H.scored(spark.createDataFrame(docs, "doc_id bigint, text string")).where("held_out").collect()
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert len(got) == 6 and gain > 0.7, gain
+
+
+def test_rounds_go_on_until_the_likelihood_settles(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = H.written(H.class_rows(H.texts(docs)))
+    tokens = np.zeros(H.KINDS, np.int64)
+    for r in rows.collect():
+        tokens += np.bincount(np.frombuffer(r.classes, "<u2"), minlength=H.KINDS)
+    counts = H.trained(rows, tokens, H.STATES)
+    assert abs(counts.emit.sum() - tokens.sum()) < 1e-3 * tokens.sum()
+    model = H.from_counts(counts)
+    after, now = H.trained_round(rows, model)
+    _, later = H.trained_round(rows, H.from_counts(after))
+    assert later - now <= 2 * H.SETTLED * abs(later)
