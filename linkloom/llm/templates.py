@@ -2,7 +2,8 @@
 
 Numbers, units after them and names inside sentences become typed placeholders; windows of the canonical words of all
 documents are hash-joined with those of the benchmark, and the values in the placeholders must correspond one to one,
-so that a question with other numbers and names is found and a mere pattern is not.
+so that a question with other numbers and names is found and a mere pattern is not. A capitalised word that begins a
+sentence is a name or not, so each window has a hash for either case, and one for its words as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from linkloom.llm.common import (
 )
 
 WINDOW = 8
-#: Placeholders stand in a window's hash if so many of its words are none; else the words count as they are.
+#: Placeholders stand in a window's hashes if so many of its words are none; else only the words as they are count.
 MIN_LITERALS = 4
 #: A document leaks an item if windows cover this share of the item's words, and this share of the slots corresponds.
 MIN_COVERAGE = 0.5
@@ -89,8 +90,9 @@ class Canon(dict):
         self[word] = at
         return at
 
-    def read(self, items: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the words of some texts, laid end to end: plain codes, kinds of placeholders (0: none), and which text."""
+    def read(self, items: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the words of some texts, laid end to end: plain codes, kinds of placeholders (0: none), these if no word
+        that begins a sentence is a name, and which text."""
         if len(self) >= self.limit:
             self.clear()
         lengths = np.array([len(w) for w in items], np.int64)
@@ -100,28 +102,43 @@ class Canon(dict):
         first = np.r_[True, owner[1:] != owner[:-1]] if len(ids) else np.zeros(0, bool)
         after_end = first | np.r_[True, self.ends[ids][:-1]] if len(ids) else first
         after_number = ~first & np.r_[False, kind[:-1] == NUM] if len(ids) else first
-        kind[(kind == NAMED) & after_end] = LITERAL
         kind[(kind == UNIT) & ~after_number] = LITERAL
-        return self.code[ids], kind, owner
+        inside = np.where((kind == NAMED) & after_end, LITERAL, kind).astype(kind.dtype)
+        return self.code[ids], kind, inside, owner
 
 
-def window_hashes(codes: np.ndarray, kinds: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a window of ``size`` words lies in one text, and the hashes of these windows."""
+def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
     n = len(codes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(owner[:n] == owner[size - 1 :])
-    typed = np.where(kinds == LITERAL, codes, CODES[kinds])
-    literals = np.r_[0, np.cumsum(kinds == LITERAL)]
-    enough = literals[size:] - literals[:-size] >= min(MIN_LITERALS, (size + 1) // 2)
-    as_typed, as_is = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    found = np.zeros(n, np.uint64)
     for k in range(size):
-        as_typed = as_typed * BASE + typed[k : n + k]
-        as_is = as_is * BASE + codes[k : n + k]
-    found = np.where(enough, as_typed, as_is) + np.uint64(size)
+        found = found * BASE + codes[k : n + k]
+    found += np.uint64(size)
     found = (found ^ found >> np.uint64(29)) * BASE
-    found ^= found >> np.uint64(32)
-    return at, found[at]
+    return found ^ found >> np.uint64(32)
+
+
+def window_hashes(
+    codes: np.ndarray, kinds: tuple[np.ndarray, ...], owner: np.ndarray, size: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions at which a window of ``size`` words lies in one text and the hashes of these windows: first of the
+    words as they are, then by each of ``kinds`` where placeholders may stand and make a hash that is not there yet."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * (1 + len(kinds))
+    own = owner[:n] == owner[size - 1 :]
+    hashes = [_rolled(codes, size)]
+    places = [np.flatnonzero(own)]
+    for kind in kinds:
+        literals = np.r_[0, np.cumsum(kind == LITERAL)]
+        enough = literals[size:] - literals[:-size] >= min(MIN_LITERALS, (size + 1) // 2)
+        found = _rolled(np.where(kind == LITERAL, codes, CODES[kind]), size)
+        new = own & enough
+        for other in hashes:
+            new &= found != other
+        # A window without placeholders of this kind has the hash of one before.
+        hashes.append(np.where(enough, found, hashes[0]))
+        places.append(np.flatnonzero(new))
+    return [(at, found[at]) for at, found in zip(places, hashes, strict=True)]
 
 
 def _slots(ws: list[bytes], kinds: np.ndarray) -> list[str | None]:
@@ -133,14 +150,15 @@ def _slots(ws: list[bytes], kinds: np.ndarray) -> list[str | None]:
 
 
 def _window_rows(items: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
-    """Rows (doc_id, n_words, size, place, hash, slots) of all windows, or of those whose table slot is ``wanted``.
+    """Rows (doc_id, n_words, size, place, hash, plain, slots) of all windows, or of those whose table slot is ``wanted``;
+    ``plain`` if the hash is that of the words as they are.
 
     Without ``sizes``, each text has windows of WINDOW words, or one of all its words if it has fewer.
     """
-    ddl = "doc_id bigint, n_words bigint, size int, place bigint, hash bigint, slots array<string>"
+    ddl = "doc_id bigint, n_words bigint, size int, place bigint, hash bigint, plain boolean, slots array<string>"
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("size", pa.int32()), ("place", pa.int64()), ("hash", pa.int64())]
-        + [("slots", pa.list_(pa.string()))]
+        + [("plain", pa.bool_()), ("slots", pa.list_(pa.string()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,24 +168,26 @@ def _window_rows(items: DataFrame, sizes: list[int] | None, wanted) -> DataFrame
             # Only the words of one run of texts are held at a time.
             split = ((doc_id, words(t)) for doc_id, t in zip(ids, batch.column("text").to_pylist(), strict=True))
             for some in batches_of(split, lambda x: len(x[1]), BATCH_WORDS):
-                codes, kinds, owner = canon.read([ws for _, ws in some])
+                codes, named, inside, owner = canon.read([ws for _, ws in some])
                 lengths = [len(ws) for _, ws in some]
                 starts = np.cumsum([0, *lengths])
                 rows: list[tuple] = []
                 for size in sizes or sorted({min(WINDOW, n) for n in lengths if n}):
-                    at, hashes = window_hashes(codes, kinds, owner, size)
-                    if sizes is None and size < WINDOW:  # the whole of a short text
-                        whole = np.array(lengths)[owner[at]] == size
-                        at, hashes = at[whole], hashes[whole]
-                    if wanted is not None:
-                        hit = wanted.value[(hashes % np.uint64(SLOTS)).astype(np.int64)]
-                        at, hashes = at[hit], hashes[hit]
-                    for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                        k = int(owner[p])
-                        place = p - int(starts[k])
-                        doc_id, ws = some[k]
-                        slots = _slots(ws[place : place + size], kinds[p : p + size])
-                        rows.append((doc_id, len(ws), size, place, h, slots))
+                    variants = window_hashes(codes, (inside, named), owner, size)
+                    for kinds, (at, hashes) in zip((None, inside, named), variants, strict=True):
+                        plain = kinds is None
+                        if sizes is None and size < WINDOW:  # the whole of a short text
+                            whole = np.array(lengths)[owner[at]] == size
+                            at, hashes = at[whole], hashes[whole]
+                        if wanted is not None:
+                            hit = wanted.value[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+                            at, hashes = at[hit], hashes[hit]
+                        for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                            k = int(owner[p])
+                            place = p - int(starts[k])
+                            doc_id, ws = some[k]
+                            slots = _slots(ws[place : place + size], (inside if plain else kinds)[p : p + size])
+                            rows.append((doc_id, len(ws), size, place, h, plain, slots))
                 if rows:
                     yield record_batch(schema, dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 

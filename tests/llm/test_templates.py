@@ -47,3 +47,23 @@ def test_every_item_is_found_where_it_stands(spark, sf_dir):
     items = [(r.item_id, r.text.lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert {(d, i) for d, t in docs for i, q in items if q in t} <= got
     assert got <= {(d, i) for d, t in docs for i, q in items if " ".join(q.split()[:6]) in " ".join(t.split())}
+
+
+def found(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items, 1)), "item_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(docs, 1)), "doc_id bigint, text string")
+    return {(r.doc_id, r.item_id): r for r in T.leaks(docs, items).collect()}
+
+
+def test_words_that_begin_sentences_may_be_names(spark):
+    items = ["What is the capital of France?", "Tom buys 3 pens and 4 cups. Tom then sells 2 of them."]
+    docs = [
+        f"{prose(20)} Question: What is the capital of France? {prose(20)}",
+        f"{prose(20)}, What is the capital of France? {prose(20)}",
+        f"{prose(20)}. Sam buys 3 pens and 4 cups. Sam then sells 2 of them. {prose(20)}",
+        f"{prose(20)} Tom buys 3 pens and 4 cups. Tom then sells 2 of them. {prose(20)}",
+        f"{prose(20)}. What was the anthem of France? {prose(20)}",
+    ]
+    got = found(spark, items, docs)
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2)}
+    assert got[1, 1].n_changed == got[2, 1].n_changed == got[4, 2].n_changed == 0 < got[3, 2].n_changed
