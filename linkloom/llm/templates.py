@@ -218,9 +218,12 @@ def leaks(
 ) -> DataFrame:
     """Rows (doc_id, item_id, coverage, n_slots, n_consistent, n_changed) of documents that hold benchmark items.
 
-    ``coverage`` is the share of the item's words in windows that the document also has; ``n_slots`` counts placeholder
-    values in them, ``n_consistent`` those where each value of the item stands for one value of the document and the
-    other way round, ``n_changed`` those with another value than the item: 0 means a copy, more a re-parameterised one.
+    A pair is reported if one of these passes by itself: the windows of one alignment, of neighbouring alignments (words
+    put in or left out), those of them that are verbatim, or all windows of the pair, should an item be scattered. The
+    figures are those of the one that passes with the most coverage, then with the fewest changed values.
+    ``coverage`` is the share of the item's words in these windows; ``n_slots`` counts placeholder values in them,
+    ``n_consistent`` those where each value of the item stands for one value of the document and the other way round,
+    ``n_changed`` those with another value than the item: 0 means a copy, more a re-parameterised one.
     An item of fewer than 8 words is one window of all its words. Texts are whole; null and empty ones have no window
     and no leak, and empty tables give no rows. Documents are told apart by doc_id, items by item_id: rows repeated
     under one id count once, null ids as one document or item. Other columns are not read.
@@ -240,17 +243,29 @@ def leaks(
         F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"),
     )
-    pairs = found.select("doc_id", "size", "place", "hash", "slots").join(theirs, ["hash", "size"])
+    pairs = found.select("doc_id", "size", "place", "hash", "plain", "slots").join(theirs, ["hash", "size"])
+    key = ["doc_id", "item_id"]
+    # Neighbouring alignments of a pair are one run.
+    shifted = pairs.withColumn("shift", F.col("place") - F.col("item_place"))
+    by_shift = W.partitionBy(*key).orderBy("shift")
+    shifted = shifted.withColumn("_new", (F.col("shift") - F.lag("shift").over(by_shift) > WINDOW).cast("int"))
+    shifted = shifted.withColumn("run", F.sum(F.coalesce("_new", F.lit(0))).over(by_shift))
     zipped = F.arrays_zip(F.col("slots").alias("ours"), F.col("item_slots").alias("theirs"))
-    tokens = pairs.select(
-        "doc_id", "item_id", "item_words", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
-        F.posexplode(zipped).alias("k", "slot"),
+    tokens = shifted.select(
+        *key, "item_words", "item_place", "shift", "run", "plain", F.posexplode(zipped).alias("k", "slot")
     ).select(
-        "doc_id", "item_id", "item_words", "shift", (F.col("item_place") + F.col("k")).alias("token"),
+        *key, "item_words", "shift", "run", "plain", (F.col("item_place") + F.col("k")).alias("token"),
         F.col("slot.ours"), F.col("slot.theirs"),
     )
+
+    def part(kind: str, at: str):
+        return F.struct(F.lit(kind).alias("kind"), F.col(at).cast("bigint").alias("at"))
+
+    everything = F.struct(F.lit("pair").alias("kind"), F.lit(0).cast("bigint").alias("at"))
+    parts = F.array(everything, part("run", "run"), part("shift", "shift"), F.when(F.col("plain"), part("plain", "run")))
+    tokens = tokens.withColumn("part", F.explode(F.array_compact(parts))).drop("run", "plain")
     tokens = written(tokens.distinct())
-    key = ["doc_id", "item_id"]
+    key = [*key, "part"]
     covered = tokens.groupBy(*key).agg(
         (F.count_distinct("token") / F.max("item_words")).alias("coverage"),
     ).where(F.col("coverage") >= min_coverage)
@@ -264,17 +279,19 @@ def leaks(
         F.sum(F.when((F.col("_a") == 1) & (F.col("_b") == 1), F.col("n")).otherwise(0)).alias("n_consistent"),
         F.sum(F.when(F.col("theirs") != F.col("ours"), F.col("n")).otherwise(0)).alias("n_changed"),
     )
-    checked = checked.select(
-        F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"), "n_slots", "n_consistent", "n_changed"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i"))
-    return (
+    numbers = ("n_slots", "n_consistent", "n_changed")
+    checked = checked.select(*(F.col(c).alias(f"_{c}") for c in key), *numbers)
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    passing = (
         covered.join(checked, same, "left")
-        .select(
-            *key, "coverage", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_slots", "n_consistent", "n_changed"))
-        )
+        .select(*key, "coverage", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers))
         .where(F.col("n_consistent") >= min_consistent * F.col("n_slots"))
     )
+    order = F.struct(F.col("coverage"), -F.col("n_changed"), F.col("n_slots"), F.col("n_consistent"))
+    best = passing.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("coverage", *numbers), order).alias("_best"))
+    return best.select("doc_id", "item_id", "_best.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

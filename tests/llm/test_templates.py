@@ -67,3 +67,14 @@ def test_words_that_begin_sentences_may_be_names(spark):
     got = found(spark, items, docs)
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2)}
     assert got[1, 1].n_changed == got[2, 1].n_changed == got[4, 2].n_changed == 0 < got[3, 2].n_changed
+
+
+def test_a_copy_is_not_outvoted_by_variants(spark):
+    item = "the farmer picks 5 apples and 5 pears for the market and sells 5 baskets there every day"
+    variant = "the farmer picks {} apples and {} pears for the market and sells {} baskets there every day"
+    variants = [variant.format(10 + k, 40 + k, 70 + k) for k in range(4)]
+    many = " ".join([prose(30), *variants, prose(30, 2), item, prose(30, 3), *variants])
+    close = " ".join([*variants, item, *variants])
+    got = found(spark, [item], [many, close, " ".join(variants)])
+    assert set(got) == {(1, 1), (2, 1)}
+    assert {(r.coverage, r.n_changed, r.n_consistent == r.n_slots) for r in got.values()} == {(1.0, 0, True)}
