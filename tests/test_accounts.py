@@ -84,7 +84,7 @@ def test_same_name_alone_is_not_enough(spark):
 
 
 def test_handle_variants(spark):
-    from conftest import column
+    from columns import column
 
     got = dict(zip(["alice", "John_Doe", "a.b.c"], column(spark, ["alice", "John_Doe", "a.b.c"], accounts.handle_variants, "string")))
     assert got["alice"][:6] == ["alice", "thealice", "realalice", "alice0", "alice1", "alice2"]
@@ -97,7 +97,7 @@ def test_handle_variants(spark):
 
 
 def test_personal_domains(spark):
-    from conftest import column
+    from columns import column
 
     got = column(spark, ["John_Doe"], accounts.personal_domains)[0]
     assert got[0] == "johndoe.dev" and "john-doe.io" in got and "jdoe.com" in got and "johnd.app" in got

@@ -4,7 +4,7 @@ import datetime as dt
 import ipaddress
 
 import pytest
-from conftest import column
+from columns import column
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
