@@ -1,17 +1,7 @@
 import pytest
+from prose import prose
 from pyspark.sql import functions as F
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
-
-
-def prose(n, seed=1):
-    """n words that hardly repeat as windows."""
-    out, x = [], seed * 7919 + 1
-    for _ in range(n):
-        x = (x * 1103515245 + 12345) % 2**31
-        out.append(WORDS[(x >> 8) % len(WORDS)] + str((x >> 16) % 50))
-    return " ".join(out)
-
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):

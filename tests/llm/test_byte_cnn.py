@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import prose
+from prose import prose
 
 from linkloom.llm import byte_cnn as B
 

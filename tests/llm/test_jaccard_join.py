@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import prose
+from prose import prose
 
 from linkloom.llm import jaccard_join as J
 

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from conftest import prose
+from prose import prose
 
 from linkloom.llm import licenses as L
 

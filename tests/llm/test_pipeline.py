@@ -20,7 +20,7 @@ def test_stages_against_their_parts(spark):
     kept = {r.doc_id for r in repetition.repetition(C.table(spark, SF, "documents")).collect() if r.kept}
     assert {r.doc_id for r in ruled} == kept and len(ruled) < len(first)
     table = spark.createDataFrame(ruled, C.table(spark, SF, "documents").schema)
-    groups = {r.doc_id: r.component_id for r in jaccard_join.linked_components(table).collect()}
+    groups = {r.doc_id: r.component_id for r in jaccard_join.linked_components(table, size=C.SHINGLE, percent=C.PERCENT).collect()}
     assert {r.doc_id for r in single} == set(groups.values()) and len(single) == len(set(groups.values()))
     table = spark.createDataFrame(single, table.schema)
     leaking = {r.doc_id for r in templates.leaks(table, C.table(spark, SF, "benchmark")).collect()}

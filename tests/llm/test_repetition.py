@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from conftest import prose
+from prose import prose
 
 from linkloom.llm import repetition as R
 

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import prose
+from prose import prose
 
 from linkloom.llm import secret_scan as S
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import prose
+from prose import prose
 from linkloom.llm import templates as T
 
 QUESTION = "Alice has 12 apples and Bob gives her 30 kg of pears, so how many fruits does the happy Alice own after 12 days?"
