@@ -8,6 +8,7 @@ from linkloom.llm import (
     hidden_markov,
     jaccard_join,
     licenses,
+    mixing,
     repetition,
     reply_trees,
     secret_scan,
@@ -24,6 +25,7 @@ __all__ = [
     "hidden_markov",
     "jaccard_join",
     "licenses",
+    "mixing",
     "repetition",
     "reply_trees",
     "secret_scan",
