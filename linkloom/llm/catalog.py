@@ -8,6 +8,7 @@ from linkloom.llm import (
     hidden_markov,
     jaccard_join,
     licenses,
+    merkle,
     mixing,
     repetition,
     reply_trees,
@@ -25,6 +26,7 @@ __all__ = [
     "hidden_markov",
     "jaccard_join",
     "licenses",
+    "merkle",
     "mixing",
     "repetition",
     "reply_trees",
