@@ -10,6 +10,7 @@ from linkloom.llm import (
     licenses,
     merkle,
     mixing,
+    negatives,
     repetition,
     reply_trees,
     secret_scan,
@@ -28,6 +29,7 @@ __all__ = [
     "licenses",
     "merkle",
     "mixing",
+    "negatives",
     "repetition",
     "reply_trees",
     "secret_scan",
