@@ -240,7 +240,8 @@ class Manifest:
 def manifest(rows: DataFrame, order: list[str], levels: int = LEVELS) -> Manifest:
     """Builds all trees of ``rows`` (tree string, not null; digest; columns in ``order``; others are kept), and the tree
     of their roots, in the order of ``tree`` by bytes. No rows give empty tables."""
-    leaves = written(numbered_leaves(rows, order))
+    # Texts are read and hashed once; dealing into ranges reads its input twice.
+    leaves = written(numbered_leaves(written(rows), order))
     tiers = build(leaves, levels)
     subroots = written(tree_roots(tiers, levels).withColumnRenamed("tree", "name"))
     top = written(numbered_leaves(subroots.withColumn("tree", F.lit("all")), ["name"]))
