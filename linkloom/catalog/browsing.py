@@ -1189,5 +1189,5 @@ def _(spark, d):
     observations(spark, d, "dns", "threat_intel").repartition(2).write.mode("overwrite").parquet(source)
     stream = jobs.stream_observations(spark, source, files_per_trigger=1)
     jobs.stream_correlate(stream, out, f"{out}-state", AS_OF, buckets=4, co_occurrence=False).awaitTermination()
-    ents = spark.read.parquet(f"{out}/entities")
+    ents = jobs.correlated(spark, out, "entities")
     return ents.select("investigation_id", "id", "source_count", "evidence_count")

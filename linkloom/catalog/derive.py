@@ -5,12 +5,15 @@ Every row of a source table becomes one observation, activity or candidate, so t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.catalog.registry import table, texts
 from linkloom.operators.text import text_mentions
-from linkloom.session import cut_lineage
+from linkloom.schemas import OBSERVATIONS
+from linkloom.session import checkpoint_dir, cut_lineage
 
 AS_OF = "2024-02-15 00:00:00"
 DOC_TIME = "2024-02-10 00:00:00"
@@ -159,16 +162,27 @@ _PAYLOADS = {
 }
 
 
+#: Where the observations of (application, folder, adapter) lie.
+_STORED: dict[tuple[str, str, str], str] = {}
+#: A test table is often one row group, which one task reads; stored observations come in files of so many rows.
+_ROWS_PER_FILE = 4_000
+
+
 def observations(spark: SparkSession, d: str, *adapters: str) -> DataFrame:
-    """Observations of the given adapters, or of all."""
-    out = None
+    """Observations of the given adapters, or of all. Observations are a stored table: the first query that asks for an
+    adapter writes its rows, in several files; queries then read those."""
+    app = spark.sparkContext.applicationId
     for adapter in adapters or _PAYLOADS:
-        source, key, inv, target, payload = _PAYLOADS[adapter]
-        rows = table(spark, d, source).selectExpr(
-            *_columns(_OBS.format(adapter=adapter, key=key, inv=inv, target=target, payload=payload))
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        if (app, d, adapter) not in _STORED:
+            source, key, inv, target, payload = _PAYLOADS[adapter]
+            rows = table(spark, d, source).selectExpr(
+                *_columns(_OBS.format(adapter=adapter, key=key, inv=inv, target=target, payload=payload))
+            )
+            path = f"{checkpoint_dir(spark)}/{app}/observations-{adapter}-{uuid.uuid4().hex}"
+            rows.write.option("maxRecordsPerFile", _ROWS_PER_FILE).parquet(path)
+            _STORED[app, d, adapter] = path
+    paths = [_STORED[app, d, adapter] for adapter in adapters or _PAYLOADS]
+    return spark.read.schema(OBSERVATIONS).parquet(*paths)
 
 
 def _columns(text: str) -> list[str]:

@@ -622,26 +622,29 @@ def _register() -> None:
 _register()
 
 
-@query(
-    "l5_http_links",
-    """SELECT 'inv-' || p_partkey % 25 AS investigation_id, 'http-' || p_partkey AS observation_id,
+_HTTP_LINKS = """SELECT 'inv-' || p_partkey % 25 AS investigation_id, 'http-' || p_partkey AS observation_id,
       'domain:shop' || p_partkey || '.example.com' AS source_id,
       unnest(['technology:nginx 1.' || p_size, 'url:https://shop' || p_partkey || '.example.com/home']) AS target_id,
       unnest(['uses_technology', 'links_to']) AS relationship_type,
-      unnest([0.85::DOUBLE, 0.8]) AS confidence FROM part""",
-)
-def _(spark, d):
-    from linkloom.operators import extract
+      unnest([0.85::DOUBLE, 0.8]) AS confidence FROM part"""
 
-    obs = observations(spark, d, "http")
-    named = resolve.resolve_exact(extract.extract_http(obs)[0])
-    # the domains and redirect targets that other observations would have found
-    shops = table(spark, d, "part").selectExpr(
+
+def _shops(spark, d):
+    """The domains and redirect targets that other observations would have found."""
+    return table(spark, d, "part").selectExpr(
         "'inv-' || p_partkey % 25 AS investigation_id",
         "explode(array('domain:shop' || p_partkey || '.example.com', "
         "'url:https://shop' || p_partkey || '.example.com/home')) AS id",
     )
-    ents = named.select("investigation_id", "id").unionByName(shops)
+
+
+@query("l5_http_links", _HTTP_LINKS)
+def _(spark, d):
+    from linkloom.operators import extract
+
+    obs = observations(spark, d, "http")
+    named = resolve.resolve_exact(extract.extract_http(obs)[0])
+    ents = named.select("investigation_id", "id").unionByName(_shops(spark, d))
     return link.link_http(obs, ents).select(
         "investigation_id", "observation_id", "source_id", "target_id", "relationship_type", "confidence"
     )
@@ -666,10 +669,19 @@ _ALL_LINKED = ["dns", "whois", "certificate_transparency", "ip_to_asn", "threat_
     "l9_structural_links",
     f"""SELECT investigation_id, id, source_id, target_id, relationship_type FROM
     (SELECT DISTINCT investigation_id, id, source_id, target_id, relationship_type FROM
-    ({edges_sql(_LINKS, *_ALL_LINKED)} UNION ALL {_EMAIL_LINKS}))""",
+    ({edges_sql(_LINKS, *_ALL_LINKED)} UNION ALL {_EMAIL_LINKS})
+    UNION ALL SELECT investigation_id, source_id || ':' || relationship_type || ':' || target_id, source_id, target_id,
+      relationship_type FROM ({_HTTP_LINKS}))""",
 )
 def _(spark, d):
-    found = link.detect_relationships(*_entities_of(spark, d, *_ALL_LINKED))
+    """One pass over the payloads gives both the entities and the links between them."""
+    from linkloom.operators import extract
+
+    adapters = [*_ALL_LINKED, "http"]
+    said = extract.said_in(observations(spark, d, *adapters), (extract.MENTIONED, extract.LINKED), adapters)
+    said = cut_lineage(said, by=["what"])
+    ents = extract.mentions_of(said).select("investigation_id", "id").distinct().unionByName(_shops(spark, d))
+    found = link.known_links(extract.edges_of(said, extract.LINKED), ents)
     return found.select("investigation_id", "id", "source_id", "target_id", "relationship_type")
 
 

@@ -26,23 +26,30 @@ def accounts(obs: DataFrame) -> DataFrame:
     rows = obs.withColumn("_p", F.from_json("raw_response", PROFILE)).where(
         F.col("_p.profile").isNotNull() & F.coalesce("_p.found", F.lit(False))
     )
-    p = F.col("_p.profile")
+    fields = profile_fields(F.col("_p.profile"))
     return rows.select(
         "investigation_id",
         F.col("id").alias("observation_id"),
         F.col("source_adapter").alias("platform"),
-        _first_filled(p["name"], p["username"], F.col("target")).alias("username"),
-        _first_filled(p["full_name"], p["name"]).alias("full_name"),
-        _first_filled(p["email"], p["public_email"]).alias("email"),
-        _first_filled(p["description"], p["bio"], p["about"]).alias("bio"),
-        _first_filled(p["organization"]).alias("organization"),
-        _first_filled(p["website_url"], p["website"]).alias("website"),
-        _first_filled(p["location"]).alias("location"),
-        _first_filled(p["profile_url"]).alias("profile_url"),
+        *[field.alias(name) for name, field in fields.items()],
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
     )
 
 
+def profile_fields(p: Column) -> dict[str, Column]:
+    """The fields of an account, from a parsed profile and the column ``target``; missing ones are empty."""
+    return {
+        "username": _first_filled(p["name"], p["username"], F.col("target")),
+        "full_name": _first_filled(p["full_name"], p["name"]),
+        "email": _first_filled(p["email"], p["public_email"]),
+        "bio": _first_filled(p["description"], p["bio"], p["about"]),
+        "organization": _first_filled(p["organization"]),
+        "website": _first_filled(p["website_url"], p["website"]),
+        "location": _first_filled(p["location"]),
+        "profile_url": _first_filled(p["profile_url"]),
+    }
+
+
 def _plain(value: Column) -> Column:
     return F.lower(values.trimmed(value))
 

@@ -1,7 +1,8 @@
 """Entities and edges in stored collector payloads.
 
-Each adapter is a pair of array expressions over one observation row: the values it mentions and the edges it states.
-Dispatch picks one pair per row, so a whole observation table is read and parsed once, without unions and shuffles.
+Each adapter is three array expressions over one observation row: the values it mentions, the edges it states, and the
+edges that hold between known entities. Dispatch picks those of the row's adapter, so a whole observation table is read
+and parsed once, without unions and shuffles; values are standardized after the arrays are taken apart.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from pyspark.sql import Window as W
 
 from linkloom.functions import fixed, values
 from linkloom.functions.once import built_once
+from linkloom.operators.accounts import PROFILE, profile_fields
 from linkloom.operators.text import TEXT_CONFIDENCE, text_candidates
 
-MENTION = (
-    "struct<type:string,raw:string,confidence:double,properties:map<string,string>,verbatim:boolean,id:string>"
-)
-EDGE = (
-    "struct<src_type:string,src_raw:string,rel:string,tgt_type:string,tgt_raw:string,confidence:double,"
-    "method:string,verbatim:boolean>"
+# What a payload says, as one kind of item: a mention has a type and a raw value; an edge has those of its source, and
+# those of its target.
+ITEM = (
+    "struct<type:string,raw:string,confidence:double,properties:map<string,string>,verbatim:boolean,id:string,"
+    "rel:string,tgt_type:string,tgt_raw:string,method:string>"
 )
+MENTION = EDGE = ITEM
 
 PAYLOADS = {
     "dns": "A ARRAY<STRING>, AAAA ARRAY<STRING>, MX ARRAY<STRING>, NS ARRAY<STRING>, TXT ARRAY<STRING>, "
@@ -74,31 +76,34 @@ def _mention(
         (properties if properties is not None else F.create_map().cast("map<string,string>")).alias("properties"),
         F.lit(verbatim).alias("verbatim"),
         (entity if entity is not None else F.lit(None).cast("string")).alias("id"),
+        *[F.lit(None).cast("string").alias(x) for x in ("rel", "tgt_type", "tgt_raw", "method")],
     )
 
 
 def _edge(
     src_type: str | Column,
     src: Column,
-    rel: str,
+    rel: str | Column,
     tgt_type: str | Column,
     tgt: Column,
     confidence: float | Column,
-    method: str,
+    method: str | Column,
     verbatim: bool = False,
 ) -> Column:
     def lit(x):
         return F.lit(x) if isinstance(x, (str, float)) else x
 
     return F.struct(
-        lit(src_type).alias("src_type"),
-        src.cast("string").alias("src_raw"),
-        F.lit(rel).alias("rel"),
-        lit(tgt_type).alias("tgt_type"),
-        tgt.cast("string").alias("tgt_raw"),
+        lit(src_type).alias("type"),
+        src.cast("string").alias("raw"),
         lit(confidence).alias("confidence"),
-        F.lit(method).alias("method"),
+        F.lit(None).cast("map<string,string>").alias("properties"),
         F.lit(verbatim).alias("verbatim"),
+        F.lit(None).cast("string").alias("id"),
+        lit(rel).alias("rel"),
+        lit(tgt_type).alias("tgt_type"),
+        tgt.cast("string").alias("tgt_raw"),
+        lit(method).alias("method"),
     )
 
 
@@ -168,8 +173,8 @@ def _anchored(kind: str, rel: str, confidence: float, method: str) -> Callable[[
     return lambda v: _edge(F.col("_anchor_type"), F.col("_anchor"), rel, kind, v, confidence, method)
 
 
-def _dns(p: Column):
-    a, aaaa, ns, ptr = (F.transform(p[k], _record) for k in ("A", "AAAA", "NS", "PTR"))
+def _dns_facts(p: Column) -> Column:
+    """What mentions, edges and links of a DNS payload have in common."""
 
     def mx(item: Column) -> Column:
         whole = F.coalesce(
@@ -184,7 +189,13 @@ def _dns(p: Column):
         )
         return F.struct(host.alias("host"), F.coalesce(F.nullif(stated, F.lit("")), leading).alias("priority"))
 
-    mail = F.transform(p["MX"], mx)
+    lists = [F.transform(p[k], _record).alias(k) for k in ("A", "AAAA", "NS", "PTR")]
+    return F.struct(*lists, F.transform(p["MX"], mx).alias("MX"))
+
+
+def _dns(p: Column):
+    facts = F.col("_dns_facts")
+    a, aaaa, ns, ptr, mail = (facts[k] for k in ("A", "AAAA", "NS", "PTR", "MX"))
     soa = p["SOA"]
     mname = F.coalesce(F.get_json_object(soa, "$.mname"), F.get_json_object(soa, "$.data"))
     rname = F.get_json_object(soa, "$.rname")
@@ -266,7 +277,7 @@ def _whois(p: Column):
     registrar = F.when(_present(p["registrar"]), p["registrar"])
     mail = F.when(_present(p["registrant_email"]) & ~values.is_redacted(p["registrant_email"]), p["registrant_email"])
     person = F.when(_present(p["registrant_name"]) & ~values.is_redacted(p["registrant_name"]), p["registrant_name"])
-    servers = _name_servers(p)
+    servers = F.col("_whois_facts")
     named = F.filter(servers, lambda s: s["name"].isNotNull())
     placed = F.filter(servers, lambda s: s["address"].isNotNull())
     mentions = lambda: F.concat(
@@ -323,7 +334,8 @@ def _whois(p: Column):
     return mentions, edges, links
 
 
-def _ct(p: Column, max_certs: int | None = None):
+def _ct_facts(p: Column, max_certs: int | None) -> Column:
+    """The certificates of a payload with the names on each, and how many there were."""
     every = F.coalesce(p["certificates"], F.array().cast("array<struct<id:string,common_name:string,"
                                                           "name_value:string,issuer_name:string>>"))
     certs = every if max_certs is None else F.slice(every, 1, max_certs)
@@ -350,8 +362,14 @@ def _ct(p: Column, max_certs: int | None = None):
             ).alias("names"),
         ),
     )
+    return F.struct(certs.alias("certs"), F.size(every).alias("total"))
+
+
+def _ct(p: Column):
+    facts = F.col("_certificate_transparency_facts")
+    certs, total = facts["certs"], facts["total"]
     about = _properties(
-        _ct_total_certs=F.size(every), _ct_processed_certs=F.size(certs), _ct_truncated=F.size(every) > F.size(certs)
+        _ct_total_certs=total, _ct_processed_certs=F.size(certs), _ct_truncated=total > F.size(certs)
     )
     mentions = lambda: F.concat(
         _list(*_target_mentions(0.95, about), of=MENTION),
@@ -378,18 +396,14 @@ def _ct(p: Column, max_certs: int | None = None):
 
     def san(cert: Column, n: Column) -> Column:
         other = n["kind"] == "Domain"
-        return F.struct(
-            F.when(other, F.lit("Domain")).otherwise(F.col("_anchor_type")).alias("src_type"),
-            F.when(other, n["name"]).otherwise(F.col("_anchor")).alias("src_raw"),
-            F.when(other, "covered_by_certificate")
-            .when(n["kind"] == "IP", "hosted_on")
-            .otherwise("has_subdomain")
-            .alias("rel"),
-            F.when(other, "Certificate").otherwise(n["kind"]).alias("tgt_type"),
-            F.when(other, cert).otherwise(n["name"]).alias("tgt_raw"),
-            F.when(n["kind"] == "Subdomain", F.lit(0.9)).otherwise(F.lit(0.8)).alias("confidence"),
-            F.when(n["kind"] == "IP", "ct_san_ip").otherwise("ct_san").alias("method"),
-            F.lit(False).alias("verbatim"),
+        return _edge(
+            F.when(other, F.lit("Domain")).otherwise(F.col("_anchor_type")),
+            F.when(other, n["name"]).otherwise(F.col("_anchor")),
+            F.when(other, "covered_by_certificate").when(n["kind"] == "IP", "hosted_on").otherwise("has_subdomain"),
+            F.when(other, "Certificate").otherwise(n["kind"]),
+            F.when(other, cert).otherwise(n["name"]),
+            F.when(n["kind"] == "Subdomain", F.lit(0.9)).otherwise(F.lit(0.8)),
+            F.when(n["kind"] == "IP", "ct_san_ip").otherwise("ct_san"),
         )
 
     def per_cert(issuer_confidence: float, names: Callable[[Column], Column]) -> Column:
@@ -453,7 +467,8 @@ def _http(p: Column):
     return mentions, _no_edges, links
 
 
-def _github(p: Column):
+def _github_facts(p: Column) -> Column:
+    """The blog of a profile as a URL, and everything that edges repeat."""
     login = F.coalesce(p["login"], p["profile"]["login"], F.col("target"))
     mail = F.coalesce(F.nullif(p["email"], F.lit("")), F.nullif(p["profile"]["email"], F.lit("")))
     org = F.coalesce(F.nullif(p["organization"], F.lit("")), F.nullif(p["profile"]["organization"], F.lit("")))
@@ -477,7 +492,6 @@ def _github(p: Column):
     )
     blog = values.trimmed(p["profile"]["blog"])
     link = values.url(F.when(blog.rlike("^https?://"), blog).otherwise(F.concat(F.lit("https://"), blog)))
-    host = F.regexp_replace(values.url_host(link), r"^www\.", "")
     repos = F.filter(
         F.transform(
             p["repositories"],
@@ -488,14 +502,22 @@ def _github(p: Column):
         ),
         lambda r: _present(r["name"]),
     )
+    known = {"login": login, "mail": mail, "orgs": orgs, "repos": repos, "link": F.when(_present(blog), link)}
+    return F.struct(*[c.alias(name) for name, c in known.items()])
+
+
+def _github(p: Column):
+    facts = F.col("_github_facts")
+    login, mail, orgs, repos, link = (facts[k] for k in ("login", "mail", "orgs", "repos", "link"))
+    host = F.regexp_replace(values.url_host(link), r"^www\.", "")
     mentions = lambda: F.concat(
         _list(
             _mention(
                 "Username", login, 0.9, _properties(profile_url=F.concat(F.lit("https://github.com/"), login)), True
             ),
             F.when(mail.isNotNull(), _mention("Email", mail, 0.8)),
-            F.when(_present(blog), _mention("URL", link, 0.75, _properties(source=F.lit("github_blog")), True)),
-            F.when(_present(blog) & host.contains("."), _mention("Domain", host, 0.7, verbatim=True)),
+            F.when(link.isNotNull(), _mention("URL", link, 0.75, _properties(source=F.lit("github_blog")), True)),
+            F.when(host.contains("."), _mention("Domain", host, 0.7, verbatim=True)),
             of=MENTION,
         ),
         _each(orgs, lambda o: _mention("Organization", o, 0.75, verbatim=True), MENTION),
@@ -715,20 +737,29 @@ ADAPTERS: dict[str, Callable[[Column], tuple[Callable[[], Column], ...]]] = {
 }
 # These describe a domain: without a usable one the observation yields nothing.
 _NEED_ANCHOR = ["dns", "whois", "certificate_transparency"]
-_OUTPUT = {"mentions": (0, MENTION), "edges": (1, EDGE), "links": (2, EDGE)}
+# Computed once per payload, for all that is built from it.
+_FACTS: dict[str, Callable[[Column, int | None], Column]] = {
+    "dns": lambda p, _: _dns_facts(p),
+    "whois": lambda p, _: _name_servers(p),
+    "certificate_transparency": _ct_facts,
+    "github": lambda p, _: _github_facts(p),
+}
+#: What an adapter builds: mentions, edges that the payload states, edges that hold only between known entities. And the
+#: account that any payload with a profile describes.
+MENTIONED, STATED, LINKED, ACCOUNT = 0, 1, 2, 3
 
 
 # --- jobs --------------------------------------------------------------------------------------------------------
 
 
 def _prepared(obs: DataFrame) -> DataFrame:
-    """Adds what the adapters need to know about the target; skips rows without a payload."""
+    """Adds what the adapters need to know about the target, and whether there is a payload."""
     target = F.col("target")
-    kept = obs.where(F.coalesce(F.trim("raw_response"), F.lit("")).isin("", "{}", "null", "[]") == F.lit(False))
     host = F.when(F.col("_is_email"), values.trimmed(F.substring_index(target, "@", -1))).otherwise(target)
     is_ip = (F.col("source_adapter") == "dns") & (values.is_ipv4(F.col("_anchor")) | values.is_ipv6(F.col("_anchor")))
     return (
-        kept.withColumn("_is_email", _target_kind("target") == "email")
+        obs.withColumn("_said", ~F.coalesce(F.trim("raw_response"), F.lit("")).isin("", "{}", "null", "[]"))
+        .withColumn("_is_email", _target_kind("target") == "email")
         .withColumn("_anchor", host)
         .withColumn("_anchor_type", F.when(is_ip, "IP").otherwise("Domain"))
         .withColumn("_name", _domain_of("_anchor"))
@@ -740,29 +771,18 @@ def _parsed(adapter: str) -> Column:
 
 
 @built_once
-def _array(which: str, adapter: str, max_certs: int | None) -> Column:
-    """The array that one adapter builds; null where the target is unusable."""
-    position, kind = _OUTPUT[which]
-    payload = F.col(f"_{adapter}")
-    parts = _ct(payload, max_certs) if adapter == "certificate_transparency" else ADAPTERS[adapter](payload)
-    array = parts[position]()
+def _arrays_of(which: tuple[int, ...], adapter: str) -> Column:
+    """The arrays of items that one adapter builds; null where the target is unusable."""
+    parts = ADAPTERS[adapter](F.col(f"_{adapter}"))
+    arrays = F.array(*[parts[k]().cast(f"array<{ITEM}>") for k in which if k != ACCOUNT])
     if adapter in _NEED_ANCHOR:
-        array = F.when((F.col("_name") != "") | (F.col("_anchor_type") == "IP"), array)
-    return array.cast(f"array<{kind}>")
-
-
-def _arrays(which: str, adapters: list[str], max_certs: int | None) -> Column:
-    """One array per row, built by the adapter the row belongs to."""
-    source = F.col("source_adapter")
-    chosen = F.when(source == adapters[0], _array(which, adapters[0], max_certs))
-    for name in adapters[1:]:
-        chosen = chosen.when(source == name, _array(which, name, max_certs))
-    return chosen
+        arrays = F.when((F.col("_name") != "") | (F.col("_anchor_type") == "IP"), arrays)
+    return arrays
 
 
 @built_once
 def _scanned(col: str) -> Column:
-    return _text_mentions(F.col(col)).cast(f"array<{MENTION}>")
+    return _text_mentions(F.col(col)).cast(f"array<{ITEM}>")
 
 
 @built_once
@@ -781,62 +801,102 @@ def _domain_of(col: str) -> Column:
     return values.domain(F.col(col))
 
 
-def _rows(obs: DataFrame, which: str, adapters: list[str], generic: bool, max_certs: int | None) -> DataFrame:
+def _items(
+    obs: DataFrame, which: tuple[int, ...], adapters: list[str], generic: bool, max_certs: int | None
+) -> DataFrame:
+    """The items of the wanted kinds in all payloads, each payload parsed once: (investigation_id, observation_id,
+    source, seen_at, what, and the fields of ITEM)."""
     rows = _prepared(obs)
+    source, said = F.col("source_adapter"), F.col("_said")
+    if LINKED not in which:
+        rows = rows.where(said)
     if not generic:
-        rows = rows.where(F.col("source_adapter").isin(adapters))
-    rows = rows.withColumns({f"_{a}": F.when(F.col("source_adapter") == a, _parsed(a)) for a in adapters})
-    kind = _OUTPUT[which][1]
-    array = _arrays(which, adapters, max_certs)
-    if which == "mentions":
-        if generic:
-            array = array.otherwise(_scanned("raw_response"))
-        lost = F.col("source_adapter").isin(_NEED_ANCHOR) & (F.col("_name") == "")
-        target_email = F.when(
-            F.col("_is_email") & (~F.col("source_adapter").isin(_NEED_ANCHOR) | lost),
-            F.array(_mention("Email", F.col("target"), 1.0)),
-        ).cast(f"array<{kind}>")
-        array = F.concat(F.coalesce(array, _list(of=kind)), F.coalesce(target_email, _list(of=kind)))
+        rows = rows.where(source.isin(adapters))
+    rows = rows.withColumns({f"_{a}": F.when(said & (source == a), _parsed(a)) for a in adapters})
+    facts = {f"_{a}_facts": F.when(source == a, _FACTS[a](F.col(f"_{a}"), max_certs)) for a in adapters if a in _FACTS}
+    rows = rows.withColumns(facts) if facts else rows
+    built = [k for k in which if k != ACCOUNT]
+    none = F.lit(None).cast(f"array<{ITEM}>")
+    chosen = F.when(~said, F.lit(None).cast(f"array<array<{ITEM}>>"))
+    for name in adapters:
+        chosen = chosen.when(source == name, _arrays_of(which, name))
+    if generic:
+        chosen = chosen.otherwise(F.array(*[_scanned("raw_response") if k == MENTIONED else none for k in built]))
+    lists = [F.struct(F.lit(k).alias("what"), F.get("_arrays", F.lit(i)).alias("items")) for i, k in enumerate(built)]
+    # What holds of any observation by its target alone.
+    if MENTIONED in which and generic:
+        lost = source.isin(_NEED_ANCHOR) & (F.col("_name") == "")
+        alone = said & F.col("_is_email") & (~source.isin(_NEED_ANCHOR) | lost)
+        named = F.when(alone, F.array(_mention("Email", F.col("target"), 1.0)).cast(f"array<{ITEM}>"))
+        lists.append(F.struct(F.lit(MENTIONED).alias("what"), named.alias("items")))
+    if LINKED in which and generic:
+        own = F.when(F.col("_is_email"), F.array(_target_link()).cast(f"array<{ITEM}>"))
+        lists.append(F.struct(F.lit(LINKED).alias("what"), own.alias("items")))
+    if ACCOUNT in which:
+        rows = rows.withColumn("_account", _profile_in("raw_response"))
+        lists.append(F.struct(F.lit(ACCOUNT).alias("what"), _account_item().alias("items")))
     keys = [
         "investigation_id",
         F.col("id").alias("observation_id"),
         F.col("source_adapter").alias("source"),
         F.col("collected_at").alias("seen_at"),
     ]
-    return rows.select(*keys, F.inline(array))
-
-
-def _mentions(obs: DataFrame, adapters: list[str], generic: bool, max_certs: int | None = None) -> DataFrame:
-    keys = ["investigation_id", "observation_id", "source", "seen_at"]
-    raw = _rows(obs, "mentions", adapters, generic, max_certs).withColumnRenamed("id", "stated_id")
-    valued = raw.withColumn("value", _standard("type", "raw", "verbatim")).where(F.col("value") != "")
-    known = F.when(F.col("source").isin(list(ADAPTERS)), F.col("source")).otherwise("generic")
-    return valued.select(
-        *[known.alias("source") if k == "source" else F.col(k) for k in keys],
-        F.coalesce("stated_id", values.entity_id(F.col("type"), F.col("value"))).alias("id"),
-        "type",
-        "value",
-        "confidence",
-        "properties",
-    )
+    found = rows.withColumn("_arrays", chosen).select(*keys, F.inline(F.array(*lists)))
+    return found.select("investigation_id", "observation_id", "source", "seen_at", "what", F.inline("items"))
+
 
+def _profile_in(col: str) -> Column:
+    return F.when(F.col(col).contains('"profile"'), F.from_json(F.col(col), PROFILE))
 
-def _edges(obs: DataFrame, which: str, adapters: list[str], max_certs: int | None = None) -> DataFrame:
-    raw = _rows(obs, which, adapters, False, max_certs)
 
-    ends = raw.withColumn("_src", _standard("src_type", "src_raw", "verbatim")).withColumn(
-        "_tgt", _standard("tgt_type", "tgt_raw", "verbatim")
+def _account_item() -> Column:
+    """The account that a found profile describes; its fields are properties."""
+    fields = F.create_map(*[x for name, f in profile_fields(F.col("_account.profile")).items() for x in (F.lit(name), f)])
+    item = _mention("Account", F.lit("account"), F.coalesce("confidence", F.lit(0.5)), fields, True)
+    there = F.col("_account.profile").isNotNull() & F.coalesce("_account.found", F.lit(False))
+    return F.when(there, F.array(item).cast(f"array<{ITEM}>"))
+
+
+def _target_link() -> Column:
+    """An email target and its own domain."""
+    domain = F.substring_index(F.col("target"), "@", -1)
+    return _edge("Email", F.col("target"), "associated_with_email", "Domain", domain, 1.0, "target_email_domain")
+
+
+def _standardized(items: DataFrame) -> DataFrame:
+    """Items with standard values and ids: a mention's value and id; an edge's ends as source_id and target_id."""
+    known = F.col("source").isin(list(ADAPTERS)) | (F.col("what") == ACCOUNT)
+    source = F.when(known, F.col("source")).otherwise("generic")
+    is_edge = F.col("rel").isNotNull()
+    ends = items.withColumnsRenamed({"id": "stated_id"}).withColumns(
+        {"value": _standard("type", "raw", "verbatim"), "_tgt": F.when(is_edge, _standard("tgt_type", "tgt_raw", "verbatim"))}
+    )
+    ends = ends.where((F.col("value") != "") & (~is_edge | (F.col("_tgt") != "")))
+    own_id = F.coalesce("stated_id", values.entity_id(F.col("type"), F.col("value")))
+    return ends.select(
+        "investigation_id", "observation_id", source.alias("source"), "seen_at", "what", own_id.alias("own_id"), "type",
+        "value", "confidence", "properties", "rel",
+        F.when(is_edge, values.entity_id(F.col("tgt_type"), F.col("_tgt"))).alias("target_id"), "method",
+        F.lit(None).cast("string").alias("edge_id"),
     )
-    ends = ends.where((F.col("_src") != "") & (F.col("_tgt") != ""))
-    ids = ends.withColumn("source_id", values.entity_id(F.col("src_type"), F.col("_src"))).withColumn(
-        "target_id", values.entity_id(F.col("tgt_type"), F.col("_tgt"))
+
+
+def mentions_of(said: DataFrame) -> DataFrame:
+    """The mentions among standardized items."""
+    return said.where(F.col("what") == MENTIONED).select(
+        "investigation_id", "observation_id", "source", "seen_at", F.col("own_id").alias("id"), "type", "value",
+        "confidence", "properties",
     )
-    return ids.select(
+
+
+def edges_of(said: DataFrame, what: int = STATED) -> DataFrame:
+    """The stated edges, or the ones between known entities, among standardized items."""
+    return said.where(F.col("what") == what).select(
         "investigation_id",
         "observation_id",
         "seen_at",
-        F.concat_ws(":", "source_id", "rel", "target_id").alias("id"),
-        "source_id",
+        F.coalesce("edge_id", F.concat_ws(":", "own_id", "rel", "target_id")).alias("id"),
+        F.col("own_id").alias("source_id"),
         "target_id",
         F.col("rel").alias("relationship_type"),
         "confidence",
@@ -844,6 +904,62 @@ def _edges(obs: DataFrame, which: str, adapters: list[str], max_certs: int | Non
     )
 
 
+def accounts_of(said: DataFrame) -> DataFrame:
+    """The accounts among standardized items, as ``accounts.accounts`` has them."""
+    names = ("username", "full_name", "email", "bio", "organization", "website", "location", "profile_url")
+    return said.where(F.col("what") == ACCOUNT).select(
+        "investigation_id", "observation_id", F.col("source").alias("platform"),
+        *[F.col("properties")[x].alias(x) for x in names], "confidence",
+    )
+
+
+def said_in(
+    obs: DataFrame,
+    which: tuple[int, ...] = (MENTIONED, STATED, LINKED, ACCOUNT),
+    adapters: list[str] | None = None,
+    max_certs: int | None = None,
+) -> DataFrame:
+    """All that the observations say, one row per mention, stated edge, link and account, in one pass: ``mentions_of``,
+    ``edges_of`` and ``accounts_of`` take it apart. Unknown adapters are read as text; own extractors (``register_extractor``) add theirs.
+
+    ``adapters`` names the built-in adapters that occur, which keeps the plan small; by default all are planned for.
+    """
+    planned = list(ADAPTERS) if adapters is None else adapters
+    own = obs.where(~F.col("source_adapter").isin(list(_CUSTOM))) if _CUSTOM else obs
+    said = _standardized(_items(own, which, planned or ["dns"], True, max_certs))
+    empty = F.lit(None).cast("string")
+    for name, extractor in _CUSTOM.items():
+        theirs = obs.where(F.col("source_adapter") == name)
+        mentions, edges = extractor(theirs)
+        if ACCOUNT in which:
+            rows = theirs.withColumn("_account", _profile_in("raw_response"))
+            said = said.unionByName(
+                _standardized(
+                    rows.select(
+                        "investigation_id", F.col("id").alias("observation_id"), F.col("source_adapter").alias("source"),
+                        F.col("collected_at").alias("seen_at"), F.lit(ACCOUNT).alias("what"), F.inline(_account_item()),
+                    )
+                )
+            )
+        if LINKED in which:
+            mail = theirs.where(_target_kind("target") == "email").select(
+                "investigation_id", F.col("id").alias("observation_id"), F.col("source_adapter").alias("source"),
+                F.col("collected_at").alias("seen_at"), F.lit(LINKED).alias("what"),
+                F.inline(F.array(_target_link()).cast(f"array<{ITEM}>")),
+            )
+            said = said.unionByName(_standardized(mail))
+        if MENTIONED in which:
+            more = dict.fromkeys(("rel", "target_id", "method", "edge_id"), empty)
+            rows = mentions.withColumns({"what": F.lit(MENTIONED)} | more)
+            said = said.unionByName(rows.withColumnRenamed("id", "own_id"))
+        if STATED in which:
+            more = {"what": F.lit(STATED), "source": F.lit(name), "type": empty, "value": empty}
+            rows = edges.withColumns(more | {"properties": F.lit(None).cast("map<string,string>")})
+            renamed = {"id": "edge_id", "source_id": "own_id", "relationship_type": "rel"}
+            said = said.unionByName(rows.withColumnsRenamed(renamed))
+    return said
+
+
 Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 _CUSTOM: dict[str, Extractor] = {}
 
@@ -855,8 +971,10 @@ def register_extractor(adapter: str, extractor: Extractor) -> None:
 
 def _adapter_job(*adapters: str) -> Callable[..., tuple[DataFrame, DataFrame]]:
     def job(obs: DataFrame, max_certs: int | None = None) -> tuple[DataFrame, DataFrame]:
-        mine = list(adapters)
-        return _mentions(obs, mine, False, max_certs), _edges(obs, "edges", mine, max_certs)
+        def of(what: int) -> DataFrame:
+            return _standardized(_items(obs, (what,), list(adapters), False, max_certs))
+
+        return mentions_of(of(MENTIONED)), edges_of(of(STATED))
 
     return job
 
@@ -877,7 +995,8 @@ extract_accounts = _adapter_job("username_probe")
 
 def extract_generic(obs: DataFrame) -> DataFrame:
     """Free-text scan of the whole payload of observations from unknown adapters."""
-    return _mentions(obs.where(~F.col("source_adapter").isin(list(ADAPTERS))), ["dns"], True)
+    unknown = obs.where(~F.col("source_adapter").isin(list(ADAPTERS)))
+    return mentions_of(_standardized(_items(unknown, (MENTIONED,), ["dns"], True, None)))
 
 
 def present_adapters(obs: DataFrame) -> list[str]:
@@ -891,20 +1010,11 @@ def extract_all(
 ) -> tuple[DataFrame, DataFrame]:
     """Mentions and edges of every observation, each adapter by its own rule, unknown ones as text.
 
-    Only three adapters and account findings state edges, so the edges read only those rows. ``adapters`` names the
-    built-in adapters that occur, which keeps the plan small; by default all are planned for.
+    Either table is a pass of its own, so that a caller who wants one builds one; ``said_in`` gives all in one pass.
     """
-    planned = list(ADAPTERS) if adapters is None else adapters
-    own = obs
-    if _CUSTOM:
-        own = obs.where(~F.col("source_adapter").isin(list(_CUSTOM)))
-    mentions = _mentions(own, planned or ["dns"], True, max_certs)
-    stating = [a for a in [*_NEED_ANCHOR, "username_probe"] if a in planned]
-    edges = _edges(own, "edges", stating or ["dns"], max_certs)
-    for name, extractor in _CUSTOM.items():
-        more_mentions, more_edges = extractor(obs.where(F.col("source_adapter") == name))
-        mentions, edges = mentions.unionByName(more_mentions), edges.unionByName(more_edges)
-    return mentions, edges
+    mentions = mentions_of(said_in(obs, (MENTIONED,), adapters, max_certs))
+    stating = [a for a in [*_NEED_ANCHOR, "username_probe"] if adapters is None or a in adapters]
+    return mentions, edges_of(said_in(obs, (STATED,), stating, max_certs))
 
 
 def rejected_observations(obs: DataFrame) -> DataFrame:
@@ -912,19 +1022,18 @@ def rejected_observations(obs: DataFrame) -> DataFrame:
     return obs.where(F.try_parse_json("raw_response").isNull() & (F.coalesce("raw_response", F.lit("")) != ""))
 
 
-def link_candidates(obs: DataFrame, adapters: list[str] | None = None) -> DataFrame:
-    """Edges that count only between known entities, see linkloom.operators.link."""
-    with_links = ["dns", "whois", "certificate_transparency", "ip_to_asn", "http", "threat_intel", "github"]
-    planned = with_links if adapters is None else [a for a in with_links if a in adapters]
-    return _edges(obs, "links", planned or ["dns"], None)
+def link_candidates(obs: DataFrame, adapters: list[str]) -> DataFrame:
+    """Edges of these adapters that count only between known entities, see linkloom.operators.link."""
+    return edges_of(_standardized(_items(obs, (LINKED,), adapters, False, None)), LINKED)
 
 
 def extract_header_tech(obs: DataFrame, headers_col: str = "headers") -> DataFrame:
     """Technologies named by the Server and X-Powered-By headers: adds rows of ``type``, ``value``, ``id``."""
     keys = [c for c in obs.columns if c != headers_col]
     rows = obs.select(*keys, F.inline(_header_mentions(F.col(headers_col))))
-    # the struct's own id column is last
-    flat = rows.toDF(*keys, "type", "value", "confidence", "properties", "verbatim", "stated_id")
+    # the struct has an id of its own
+    names = ("type", "value", "confidence", "properties", "verbatim", "stated_id", "rel", "tgt_type", "tgt_raw", "method")
+    flat = rows.toDF(*keys, *names)
     return flat.select(
         *keys,
         F.coalesce("stated_id", values.entity_id(F.col("type"), F.col("value"))).alias("technology_id"),

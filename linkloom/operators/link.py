@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from linkloom.functions import values
-from linkloom.operators.extract import link_candidates
+from linkloom.operators.extract import LINKED, edges_of, link_candidates, said_in
 from linkloom.operators.score import threat_score
 
 
-def between_known(edges: DataFrame, ents: DataFrame) -> DataFrame:
-    """Edges whose two ends are entities of the same investigation."""
-    ids = ents.select("investigation_id", "id").distinct()
+#: Adapters whose payloads link known entities.
+LINKING = ["dns", "whois", "certificate_transparency", "ip_to_asn", "http", "threat_intel", "github"]
+
+
+def between_known(edges: DataFrame, ents: DataFrame, inside: str = "") -> DataFrame:
+    """Edges whose two ends are entities of the same investigation; ``inside`` names the struct that holds the ends."""
+    ids = ents.select(F.col("investigation_id").alias("_inv"), F.col("id").alias("_end")).distinct()
     for end in ("source_id", "target_id"):
-        edges = edges.join(ids.withColumnRenamed("id", end), ["investigation_id", end], "left_semi")
+        known = (F.col("investigation_id") == F.col("_inv")) & (F.col(inside + end) == F.col("_end"))
+        edges = edges.join(ids, known, "left_semi")
     return edges
 
 
@@ -43,33 +48,19 @@ link_github = _adapter_links("github")
 
 def link_email_domain(obs: DataFrame, ents: DataFrame) -> DataFrame:
     """Email targets to their own domain."""
-    target = F.col("target")
-    rows = obs.where(values.target_type(target) == "email").select(
-        "investigation_id",
-        F.col("id").alias("observation_id"),
-        F.col("collected_at").alias("seen_at"),
-        values.entity_id(F.lit("Email"), values.email(target)).alias("source_id"),
-        values.entity_id(F.lit("Domain"), values.domain(F.substring_index(target, "@", -1))).alias("target_id"),
-    )
-    edges = rows.select(
-        "investigation_id",
-        "observation_id",
-        "seen_at",
-        F.concat_ws(":", "source_id", F.lit("associated_with_email"), "target_id").alias("id"),
-        "source_id",
-        "target_id",
-        F.lit("associated_with_email").alias("relationship_type"),
-        F.lit(1.0).alias("confidence"),
-        F.lit("target_email_domain").alias("method"),
-    )
-    return between_known(edges, ents)
+    links = edges_of(said_in(obs, (LINKED,), []), LINKED)
+    return between_known(links.where(F.col("method") == "target_email_domain"), ents)
+
+
+def known_links(links: DataFrame, ents: DataFrame) -> DataFrame:
+    """Of extracted links, those between known entities; the first sighting of an edge counts."""
+    return first_per_edge(between_known(links, ents))
 
 
 def detect_relationships(obs: DataFrame, ents: DataFrame, adapters: list[str] | None = None) -> DataFrame:
-    """All structural edges between known entities; the first sighting of an edge counts."""
-    candidates = link_candidates(obs, adapters)
-    known = between_known(candidates, ents)
-    return first_per_edge(known.unionByName(link_email_domain(obs, ents)))
+    """All structural edges between known entities, from observations."""
+    linking = [a for a in LINKING if adapters is None or a in adapters]
+    return known_links(edges_of(said_in(obs, (LINKED,), linking), LINKED), ents)
 
 
 # --- provenance and references -----------------------------------------------------------------------------------

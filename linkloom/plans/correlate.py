@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators import accounts, extract, link, resolve, score
+from linkloom.operators import accounts, extract, link, partials, resolve, score
+from linkloom.operators.partials import Partials
 from linkloom.session import cut_lineage
 
 
@@ -14,50 +15,39 @@ def correlate(
 ) -> dict[str, DataFrame]:
     """Entities, relationships and provenance of a table of observations.
 
-    Mentions and extracted edges are read several times, so they are written once. ``link_accounts`` also links the
+    The observations are read and parsed once; all that they say is written, by kind. ``link_accounts`` also links the
     accounts of one user name across platforms and adds the people, emails and organizations behind them.
     ``co_occurrence`` links all entities of one observation: its result grows with the square of what an observation
     holds, so it is off unless asked for.
     """
-    adapters = extract.present_adapters(obs)
-    mentions, edges = extract.extract_all(obs, adapters=adapters)
-    same_person = None
-    if link_accounts:
-        now = F.lit(as_of).cast("timestamp")
-        found = cut_lineage(accounts.accounts(obs))
-        more_mentions, more_edges = accounts.account_entities(found, now)
-        mentions, edges = mentions.unionByName(more_mentions), edges.unionByName(more_edges)
-        same_person = accounts.account_links(found).select(
-            "investigation_id", "observation_id", "id", "source_id", "target_id", "relationship_type", "confidence",
-            F.lit("").alias("method"), now.alias("seen_at"),
-        )
-    return relate(obs, cut_lineage(mentions), cut_lineage(edges), as_of, fuzzy, co_occurrence, adapters, same_person)
-
-
-def relate(
-    obs: DataFrame,
-    mentions: DataFrame,
-    edges: DataFrame,
-    as_of: str,
-    fuzzy: bool = True,
-    co_occurrence: bool = False,
-    adapters: list[str] | None = None,
-    same_person: DataFrame | None = None,
+    said = cut_lineage(extract.said_in(obs, adapters=extract.present_adapters(obs)), by=["what"])
+    return related(partials.partials(said), as_of, fuzzy, co_occurrence, link_accounts)
+
+
+def related(
+    parts: Partials, as_of: str, fuzzy: bool = True, co_occurrence: bool = False, link_accounts: bool = True
 ) -> dict[str, DataFrame]:
     """The steps after extraction: resolve, link, merge, score. Entities are written once; every later step joins them."""
     now = F.lit(as_of).cast("timestamp")
-    sightings = resolve.entity_provenance(mentions, uuid_only=False)
-    ents = cut_lineage(resolve.resolve_normalized(resolve.resolve_exact(mentions, fill_empty=True), sightings))
-    tables = [link.detect_relationships(obs, ents, adapters)]
+    same_person = None
+    if link_accounts:
+        found = cut_lineage(parts.accounts)
+        parts = partials.with_mentions(parts, *accounts.account_entities(found, now))
+        links = accounts.account_links(found).withColumns({"method": F.lit(""), "seen_at": now})
+        same_person = partials.edge_partials(links)
+    pairs = cut_lineage(parts.pairs)
+    sightings = pairs.where(F.coalesce("observation_id", F.lit("")) != "").drop("created_at")
+    ents = cut_lineage(resolve.resolve_normalized(partials.entity_table(parts), sightings))
+    tables = [partials.link_edges(link.between_known(parts.links, ents, "first."))]
     if co_occurrence:
-        members = mentions.select("investigation_id", "observation_id", F.col("id").alias("entity_id"))
+        members = sightings.select("investigation_id", "observation_id", "entity_id")
         together = resolve.co_occurrences(members).drop("shared").withColumn("seen_at", now)
-        tables.append(link.between_known(together, ents))
+        tables.append(partials.edge_partials(link.between_known(together, ents)))
     if fuzzy:
-        tables.append(resolve.similarity_edges(resolve.similar_entities(ents), now))
-    tables.append(edges)
+        tables.append(partials.edge_partials(resolve.similarity_edges(resolve.similar_entities(ents), now)))
+    tables.append(parts.edges)
     if same_person is not None:
         tables.append(same_person)
-    rels = resolve.merge_relationships(*tables)
-    scored, scored_rels = score.score_all(ents, rels, as_of)
-    return {"entities": scored, "relationships": scored_rels, "entity_provenance": resolve.entity_provenance(mentions)}
+    scored, scored_rels = score.score_all(ents, partials.relationship_table(*tables), as_of)
+    seen = pairs.withColumnsRenamed({"entity_id": "id", "created_at": "seen_at"})
+    return {"entities": scored, "relationships": scored_rels, "entity_provenance": resolve.entity_provenance(seen)}

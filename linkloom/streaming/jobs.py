@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from linkloom import schemas
-from linkloom.operators import extract
-from linkloom.plans.correlate import relate
-from linkloom.sources.tables import bucket_of, write_bucketed
+from linkloom.operators import extract, partials
+from linkloom.plans.correlate import related
+from linkloom.session import cut_lineage, scratch
+from linkloom.sources.tables import bucket_of
+from linkloom.streaming.store import BatchStore
 
 
 def stream_activity(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -29,6 +32,13 @@ def stream_observations(
     return reader.format(fmt).load(path)
 
 
+RESULTS = {
+    "entities": schemas.ENTITIES,
+    "relationships": schemas.RELATIONSHIPS,
+    "entity_provenance": schemas.PROVENANCE,
+}
+
+
 def stream_correlate(
     observations: DataFrame,
     out: str,
@@ -37,52 +47,30 @@ def stream_correlate(
     buckets: int = 64,
     fuzzy: bool = True,
     co_occurrence: bool = False,
+    link_accounts: bool = True,
 ) -> StreamingQuery:
-    """Correlates observations batch by batch; a batch run twice leaves the same tables.
+    """Correlates observations batch by batch; the result is that of one large batch.
 
-    New observations, mentions and edges go to a folder of their batch. Then the entities and relationships of the
-    buckets of investigations that the batch touched are recomputed from all their mentions and replaced, so the
-    result is that of one large batch.
+    A batch parses its own observations only and adds their mergeable aggregates (``operators.partials``) to the store.
+    Then the investigations that it touched are resolved, linked and scored anew from their aggregates, in which an
+    entity is one row however often it was seen, and no payload is read again. An observation counts the first time
+    that it comes. A batch that runs twice leaves the same tables; ``correlated`` reads them, ``compact_correlated`` folds
+    old batches together.
     """
     spark = observations.sparkSession
-
-    def save(df: DataFrame, name: str, batch: int) -> None:
-        rows = df.withColumn("bucket", bucket_of("investigation_id", buckets)).withColumn("batch", F.lit(batch))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(
-            f"{out}/{name}"
-        )
+    store = BatchStore(spark, out, buckets)
 
     def merge(batch_rows: DataFrame, batch: int) -> None:
         batch_rows.persist()
         try:
             if batch_rows.isEmpty():
                 return
-            mentions, edges = extract.extract_all(batch_rows, adapters=extract.present_adapters(batch_rows))
-            save(batch_rows, "observations", batch)
-            save(mentions, "mentions", batch)
-            save(edges, "edges", batch)
             # at most ``buckets`` numbers
-            rows = batch_rows.select(bucket_of("investigation_id", buckets).alias("b")).distinct().collect()
+            found = batch_rows.select(bucket_of("investigation_id", buckets).alias("b")).distinct().collect()
+            with scratch(spark):
+                _add_batch(store, batch_rows, batch, [r.b for r in found], as_of, fuzzy, co_occurrence, link_accounts)
         finally:
             batch_rows.unpersist()
-        touched = F.col("bucket").isin([r.b for r in rows])
-
-        def stored(name: str, schema: str) -> DataFrame:
-            whole = spark.read.schema(f"{schema}, batch INT, bucket INT").parquet(f"{out}/{name}")
-            return whole.where(touched).drop("batch", "bucket")
-
-        known = stored("observations", schemas.OBSERVATIONS)
-        result = relate(
-            known,
-            stored("mentions", schemas.MENTIONS),
-            stored("edges", schemas.EDGE_MENTIONS),
-            as_of,
-            fuzzy,
-            co_occurrence,
-            extract.present_adapters(known),
-        )
-        for name in ("entities", "relationships", "entity_provenance"):
-            write_bucketed(result[name], f"{out}/{name}", buckets)
 
     return (
         observations.writeStream.foreachBatch(merge)
@@ -92,6 +80,76 @@ def stream_correlate(
     )
 
 
+def _add_batch(
+    store: BatchStore, rows: DataFrame, batch: int, touched: list[int], as_of: str, fuzzy: bool, co_occurrence: bool,
+    link_accounts: bool,
+) -> None:
+    ids = rows.select("investigation_id", "id").distinct()
+    if batch > 0:
+        before = store.rows("observations", ids.schema, batch - 1, touched).drop("batch")
+        rows = rows.join(before, ["investigation_id", "id"], "left_anti")
+        ids = rows.select("investigation_id", "id").distinct()
+    adapters = extract.present_adapters(rows)
+    said = cut_lineage(extract.said_in(rows, adapters=adapters), by=["what"])
+    own = partials.partials(said).tables()
+    for name, table in own.items():
+        store.save(table, f"partial_{name}", batch)
+    store.save(ids, "observations", batch)
+    # Investigations of this batch, which a table of ids tells, not a list on the driver.
+    investigations = ids.select("investigation_id").distinct()
+    store.save(investigations, "touched", batch)
+    mine = store.rows("touched", investigations.schema).where(F.col("batch") == batch).drop("batch")
+
+    def stored(name: str) -> DataFrame:
+        whole = store.rows(f"partial_{name}", own[name].schema, batch, touched).drop("batch")
+        return whole.join(mine, "investigation_id", "left_semi").select(*own[name].columns)
+
+    parts = partials.merged(partials.Partials(**{name: stored(name) for name in own}))
+    result = related(parts, as_of, fuzzy, co_occurrence, link_accounts)
+    for name in RESULTS:
+        store.save(result[name], name, batch)
+
+
+def _struct(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
+
+
+def _latest(store: BatchStore, name: str, schema: StructType) -> DataFrame:
+    """Each investigation's rows of the batch that touched it last."""
+    last = store.rows("touched", _struct("investigation_id STRING")).groupBy("investigation_id").agg(F.max("batch").alias("batch"))
+    return store.rows(name, schema).join(last, ["investigation_id", "batch"]).select(*[f.name for f in schema.fields])
+
+
+def correlated(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table that ``stream_correlate`` keeps: entities, relationships or entity_provenance."""
+    return _latest(BatchStore(spark, out, 0), name, _struct(RESULTS[name]))
+
+
+def compact_correlated(spark: SparkSession, out: str, upto: int, buckets: int = 64) -> None:
+    """Folds the batches up to ``upto`` of a streamed correlation into one. No batch may be running."""
+    store = BatchStore(spark, out, buckets)
+    nothing = spark.createDataFrame([], schemas.OBSERVATIONS)
+    kinds = partials.partials(extract.said_in(nothing, adapters=["dns"])).tables()
+
+    def same(rows: DataFrame) -> DataFrame:
+        return rows
+
+    merges = {
+        "entities": partials.merged_entities,
+        "properties": partials.merged_properties,
+        "edges": partials.merged_edges,
+        "links": partials.merged_links,
+    }
+    tables = {f"partial_{name}": (rows.schema, merges.get(name, same)) for name, rows in kinds.items()}
+    tables["observations"] = (_struct("investigation_id STRING, id STRING"), same)
+    seen = _struct("investigation_id STRING")
+    last = store.rows("touched", seen, upto).groupBy("investigation_id").agg(F.max("batch").alias("batch"))
+    for name, ddl in RESULTS.items():
+        tables[name] = (_struct(ddl), lambda rows: rows.join(last, ["investigation_id", "batch"], "left_semi"))
+    tables["touched"] = (seen, lambda rows: rows.select("investigation_id").distinct())
+    store.compact(tables, upto)
+
+
 def stream_dedupe(
     observations: DataFrame, keys: list[str], time_col: str, ttl_seconds: int, exact: bool = True
 ) -> DataFrame:

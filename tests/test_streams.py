@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkloom import schemas
 from linkloom.plans.correlate import correlate
 from linkloom.streaming import jobs
+from linkloom.streaming.store import BatchStore
 
 T = dt.datetime(2024, 1, 1)
 
@@ -36,21 +37,58 @@ def observation(i, target, ip):
             payload, None, 0.5, "success", None, T)
 
 
+def profile(i, platform, handle, **fields):
+    payload = json.dumps({"found": True, "profile": {"username": handle, "name": handle, **fields}})
+    return (f"00000000-0000-4000-9000-{i:012d}", f"inv{i % 2}", platform, "1", T + dt.timedelta(minutes=i), "api", handle,
+            payload, None, 0.6, "success", None, T)
+
+
+def same_tables(spark, out, batch):
+    for name, table in batch.items():
+        want = sorted(map(str, table.collect()))
+        got = sorted(map(str, jobs.correlated(spark, out, name).select(table.columns).collect()))
+        assert got == want, name
+
+
 def test_incremental_correlation_equals_one_batch(spark, tmp_path):
+    """DNS, profiles of one person on two platforms in different batches, and a file that repeats observations."""
     rows = [observation(i, f"d{i % 4}.example.com", f"198.51.100.{i % 5}") for i in range(12)]
+    about = {"full_name": "Ann Lee", "email": "ann@example.org", "organization": "Acme"}
+    people = [profile(k, p, "AnnLee", **about) for k, p in ((0, "gitlab"), (2, "keybase"), (1, "gitlab"), (4, "reddit"))]
+    files = [rows[:5] + people[:1], rows[5:9] + people[1:3], rows[:3] + people[:2], rows[9:] + people[3:]]
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in (rows[:5], rows[5:9], rows[9:]):
+    for part in files:
         spark.createDataFrame(part, schemas.OBSERVATIONS).coalesce(1).write.mode("append").parquet(source)
-    stream = jobs.stream_observations(spark, source, files_per_trigger=1)
     state, now = str(tmp_path / "state"), "2024-02-01 00:00:00"
-    jobs.stream_correlate(stream, out, state, now, buckets=4, co_occurrence=True).awaitTermination()
-    batch = correlate(spark.createDataFrame(rows, schemas.OBSERVATIONS), now, co_occurrence=True)
-    for name in ("entities", "relationships", "entity_provenance"):
-        cols = [c for c in batch[name].columns if c not in ("properties", "sources")]
-        want = sorted(map(str, batch[name].select(cols).collect()))
-        got = sorted(map(str, spark.read.parquet(f"{out}/{name}").select(cols).collect()))
-        assert got == want, name
-    assert batch["relationships"].where("method = 'co_occurrence'").count() > 0
+
+    def run():
+        stream = jobs.stream_observations(spark, source, files_per_trigger=1)
+        jobs.stream_correlate(stream, out, state, now, buckets=4, co_occurrence=True).awaitTermination()
+
+    run()
+    batch = correlate(spark.createDataFrame(rows + people, schemas.OBSERVATIONS), now, co_occurrence=True)
+    same_tables(spark, out, batch)
+    methods = {r.method for r in batch["relationships"].select("method").distinct().collect()}
+    assert {"co_occurrence", "dns_a_record", ""} <= methods
+    kinds = {r.relationship_type for r in batch["relationships"].select("relationship_type").distinct().collect()}
+    assert "same_person" in kinds
+    # Old batches become a base; what comes later merges with it.
+    jobs.compact_correlated(spark, out, 2, buckets=4)
+    same_tables(spark, out, batch)
+    late = [observation(20, "d1.example.com", "198.51.100.9"), profile(6, "hackernews", "AnnLee", **about)]
+    spark.createDataFrame(late, schemas.OBSERVATIONS).coalesce(1).write.mode("append").parquet(source)
+    run()
+    same_tables(spark, out, correlate(spark.createDataFrame(rows + people + late, schemas.OBSERVATIONS), now, co_occurrence=True))
+
+
+def test_a_batch_that_runs_twice(spark, tmp_path):
+    rows = [observation(i, "d.example.com", f"198.51.100.{i}") for i in range(6)]
+    first, second = (spark.createDataFrame(r, schemas.OBSERVATIONS) for r in (rows[:4], rows[4:]))
+    store = BatchStore(spark, str(tmp_path), 4)
+    now = "2024-02-01 00:00:00"
+    for batch, df in ((0, first), (1, second), (1, second)):
+        jobs._add_batch(store, df, batch, [0, 1, 2, 3], now, False, False, True)
+    same_tables(spark, str(tmp_path), correlate(first.unionByName(second), now, fuzzy=False))
 
 
 def test_stream_dedupe_and_rates(spark, tmp_path):
