@@ -59,18 +59,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _SCOPES: list[list[str]] = []
 
 
-def cut_lineage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back.
 
     The rows survive the loss of executors, and unlike a checkpointed plan the written table has a known size, so
     Spark can choose how to join it. Inside ``scratch`` the table goes when the scope ends; otherwise it stays with the
     application's other tables, in one folder. ``by`` names columns of few values by which the files are kept apart, so
-    that a reader of one value reads only its files.
+    that a reader of one value reads only its files; a table to ``keep`` outlives the scope.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    if _SCOPES:
+    if _SCOPES and not keep:
         _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
