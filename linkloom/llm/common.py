@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.session import cut_lineage as written
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -36,24 +38,6 @@ def texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder named in ``spark.checkpoint.dir`` and reads them back.
-
-    The rows survive the loss of executors and are computed once. Where the setting is missing it is an error; tests
-    set a folder of their own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{folder}/{context.applicationId}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: bytes) -> list[bytes]:
     """Runs of other than space, tab, line feed, vertical tab, form feed and carriage return."""
     return text.split()
@@ -81,6 +65,13 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, items), np.uint64, len(items))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def train_part(doc_id: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
@@ -101,6 +92,24 @@ def batches_of(rows: Iterable, weigh: Callable, most: int) -> Iterator[list]:
         yield run
 
 
+#: Rows of an Arrow batch that become Python objects at a time, and their bytes.
+SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of rows of a bounded number and, but for a single longer text, of bounded bytes."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(np.nan_to_num(sizes.astype(np.float64)))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0.0
+            stop = int(np.searchsorted(ends, before + SLICE_BYTES, "right"))
+            stop = min(max(stop, start + 1), start + SLICE_ROWS)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def record_batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -26,9 +26,11 @@ from linkloom.llm.common import (
     Hashes,
     batches_of,
     count_rows,
+    free_name,
     lower,
     query,
     record_batch,
+    slices,
     summed_counts,
     table,
     texts,
@@ -48,6 +50,8 @@ HOT_BITS = 12
 #: So many ids may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BATCH_WORDS = 200_000
+#: Words whose hashes a task remembers.
+HELD_WORDS = 150_000
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -92,8 +96,8 @@ def shingle_classes(docs: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
-        hashes = Hashes()
-        for batch in batches:
+        hashes = Hashes(HELD_WORDS)
+        for batch in slices(batches):
             split = (words(lower(t)) for t in batch.column("text").to_pylist())
             for some in batches_of(split, len, BATCH_WORDS):
                 found = np.concatenate([shingle_hashes(hashes.array(w), size) for w in some])
@@ -120,8 +124,8 @@ def signatures(docs: DataFrame, bits: np.ndarray, size: int, percent: int) -> Da
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
+        hashes = Hashes(HELD_WORDS)
+        for batch in slices(batches):
             rows: list[tuple] = []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, hashes, size)
@@ -205,9 +209,9 @@ def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, size: int, per
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(HELD_WORDS)
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-        for batch in batches:
+        for batch in slices(batches, "text_b"):
             keep = []
             for text_a, text_b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 if text_b != last[0]:
@@ -343,17 +347,19 @@ def one_of_each_group(docs: DataFrame, *, size: int = SHINGLE, percent: int = PE
     Of rows with one id the first by text stays. Documents without words and rows without an id stay.
     """
     found = linked_components(docs, size=size, percent=percent)
-    gone = written(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    # Whatever the caller's columns are called, these names are none of them.
+    mark = free_name(docs, "gone")
+    gone = written(found.where("component_id < doc_id").select(F.col("doc_id").alias(mark)).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    kept = docs.join(gone, F.col("doc_id") == F.col(mark), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(mark))
     repeated = written(repeated)
     if repeated.isEmpty():
         return kept
     order = W.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    some = kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi")
-    first = some.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
-    return kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(first)
+    some = kept.join(repeated, F.col("doc_id") == F.col(mark), "left_semi")
+    first = some.withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1).drop(mark)
+    return kept.join(repeated, F.col("doc_id") == F.col(mark), "left_anti").unionByName(first)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import batches_of, query, record_batch, table, texts, words
+from linkloom.llm.common import batches_of, query, record_batch, slices, table, texts, words
 
 SYMBOLS = b"#*$%&|<>"
 BASE_WINDOW = 5
@@ -165,7 +165,7 @@ def repetition(
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             ids = part.column("doc_id").to_pylist()
             rows = ((d, t, words(t)) for d, t in zip(ids, map(bytes, part.column("text").to_pylist()), strict=True))
             for some in batches_of(rows, lambda r: len(r[2]), SORTED_WORDS):
@@ -175,10 +175,11 @@ def repetition(
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the quality rules keep; a null text is empty and goes."""
+    """The rows of ``docs``, all columns, that the quality rules keep; a null text is empty and goes. Rows are judged one
+    by one, so of repeated rows all stay or none; an empty table stays empty."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             raw = [(x or "").encode() for x in part.column("text").to_pylist()]
             rows = ((k, t, words(t)) for k, t in enumerate(raw))
             keep: list[bool] = []

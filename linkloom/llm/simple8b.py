@@ -171,7 +171,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # The library finds its added tokens in any text; texts that hold one go to it whole.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.spaced = _Words(self, " ", limit)
         self.plain = _Words(self, "", limit // 10)
@@ -189,6 +190,8 @@ class WordEncoder:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return self.whole(text)
         parts: list[bytes] = []
         try:
             for line in text.split("\n"):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import (
     batches_of,
     count_rows,
+    free_name,
     query,
     record_batch,
     summed_counts,
@@ -295,9 +296,13 @@ def leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    """The rows of ``docs``, all columns, that hold no benchmark item. Rows are judged one by one, also those without an id
+    and those that share one; equal rows stay or go together. A null text holds nothing and stays; an empty table stays
+    empty."""
+    row = F.xxhash64("doc_id", "text")
+    mark = free_name(docs, "leaking")
+    found = leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(found, row == F.col(mark), "left_anti")
 
 
 @query("op2_template_decontamination")

@@ -18,7 +18,7 @@ def odd_docs(spark):
         (None, None),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    clash = {c: F.lit("x") for c in ("n", "g", "c", "key", "hash", "block", "label", "item_id", "score", "a", "b", "part")}
+    clash = {c: F.lit("x") for c in ("n", "g", "c", "key", "hash", "block", "label", "item_id", "score", "a", "b", "part", "_gone", "_twice", "_place", "_leaking", "gone", "leaking")}
     return df.withColumns(clash)
 
 

@@ -33,7 +33,6 @@ ODD += ["日本 語。 x", "word.,\nword; z!?", "a　 b", "a' 'b '' ,, .", "x" *
 @pytest.mark.parametrize("text", ODD)
 def test_words_as_the_library(text):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     found = np.frombuffer(S.encoder_of(PATH).encode(text), "<u4").tolist()
     assert found == library.encode(text, add_special_tokens=False).ids
 
