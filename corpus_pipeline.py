@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import bpe_tree, jaccard_join, repetition, secret_scan, templates
 from linkloom.llm.common import table, written
+from linkloom.session import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -17,7 +18,8 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go, among them those without words (null or empty texts). Rows are
+    judged one by one; an empty table stays empty."""
     return repetition.kept_documents(docs)
 
 
@@ -29,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of ``benchmark``, as it is or with other numbers and names, go."""
+    """Documents that hold an item of ``benchmark``, as it is or with other numbers and names, go. Rows are judged one by
+    one, also without an id; a null text stays."""
     return templates.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,7 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text (doc_id, n_tokens, ids)."""
+    """The token ids of each text (doc_id, n_tokens, ids), one row per row; a null or empty text has none."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -62,5 +65,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        # What a stage writes for itself goes once its rows are written.
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), keep=True)
     return docs
