@@ -8,7 +8,6 @@ table.
 from __future__ import annotations
 
 import math
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from linkloom.functions import values
+from linkloom.operators.matching import ratios
 from linkloom.session import cut_lineage
 
 FUZZY_TYPES = ["Organization", "Person", "Username"]
 SIMILARITY = 0.85
 BLOCK_SIZE = 2000
+EPS = 1e-9
 UUID = r"^(?i)(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
 
 
@@ -220,16 +221,7 @@ def co_occurrences(memberships: DataFrame, block_size: int = BLOCK_SIZE) -> Data
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def _character_tokens(text: Column) -> Column:
-    """Characters numbered by occurrence, so that a set overlap counts repeats."""
-    chars = F.split(text, "")
-    return F.transform(
-        chars,
-        lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")),
-    )
+    return pd.Series(ratios(a, b), dtype="float64")
 
 
 def _grams(name: Column) -> Column:
@@ -243,6 +235,17 @@ def _grams(name: Column) -> Column:
     )
 
 
+def _odd_characters(name: Column) -> Column:
+    """For each of 64 classes of characters, whether the name has an odd number of them. Names differ in no more classes
+    than they have unmatched characters."""
+    one = F.lit(1).cast("bigint")
+
+    def bit(c: Column) -> Column:
+        return F.call_function("shiftleft", one, F.pmod(F.xxhash64(c), F.lit(64).cast("bigint")).cast("int"))
+
+    return F.aggregate(F.split(name, ""), F.lit(0).cast("bigint"), lambda odd, c: odd.bitwiseXOR(bit(c)))
+
+
 def _slack(la: Column, lb: Column, t: float) -> Column:
     """Most characters that can stay unmatched in names of lengths la <= lb; what the lengths differ by is one part, the
     rest falls on both alike."""
@@ -263,117 +266,142 @@ def _pieces(length: Column, parts: Column, index: Column) -> tuple[Column, Colum
     return start, F.floor(length * (index + 1) / parts) - start
 
 
-def similar_entities(
-    ents: DataFrame, threshold: float = SIMILARITY, normalize: bool = False, types: list[str] | None = None
-) -> DataFrame:
-    """Pairs of entities of one investigation and type whose names are at least ``threshold`` alike.
+def _gram_pairs(names: DataFrame, kind: list[str], t: float) -> DataFrame:
+    """Pairs of names (id_a < id_b, a, b) that a shared gram guarantees to find, each pair once.
 
-    Candidates come from equi-joins that lose no pair. A ratio of t over lengths la <= lb leaves at most
-    u = (1 - t)(la + lb) unmatched characters, so at least so many grams are shared; then the names also share one of
-    the first few of their grams in the order of their frequency, rare ones first. A stem that all names share is
-    never a key. Where lengths and threshold guarantee no shared gram, one of u + 1 pieces of the shorter name stands
-    unchanged in the longer name, moved by no more than the unmatched characters allow. Upper bounds on the ratio from
-    the edit distance and the character counts remove most candidates before Python compares the rest.
+    The prefix of a name is so many of its grams, rare ones first, that two names that are similar enough have a common
+    one in their prefixes. The names that have a gram in their prefix meet block by block, so a gram that all names share
+    is compared by many tasks; a pair that the edit distance allows counts at the first of its common grams.
     """
-    t = threshold
-    text = values.comparison_key(F.col("type"), F.col("value")) if normalize else F.col("value")
-    names = (
-        ents.where(F.col("type").isin(types or FUZZY_TYPES))
-        .select("investigation_id", "type", "id", F.lower(text).alias("name"))
-        .where(F.col("name") != "")
-        .withColumn("n", F.length("name"))
-    )
-    eps = 1e-9
-
-    def slack(la: Column, lb: Column) -> Column:
-        return _slack(la, lb, t)
-
     n = F.col("n")
-    longest = F.floor(n * (2 - t) / t + eps).cast("int")
-    shortest = F.greatest(F.lit(1), F.ceil(n * t / (2 - t) - eps).cast("int"))
-    kind = ["investigation_id", "type"]
-    # A name's prefix of grams is long enough for the partner length that guarantees the fewest shared ones.
-    fewest = F.array_min(
-        F.filter(F.transform(F.sequence(shortest, longest), lambda m: _least_grams(n, m, t)), lambda c: c >= 1)
-    )
-    grams = names.withColumn("_c", fewest).where(F.col("_c").isNotNull()).select(
-        *kind, "id", "n", (n - 1 - F.col("_c") + 1).alias("_take"), F.explode(_grams(F.col("name"))).alias("gram")
-    )
+    longest = F.floor(n * (2 - t) / t + EPS).cast("int")
+    shortest = F.greatest(F.lit(1), F.ceil(n * t / (2 - t) - EPS).cast("int"))
+    # Lengths of partners that share a gram for sure. The prefix is long enough for the one that shares the fewest.
+    lengths = F.filter(F.sequence(shortest, longest), lambda m: _least_grams(n, m, t) >= 1)
+    able = names.withColumn("lengths", lengths).where(F.size("lengths") > 0)
+    fewest = F.array_min(F.transform("lengths", lambda m: _least_grams(n, m, t)))
+    grams = able.select(*kind, "id", "name", "n", "lengths", (n - fewest).alias("_take"), F.explode(_grams(F.col("name"))).alias("gram"))
     frequency = grams.groupBy(*kind, "gram").agg(F.count("*").alias("_f"))
-    rare_first = W.partitionBy(*kind, "id").orderBy("_f", "gram")
-    prefix = (
-        grams.join(frequency, [*kind, "gram"])
-        .withColumn("_k", F.row_number().over(rare_first))
-        .where(F.col("_k") <= F.col("_take"))
-        .select(*kind, "gram", "id", "n")
-    )
-    other = prefix.select(*kind, "gram", F.col("id").alias("_id"), F.col("n").alias("_n"))
-    by_gram = prefix.join(other, [*kind, "gram"]).where(
-        (F.col("id") < F.col("_id"))
-        & (F.greatest("n", "_n") - F.least("n", "_n") <= slack(F.least("n", "_n"), F.greatest("n", "_n")))
-    )
-    by_gram = by_gram.select(*kind, F.col("id").alias("id_a"), F.col("_id").alias("id_b"))
+    by_name = grams.join(frequency, [*kind, "gram"]).groupBy(*kind, "id", "name", "n", "lengths", "_take").agg(
+        F.array_sort(F.collect_list(F.struct("_f", "gram"))).alias("_all")
+    )
+    prefix = F.transform(F.slice("_all", F.lit(1), F.col("_take")), lambda g: g["gram"])
+    odd = _odd_characters(F.col("name"))
+    entries = by_name.select(*kind, "id", "name", "n", "lengths", odd.alias("odd"), prefix.alias("prefix"))
+    entries = entries.withColumn("gram", F.explode("prefix"))
+    entries = cut_lineage(entries)
+    held = entries.groupBy(*kind, "gram").agg(F.count("*").alias("_held")).where("_held > 1")
+    blocks = F.ceil(F.col("_held") / BLOCK_SIZE).cast("int")
+    placed = entries.join(held, [*kind, "gram"]).withColumn("_blocks", blocks).withColumn(
+        "_b", F.pmod(F.xxhash64("id"), F.col("_blocks").cast("bigint")).cast("int")
+    )
+    row = ["id", "name", "n", "lengths", "odd", "prefix"]
+    left = placed.select(
+        *kind, "gram", F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1)).alias("_j"),
+        *[F.col(c).alias(f"_l_{c}") for c in row],
+    )
+    right = placed.select(
+        *kind, "gram", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"),
+        *[F.col(c).alias(f"_r_{c}") for c in row],
+    )
+    # A short condition: the code that Spark makes of a long one is not compiled. The number of odd classes of both names
+    # is even or odd as the sum of their lengths is, so the exact bound for it needs no more than this.
+    both = F.col("_l_n") + F.col("_r_n")
+    cap = F.floor(both * F.lit(1 - t) + EPS)
+    most = cap - F.pmod(cap - both, F.lit(2))
+    # Entries are few beside the pairs that they make, so tasks are dealt by number, not by the size of the entries.
+    on = [*kind, "gram", "_i", "_j"]
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
+    met = left.join(right.hint("shuffle_hash"), on).where(
+        (((F.col("_i") < F.col("_j")) & (F.col("_l_id") != F.col("_r_id"))) | (F.col("_l_id") < F.col("_r_id")))
+        & (F.bit_count(F.col("_l_odd").bitwiseXOR(F.col("_r_odd"))) <= cap)
+        & F.array_contains("_l_lengths", F.col("_r_n"))
+        & (F.levenshtein("_l_name", "_r_name") <= most)
+    )
+    once = met.where(F.get(F.array_intersect("_l_prefix", "_r_prefix"), F.lit(0)) == F.col("gram"))
+    first = F.col("_l_id") < F.col("_r_id")
+    return once.select(
+        *kind,
+        F.least("_l_id", "_r_id").alias("id_a"), F.greatest("_l_id", "_r_id").alias("id_b"),
+        F.when(first, F.col("_l_name")).otherwise(F.col("_r_name")).alias("a"),
+        F.when(first, F.col("_r_name")).otherwise(F.col("_l_name")).alias("b"),
+    )
+
+
+def _piece_pairs(names: DataFrame, kind: list[str], t: float) -> DataFrame:
+    """Pairs of names (id_a < id_b, a, b) of lengths that guarantee no shared gram, each pair once: one of u + 1 pieces of
+    the shorter name stands unchanged in the longer one, moved by no more than the u unmatched characters allow."""
+    n = F.col("n")
+    longest = F.floor(n * (2 - t) / t + EPS).cast("int")
+    shortest = F.greatest(F.lit(1), F.ceil(n * t / (2 - t) - EPS).cast("int"))
+    la, lb, u = F.col("la"), F.col("lb"), F.col("_u")
     short = (
-        names.select(
-            "investigation_id", "type", F.col("id").alias("id_s"), F.col("name").alias("_name"), F.col("n").alias("la"),
-            F.explode(F.sequence(n, longest)).alias("lb"),
-        )
-        .where(_least_grams(F.col("la"), F.col("lb"), t) < 1)
-        .withColumn("_u", slack(F.col("la"), F.col("lb")))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_u"))))
+        names.select(*kind, F.col("id").alias("id_s"), F.col("name").alias("s"), n.alias("la"),
+                     F.explode(F.sequence(n, longest)).alias("lb"))
+        .where(_least_grams(la, lb, t) < 1)
+        .withColumn("_u", _slack(la, lb, t))
+        .withColumn("piece", F.explode(F.sequence(F.lit(0), u)))
     )
-    start, size = _pieces(F.col("la"), F.col("_u") + 1, F.col("piece"))
+    start, size = _pieces(la, u + 1, F.col("piece"))
     short = short.select(
-        "investigation_id", "type", "id_s", "la", "lb", "piece",
-        F.substring("_name", (start + 1).cast("int"), size.cast("int")).alias("part"),
+        *kind, "id_s", "s", "la", "lb", "piece", F.substring("s", (start + 1).cast("int"), size.cast("int")).alias("part")
     )
     long = (
-        names.select(
-            "investigation_id", "type", F.col("id").alias("id_l"), F.col("name").alias("_name"), F.col("n").alias("lb"),
-            F.explode(F.sequence(shortest, n)).alias("la"),
-        )
-        .where(_least_grams(F.col("la"), F.col("lb"), t) < 1)
-        .withColumn("_u", slack(F.col("la"), F.col("lb")))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_u"))))
-    )
-    start, size = _pieces(F.col("la"), F.col("_u") + 1, F.col("piece"))
-    extra = F.col("lb") - F.col("la")
-    back = F.floor((F.col("_u") - extra) / 2)
-    ahead = F.floor((F.col("_u") + extra) / 2)
-    low = F.greatest(F.lit(0), start - back)
-    high = F.least(F.col("lb") - size, start + ahead)
+        names.select(*kind, F.col("id").alias("id_l"), F.col("name").alias("l"), n.alias("lb"),
+                     F.explode(F.sequence(shortest, n)).alias("la"))
+        .where(_least_grams(la, lb, t) < 1)
+        .withColumn("_u", _slack(la, lb, t))
+        .withColumn("piece", F.explode(F.sequence(F.lit(0), u)))
+    )
+    extra = lb - la
+    low = F.greatest(F.lit(0), start - F.floor((u - extra) / 2))
+    high = F.least(lb - size, start + F.floor((u + extra) / 2))
     long = (
-        long.where(F.col("_u") >= extra)
-        .withColumn("_low", low)
-        .withColumn("_high", high)
-        .withColumn("_size", size.cast("int"))
+        long.where(u >= extra)
+        .withColumns({"_low": low, "_high": high, "_size": size.cast("int")})
         .where(F.col("_low") <= F.col("_high"))
         .withColumn("_at", F.explode(F.sequence("_low", "_high")))
         .select(
-            "investigation_id", "type", "id_l", "la", "lb", "piece",
-            F.substring("_name", (F.col("_at") + 1).cast("int"), F.col("_size")).alias("part"),
+            *kind, "id_l", "l", "la", "lb", "piece",
+            F.substring("l", (F.col("_at") + 1).cast("int"), F.col("_size")).alias("part"),
         )
         .distinct()
     )
-    on = ["investigation_id", "type", "la", "lb", "piece", "part"]
-    met = short.join(long, on).where(F.col("id_s") != F.col("id_l"))
-    pairs = met.select(
-        "investigation_id", "type", F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b")
-    )
-    pairs = pairs.unionByName(by_gram).distinct()
-    facts = names.select("investigation_id", "id", "name", _character_tokens(F.col("name")).alias("tokens"))
-    a = facts.select("investigation_id", F.col("id").alias("id_a"), F.col("name").alias("a"), F.col("tokens").alias("ta"))
-    b = facts.select("investigation_id", F.col("id").alias("id_b"), F.col("name").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, ["investigation_id", "id_a"]).join(b, ["investigation_id", "id_b"])
-    # A replaced character counts once here and twice among the unmatched ones.
-    near = slack(F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b")))
-    both = both.where(F.levenshtein("a", "b") <= near)
-    common = F.size(F.array_intersect("ta", "tb"))
-    likely = both.where(2 * common >= t * (F.length("a") + F.length("b")) - eps)
-    scored = likely.withColumn("similarity", _ratio("a", "b"))
-    return scored.where(F.col("similarity") >= t).select(
-        "investigation_id", "type", "id_a", "id_b", "similarity"
+    met = short.join(long, [*kind, "la", "lb", "piece", "part"]).where(
+        (F.col("id_s") != F.col("id_l")) & (F.levenshtein("s", "l") <= _slack(la, lb, t))
+    )
+    first = F.col("id_s") < F.col("id_l")
+    return met.select(
+        *kind,
+        F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b"),
+        F.when(first, F.col("s")).otherwise(F.col("l")).alias("a"),
+        F.when(first, F.col("l")).otherwise(F.col("s")).alias("b"),
+    ).distinct()
+
+
+def similar_entities(
+    ents: DataFrame, threshold: float = SIMILARITY, normalize: bool = False, types: list[str] | None = None
+) -> DataFrame:
+    """Pairs of entities of one investigation and type whose names are at least ``threshold`` alike.
+
+    Candidates come from equi-joins that lose no pair. A ratio of t over lengths la <= lb leaves at most
+    u = (1 - t)(la + lb) unmatched characters, so at least so many grams are shared, and names meet by grams; where
+    lengths and threshold guarantee none, by pieces. The edit distance bounds the ratio from above, since a replaced
+    character counts once there and twice among the unmatched ones: it is compared where names meet, before pairs are
+    kept, and few pairs are left for the exact ratio (``operators.matching``).
+    """
+    text = values.comparison_key(F.col("type"), F.col("value")) if normalize else F.col("value")
+    names = (
+        ents.where(F.col("type").isin(types or FUZZY_TYPES))
+        .select("investigation_id", "type", "id", F.lower(text).alias("name"))
+        .where(F.col("name") != "")
+        .withColumn("n", F.length("name"))
     )
+    kind = ["investigation_id", "type"]
+    pairs = _gram_pairs(names, kind, threshold).unionByName(_piece_pairs(names, kind, threshold))
+    scored = pairs.withColumn("similarity", _ratio("a", "b"))
+    return scored.where(F.col("similarity") >= threshold).select(*kind, "id_a", "id_b", "similarity")
 
 
 def similarity_edges(pairs: DataFrame, seen_at: Column | None = None) -> DataFrame:

@@ -6,10 +6,11 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from linkloom import schemas
-from linkloom.operators import resolve, score
+from linkloom.operators import matching, resolve, score
 from linkloom.operators.ordering import numbered
 
 T0 = dt.datetime(2024, 1, 1)
@@ -157,3 +158,30 @@ def test_scores_stay_in_range_and_order(spark):
     assert old["domain:three.com"] < fresh["domain:three.com"]
     low = score.score_entities(ents, "2024-01-02 00:00:00", {"dns": 0.1}).where("id = 'domain:one.com'").first()
     assert abs(low.confidence - 0.1 * 0.8) < 1e-9
+
+
+def test_ratios_as_the_library(spark):
+    """Blocks found for many pairs at once are those that the standard library finds pair by pair."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(size)))
+             for alphabet in ("ab", "abcdef 01", "aä日𝄞") for size in (3, 9, 30) for _ in range(60)]
+    texts += ["", "x" * 250, "xy" * 130, "user000123", "user000132"]
+    left = pd.Series([rng.choice(texts) for _ in range(3000)])
+    right = pd.Series([rng.choice(texts) for _ in range(3000)])
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)]
+    assert matching.ratios(left, right).tolist() == want
+    assert matching.ratios(left[:0], right[:0]).tolist() == []
+
+
+def test_names_with_a_common_stem(spark, monkeypatch):
+    """All names share most grams, and the groups that meet by a gram are cut into blocks."""
+    monkeypatch.setattr(resolve, "BLOCK_SIZE", 25)
+    names = [f"user{k:05d}" for k in range(0, 400, 3)] + ["user12", "usr00012", "useer00021"]
+    df = spark.createDataFrame([("i", "Username", f"username:{n}", n) for n in names], "investigation_id string, type string, id string, value string")
+    got = [(r.id_a, r.id_b) for r in resolve.similar_entities(df).collect()]
+    want = set()
+    for a in names:
+        for b in names:
+            if f"username:{a}" < f"username:{b}" and SequenceMatcher(None, a, b).ratio() >= 0.85:
+                want.add((f"username:{a}", f"username:{b}"))
+    assert len(got) == len(set(got)) and set(got) == want and want
