@@ -124,7 +124,7 @@ def _(spark, d):
     FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0""",
 )
 def _(spark, d):
-    """Rules written as one JSON object, one in five of them switched off, one in seven without a name; read back."""
+    """Rules written as JSON objects, one in five of them switched off, one in seven without a name; read back."""
     rule = """named_struct('name', if(s_suppkey % 7 = 0, NULL, s_name),
       'url_pattern', 'https://s.example/' || s_suppkey || '/{username}', 'enabled', s_suppkey % 5 <> 0,
       'success_indicators', named_struct('status_codes', array(200), 'body_contains', array(s_name, 'profile'),
@@ -133,8 +133,8 @@ def _(spark, d):
         'body_contains', array('gone'), 'body_not_contains', CAST(array() AS ARRAY<STRING>)))"""
     rows = table(spark, d, "supplier").selectExpr("'k' || s_suppkey AS key", f"{rule} AS rule")
     path = _folder(spark, "platforms")
-    rows.selectExpr("to_json(map_from_entries(collect_list(struct(key, rule))))").write.text(path)
-    found = read_platforms(spark, path)
+    rows.selectExpr("to_json(map(key, rule))").write.text(path)
+    found = read_platforms(spark, path, lines=True)
     lists = ["fail_codes", "fail_body", "ok_codes", "must_have", "must_not"]
     return found.select("key", "name", "url_pattern", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in lists])
 
@@ -1191,3 +1191,132 @@ def _(spark, d):
     jobs.stream_correlate(stream, out, f"{out}-state", AS_OF, buckets=4, co_occurrence=False).awaitTermination()
     ents = jobs.correlated(spark, out, "entities")
     return ents.select("investigation_id", "id", "source_count", "evidence_count")
+
+
+# --- the same rows as they come ----------------------------------------------------------------------------------
+
+_LAST = "sentinel"
+
+
+def _in_slices(spark, rows, cuts):
+    """Yields a folder to which one slice of the rows after the other, by time, has been added; last come rows far ahead,
+    which close what is open."""
+    source = _folder(spark, "activity")
+    at = F.col("created_at")
+    bounds = [None, *[F.lit(c).cast("timestamp") for c in cuts], None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        some = rows
+        some = some if low is None else some.where(at >= low)
+        some = some if high is None else some.where(at < high)
+        some.write.mode("append").parquet(source)
+        yield source
+    for ahead in ("2030-01-01 00:00:00", "2031-01-01 00:00:00"):
+        end = spark.range(1).select(
+            F.lit(-1).cast("bigint").alias("id"), F.lit(_LAST).alias("investigation_id"), F.lit(_LAST).alias("event_type"),
+            F.lit("{}").alias("details"), F.lit(ahead).cast("timestamp").alias("created_at"),
+        )
+        end.write.mode("append").parquet(source)
+        yield source
+
+
+def _activity_times(spark, d):
+    return event_activity(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
+def _appended(spark, rows, build, cuts=("2024-01-11", "2024-01-21")):
+    """What a stream over the activity has appended after all its batches; the rows that close it are left out."""
+    out = _folder(spark, "stream")
+    schema = None
+    for source in _in_slices(spark, rows, cuts):
+        found = build(jobs.stream_activity(spark, source))
+        schema = found.schema
+        run = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+@query(
+    "x3_streamed_dedupe",
+    """WITH RECURSIVE f AS (SELECT DISTINCT 'inv-' || user_id AS investigation_id, epoch_us(ts) AS t FROM events),
+      nx AS (SELECT a.investigation_id, a.t, min(b.t) AS t2 FROM f a LEFT JOIN f b ON a.investigation_id = b.investigation_id
+        AND b.t >= a.t + 86400000000 GROUP BY ALL),
+      k AS (SELECT investigation_id, min(t) AS t FROM f GROUP BY ALL
+        UNION ALL SELECT k.investigation_id, nx.t2 FROM k JOIN nx USING (investigation_id, t) WHERE nx.t2 IS NOT NULL)
+    SELECT investigation_id, make_timestamp(t) AS created_at FROM k""",
+)
+def _(spark, d):
+    found = _appended(
+        spark, _activity_times(spark, d), lambda feed: jobs.stream_dedupe(feed, ["investigation_id"], "created_at", 86400)
+    )
+    return found.where(F.col("investigation_id") != _LAST).select("investigation_id", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query(
+    "x4_streamed_call_rates",
+    f"""{_E} SELECT time_bucket(INTERVAL 6 HOURS, created_at) AS start, event_type, count(*) AS calls FROM act
+    GROUP BY ALL""",
+)
+def _(spark, d):
+    found = _appended(
+        spark, _activity_times(spark, d), lambda feed: jobs.stream_rates(feed, "event_type", "created_at", "6 hours")
+    )
+    kept = found.where(F.col("event_type") != _LAST)
+    return kept.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "calls")
+
+
+@query(
+    "x6_streamed_activity_sessions",
+    f"""{_E}, g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS f
+        FROM act WINDOW w AS (PARTITION BY investigation_id ORDER BY created_at, id)),
+      s AS (SELECT *, sum(f) OVER (PARTITION BY investigation_id ORDER BY created_at, id) AS n FROM g)
+    SELECT investigation_id, min(created_at) AS start, max(created_at) + INTERVAL 12 HOURS AS "end", count(*) AS events
+    FROM s GROUP BY investigation_id, n""",
+)
+def _(spark, d):
+    found = _appended(
+        spark, _activity_times(spark, d), lambda feed: jobs.activity_sessions(feed, "12 hours", late="1 minute")
+    )
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")]
+    return found.where(F.col("investigation_id") != _LAST).select("investigation_id", *times, "events")
+
+
+def _reconciled(spark, d):
+    out, inv = _folder(spark, "reconciled"), event_investigations(spark, d)
+    for source in _in_slices(spark, _activity_times(spark, d).where("created_at < '2024-01-25'"), ()):
+        feed = jobs.stream_activity(spark, source)
+        jobs.stream_reconcile(feed, inv, out, f"{out}-state", 24 * 3600 * 1000).awaitTermination()
+    return jobs.reconciled(spark, inv, out)
+
+
+@query(
+    "x5_streamed_investigations",
+    f"""{_E} SELECT id, CASE WHEN status = 'running' AND id IN (SELECT investigation_id FROM act
+      WHERE created_at < TIMESTAMP '2024-01-25') THEN 'stopped' ELSE status END AS status FROM inv""",
+)
+def _(spark, d):
+    return _reconciled(spark, d)[0].select("id", "status")
+
+
+@query(
+    "x5_streamed_activity",
+    f"""{_E} SELECT investigation_id, 'investigation_reconciled' AS event_type,
+      date_trunc('millisecond', max(act.created_at)) + INTERVAL 1 DAY AS created_at FROM act JOIN inv
+      ON inv.id = investigation_id WHERE status = 'running' AND act.created_at < TIMESTAMP '2024-01-25' GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = _reconciled(spark, d)[1]
+    return rows.select("investigation_id", "event_type", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query(
+    "x7_streamed_call_budgets",
+    f"""{_E} SELECT id AS investigation_id, api_calls_used AS calls_used, greatest(0, api_budget - api_calls_used)
+      AS budget_left FROM inv""",
+)
+def _(spark, d):
+    out = _folder(spark, "budgets")
+    budgets = event_investigations(spark, d).selectExpr("id AS investigation_id", "api_budget")
+    for source in _in_slices(spark, _activity_times(spark, d), ("2024-01-11", "2024-01-21")):
+        feed = jobs.stream_activity(spark, source).withColumn("calls", F.lit(1))
+        jobs.stream_budgets(feed, budgets, out, f"{out}-state").awaitTermination()
+    return jobs.budgets_now(spark, out).select("investigation_id", "calls_used", "budget_left")

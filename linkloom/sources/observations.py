@@ -13,14 +13,18 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     return spark.read.schema(schemas.OBSERVATIONS).format(fmt).load(path)
 
 
-def read_platforms(spark: SparkSession, path: str) -> DataFrame:
-    """Enabled platform rules of a JSON object keyed by platform, by name; entries without name or URL are skipped."""
+def read_platforms(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Enabled platform rules of JSON objects keyed by platform, by name; entries without name or URL are skipped.
+
+    A file is one object, as small rule files are, or with ``lines`` has an object on every line, so that many tasks read
+    it.
+    """
     indicators = "STRUCT<status_codes ARRAY<INT>, body_contains ARRAY<STRING>, body_not_contains ARRAY<STRING>>"
     rule = (
         f"STRUCT<name STRING, url_pattern STRING, success_indicators {indicators}, "
         f"failure_indicators {indicators}, enabled BOOLEAN>"
     )
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=not lines)
     rows = whole.select(F.explode(F.from_json("value", f"MAP<STRING, {rule}>")).alias("key", "r"))
     usable = rows.where(
         F.col("r.name").isNotNull() & F.col("r.url_pattern").isNotNull() & F.coalesce("r.enabled", F.lit(True))

@@ -264,3 +264,82 @@ def stream_orphans(activity: DataFrame, timeout_ms: int, late: str = "1 minute")
             GroupStateTimeout.EventTimeTimeout,
         )
     )
+
+
+def stream_reconcile(
+    activity: DataFrame, investigations: DataFrame, out: str, checkpoint: str, timeout_ms: int, late: str = "1 minute",
+    buckets: int = 16,
+) -> StreamingQuery:
+    """Stops running investigations when event-time timers find them without activity for the time limit.
+
+    A batch appends the investigations that it stops and their activity rows, both under its number, so a batch that runs
+    twice changes nothing; ``reconciled`` reads both.
+    """
+    store = BatchStore(activity.sparkSession, out, buckets)
+
+    def add(found: DataFrame, batch: int) -> None:
+        running = investigations.where(F.col("status") == "running").select(F.col("id").alias("investigation_id"))
+        at = F.timestamp_millis(F.col("last_activity_ms") + timeout_ms)
+        stopped = found.join(running, "investigation_id").select("investigation_id", at.alias("stopped_at"))
+        stopped = stopped.persist()
+        try:
+            store.save(stopped, "stopped", batch)
+            rows = stopped.select(
+                "investigation_id", F.lit("investigation_reconciled").alias("event_type"),
+                F.lit(ORPHAN_DETAILS).alias("details"), F.col("stopped_at").alias("created_at"),
+            )
+            store.save(rows, "activity", batch)
+        finally:
+            stopped.unpersist()
+
+    orphans = stream_orphans(activity, timeout_ms, late)
+    run = orphans.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return run.trigger(availableNow=True).start()
+
+
+def reconciled(spark: SparkSession, investigations: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
+    """Investigations with those stopped that ``stream_reconcile`` has stopped, and the activity rows that say so; one
+    that was found again in a later batch counts once, the first time."""
+    store = BatchStore(spark, out, 0)
+    first = ["investigation_id"]
+    stopped = store.rows("stopped", _struct("investigation_id STRING, stopped_at TIMESTAMP")).groupBy(*first)
+    stopped = stopped.agg(F.min("stopped_at").alias("_at")).withColumnRenamed("investigation_id", "id")
+    updated = investigations.join(stopped, "id", "left")
+    gone = F.col("_at").isNotNull()
+    updated = updated.withColumns(
+        {
+            "status": F.when(gone, "stopped").otherwise(F.col("status")),
+            "updated_at": F.coalesce("_at", "updated_at"),
+        }
+    ).select(*investigations.columns)
+    ddl = "investigation_id STRING, event_type STRING, details STRING, created_at TIMESTAMP"
+    rows = store.rows("activity", _struct(ddl)).groupBy("investigation_id", "event_type", "details")
+    return updated, rows.agg(F.min("created_at").alias("created_at"))
+
+
+BUDGETS = "investigation_id STRING, calls_used BIGINT, api_budget INT, budget_left BIGINT"
+
+
+def stream_budgets(
+    activity: DataFrame, budgets: DataFrame, out: str, checkpoint: str, calls_col: str = "calls", buckets: int = 16
+) -> StreamingQuery:
+    """Running totals against budgets: each batch writes the rows of the investigations that it changed, joined to the
+    budgets as they are then, under its number. ``budgets_now`` reads the newest row of each."""
+    store = BatchStore(activity.sparkSession, out, buckets)
+    names = [x.split()[0] for x in BUDGETS.split(", ")]
+
+    def add(rows: DataFrame, batch: int) -> None:
+        joined = rows.join(budgets.select("investigation_id", F.col("api_budget").cast("int").alias("api_budget")), "investigation_id")
+        left = F.greatest(F.lit(0), F.col("api_budget") - F.col("calls_used")).cast("bigint")
+        store.save(joined.withColumn("budget_left", left).select(*names), "budgets", batch)
+
+    used = activity.groupBy("investigation_id").agg(F.sum(calls_col).cast("bigint").alias("calls_used"))
+    run = used.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint)
+    return run.trigger(availableNow=True).start()
+
+
+def budgets_now(spark: SparkSession, out: str) -> DataFrame:
+    rows = BatchStore(spark, out, 0).rows("budgets", _struct(BUDGETS))
+    names = [x.split()[0] for x in BUDGETS.split(", ")][1:]
+    newest = rows.groupBy("investigation_id").agg(F.max_by(F.struct(*names), "batch").alias("_r"))
+    return newest.select("investigation_id", "_r.*")
