@@ -19,14 +19,15 @@ from linkloom.catalog.derive import (
     graph,
     observations,
 )
-from linkloom.catalog.extracting import mentions_sql, text_scan_sql
+from linkloom.catalog.extracting import _EDGES, _LINKS, edges_sql, mentions_sql, text_scan_sql
 from linkloom.catalog.registry import query, table
-from linkloom.catalog.resolving import _RELS_SQL, _event_edges, event_entities
+from linkloom.catalog.resolving import _EMAIL_LINKS, _RELS_SQL, _event_edges, event_entities
 from linkloom.functions import values
 from linkloom.operators import browse, candidates, graph as graphs, link, pages, report, resolve
 from linkloom.sources import bundle, stix, tables
 from linkloom.sources.observations import read_platforms
 from linkloom.sources.reports import write_report
+from linkloom.session import cut_lineage
 from linkloom.streaming import jobs
 
 _E = f"WITH {EVENTS_SQL}"
@@ -1162,6 +1163,90 @@ def _(spark, d):
     return found["entities"].select("investigation_id", "id", F.round("confidence", 8).alias("confidence"))
 
 
+#: Accounts of the profile adapters: of every customer one per platform, all with one user name.
+_PROFILES_SQL = """pr AS (SELECT 'inv-' || c_nationkey AS inv, c_custkey AS k, c_nationkey AS n,
+    unnest(['github', 'gitlab', 'reddit', 'hackernews', CASE WHEN c_custkey % 4 <> 0 THEN 'keybase' END]) AS p FROM customer),
+  pm AS (SELECT inv, p || '-' || k AS obs, p, unnest([
+    {'id': 'username:user' || k, 'type': 'Username', 'value': 'user' || k, 'c': 0.8::DOUBLE},
+    CASE p WHEN 'keybase' THEN {'id': 'person:name' || k % 50 || ' family' || n, 'type': 'Person',
+      'value': 'Name' || k % 50 || ' Family' || n, 'c': 0.7::DOUBLE}
+      WHEN 'reddit' THEN {'id': 'person:user' || k, 'type': 'Person', 'value': 'user' || k, 'c': 0.7::DOUBLE} END,
+    CASE WHEN p IN ('github', 'gitlab') THEN {'id': 'email:user' || k || '@example.org', 'type': 'Email',
+      'value': 'user' || k || '@example.org', 'c': 0.8::DOUBLE} END,
+    CASE p WHEN 'gitlab' THEN {'id': 'organization:org ' || n, 'type': 'Organization', 'value': 'Org ' || n,
+      'c': 0.7::DOUBLE} END]) AS e FROM pr WHERE p IS NOT NULL)"""
+_EVERY = ["dns", "whois", "certificate_transparency", "http", "github", "gitlab", "keybase", "reddit", "hackernews",
+          "ip_to_asn", "threat_intel", "search", "username_probe"]
+_NEWS_SQL = f"""SELECT source AS investigation_id, 'newsfeed-' || doc_id AS observation_id, 'generic' AS source, id, type,
+    value, 0.85::DOUBLE AS confidence, '' AS properties FROM ({text_scan_sql('documents', 'doc_id, source')})"""
+_ALL_MENTIONS_SQL = f"""{_PROFILES_SQL}, am AS (SELECT investigation_id, observation_id, source, id, type, value, confidence,
+    properties FROM ({mentions_sql(*_EVERY)} UNION ALL {_NEWS_SQL})
+    UNION ALL SELECT inv, obs, p, e.id, e.type, e.value, e.c, '' FROM pm WHERE e IS NOT NULL)"""
+
+#: What ``correlate`` has made of all adapters by its defaults, per application and folder.
+_CORRELATED: dict[tuple[str, str], dict] = {}
+
+
+def _everything(spark, d):
+    from linkloom.plans.correlate import correlate
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CORRELATED:
+        # Provenance is kept of observations that UUIDs name.
+        h = F.md5(F.col("id").cast("binary"))
+        parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        obs = observations(spark, d).withColumn("id", F.concat_ws("-", *parts))
+        _CORRELATED[key] = {name: cut_lineage(t, keep=True) for name, t in correlate(obs, AS_OF).items()}
+    return _CORRELATED[key]
+
+
+@query(
+    "plan_all_entities",
+    f"""WITH {_ALL_MENTIONS_SQL}, x AS (SELECT investigation_id, id, min(type) AS type, min(value) AS value,
+        max(confidence) AS c FROM am GROUP BY ALL),
+      kept AS (SELECT investigation_id, type, value, arg_min(id, (-c, id)) AS id FROM x GROUP BY ALL),
+      e AS (SELECT x.investigation_id, x.type, x.value, list(DISTINCT am.source) AS s, count(DISTINCT observation_id) AS n
+        FROM am JOIN x USING (investigation_id, id) GROUP BY ALL)
+    SELECT kept.investigation_id, kept.id, kept.type, kept.value, CAST(len(s) AS INTEGER) AS source_count,
+      n AS evidence_count FROM kept JOIN e USING (investigation_id, type, value)""",
+)
+def _(spark, d):
+    found = _everything(spark, d)["entities"]
+    return found.select("investigation_id", "id", "type", "value", "source_count", "evidence_count")
+
+
+@query(
+    "plan_all_provenance",
+    f"""WITH {_ALL_MENTIONS_SQL} SELECT DISTINCT id AS entity_id, md5(observation_id) AS observation, investigation_id
+    FROM am""",
+)
+def _(spark, d):
+    found = _everything(spark, d)["entity_provenance"]
+    return found.select("entity_id", F.replace("observation_id", F.lit("-"), F.lit("")).alias("observation"), "investigation_id")
+
+
+@query(
+    "plan_all_relationships",
+    f"""WITH {_ALL_MENTIONS_SQL}, x AS (SELECT DISTINCT investigation_id, id FROM am),
+      st AS (SELECT DISTINCT investigation_id, id, source_id, target_id, relationship_type FROM
+        ({edges_sql(_EDGES, *_EDGES)})),
+      li AS (SELECT DISTINCT l.investigation_id, l.id, source_id, target_id, relationship_type FROM
+        ({edges_sql(_LINKS, *_LINKS)} UNION ALL {_EMAIL_LINKS}) l
+        JOIN x a ON a.investigation_id = l.investigation_id AND a.id = l.source_id
+        JOIN x b ON b.investigation_id = l.investigation_id AND b.id = l.target_id),
+      ac AS (SELECT DISTINCT inv, CASE e.type WHEN 'Person' THEN 'username_person:user' || k || ':' || e.id[8:]
+          ELSE 'username_email:user' || k || ':' || e.value END AS id, 'username:user' || k AS source_id, e.id AS target_id,
+        CASE e.type WHEN 'Person' THEN 'same_person' ELSE 'has_email' END AS relationship_type
+        FROM (SELECT *, regexp_extract(obs, '([0-9]+)$', 1) AS k FROM pm) WHERE e.type IN ('Person', 'Email'))
+    SELECT * FROM st UNION SELECT * FROM li UNION SELECT * FROM ac""",
+)
+def _(spark, d):
+    """Links between similar names and between accounts have queries of their own."""
+    rels = _everything(spark, d)["relationships"]
+    rels = rels.where((F.col("method") != "fuzzy_similarity") & ~F.col("id").startswith("cross_platform:"))
+    return rels.select("investigation_id", "id", "source_id", "target_id", "relationship_type")
+
+
 def _folder(spark, name):
     from linkloom.session import checkpoint_dir
 
