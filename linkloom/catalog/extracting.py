@@ -387,6 +387,88 @@ def _(spark, d):
     return extract.extract_all(observations(spark, d))[1].drop("seen_at")
 
 
+def _sensor(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An adapter of the caller's own: a host and the sensor that saw it."""
+    p = F.from_json("raw_response", "host STRING, sensor STRING")
+    rows = obs.select(
+        "investigation_id", F.col("id").alias("observation_id"), F.col("source_adapter").alias("source"),
+        F.col("collected_at").alias("seen_at"), p.alias("p"),
+    )
+    host, sensor = F.lower("p.host"), F.col("p.sensor")
+    keys = ["investigation_id", "observation_id", "source", "seen_at"]
+    none = F.create_map().cast("map<string,string>")
+    mentions = rows.select(
+        *keys, F.concat(F.lit("domain:"), host).alias("id"), F.lit("Domain").alias("type"), host.alias("value"),
+        F.lit(0.8).alias("confidence"), none.alias("properties"),
+    )
+    ends = rows.select(*keys, F.concat(F.lit("domain:"), host).alias("source_id"), F.concat(F.lit("sensor:"), sensor).alias("target_id"))
+    edges = ends.select(
+        "investigation_id", "observation_id", "seen_at", F.concat_ws(":", "source_id", F.lit("seen_by"), "target_id").alias("id"),
+        "source_id", "target_id", F.lit("seen_by").alias("relationship_type"), F.lit(0.6).alias("confidence"),
+        F.lit("sensor").alias("method"),
+    )
+    return mentions, edges
+
+
+def _sensed(spark, d):
+    """Mentions and edges of customers seen by sensors, beside those of a built-in adapter."""
+    rows = observations(spark, d, "reddit").unionByName(
+        observations(spark, d, "whois").withColumns(
+            {
+                "source_adapter": F.lit("sensor"),
+                "id": F.concat(F.lit("sensor-"), "id"),
+                "raw_response": F.to_json(F.struct(F.upper("target").alias("host"), F.col("investigation_id").alias("sensor"))),
+            }
+        )
+    )
+    extract.register_extractor("sensor", _sensor)
+    try:
+        return extract.extract_all(rows, adapters=["reddit"])
+    finally:
+        extract.unregister_extractor("sensor")
+
+
+@query(
+    "e18_own_extractor_entities",
+    mentions_sql("reddit")
+    + """ UNION ALL SELECT 'inv-' || c_nationkey, 'sensor-whois-' || c_custkey, 'sensor',
+      'domain:c' || c_custkey || '.example.com', 'Domain', 'c' || c_custkey || '.example.com', 0.8::DOUBLE, '' FROM customer""",
+)
+def _(spark, d):
+    return shown(_sensed(spark, d)[0])
+
+
+@query(
+    "e18_own_extractor_edges",
+    """SELECT 'inv-' || c_nationkey AS investigation_id, 'sensor-whois-' || c_custkey AS observation_id,
+      'domain:c' || c_custkey || '.example.com:seen_by:sensor:inv-' || c_nationkey AS id,
+      'domain:c' || c_custkey || '.example.com' AS source_id, 'sensor:inv-' || c_nationkey AS target_id,
+      'seen_by' AS relationship_type, 0.6::DOUBLE AS confidence, 'sensor' AS method FROM customer""",
+)
+def _(spark, d):
+    return _sensed(spark, d)[1].drop("seen_at")
+
+
+@query(
+    "e6_large_certificate_payloads",
+    """SELECT 'inv-' || n AS investigation_id, 'certificate:' || n || '-' || unnest(range(150)) AS id FROM
+      (SELECT n_nationkey AS n FROM nation) UNION ALL SELECT 'inv-' || n_nationkey, 'domain:n' || n_nationkey
+      || '.example.com' FROM nation UNION ALL SELECT 'inv-' || n, 'subdomain:h' || unnest(range(150)) || '.n' || n
+      || '.example.com' FROM (SELECT n_nationkey AS n FROM nation) UNION ALL SELECT 'inv-' || n_nationkey,
+      'organization:CA' FROM nation""",
+)
+def _(spark, d):
+    """Payloads of 150 certificates: none is left out."""
+    cert = """named_struct('id', n_nationkey || '-' || k, 'issuer_name', 'O=CA', 'name_value',
+      'h' || k || '.n' || n_nationkey || '.example.com')"""
+    rows = table(spark, d, "nation").selectExpr(
+        "'o' || n_nationkey AS id", "'inv-' || n_nationkey AS investigation_id", "'certificate_transparency' AS source_adapter",
+        "timestamp'2024-01-01' AS collected_at", "'n' || n_nationkey || '.example.com' AS target",
+        f"to_json(named_struct('certificates', transform(sequence(0, 149), k -> {cert}))) AS raw_response",
+    )
+    return extract.extract_ct(rows)[0].select("investigation_id", "id").distinct()
+
+
 @query(
     "e2_header_technologies",
     """SELECT p_partkey, unnest(['technology:nginx 1.' || p_size, 'technology:php/8.' || p_size % 4]) AS technology_id,

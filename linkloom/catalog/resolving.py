@@ -478,6 +478,32 @@ def _(spark, d):
     return scored.select("investigation_id", "id", F.round("confidence", 8).alias("confidence"))
 
 
+_OWN_WEIGHT = "0.5 + (count(*) % 10) / 100.0"
+
+
+@query(
+    "c1a_own_source_weights",
+    f"""{_E}, {_PROPS.replace('{where}', '')}, w AS (SELECT event_type, {_OWN_WEIGHT} AS weight FROM events
+        WHERE event_type <> 'view' GROUP BY ALL),
+      r AS (SELECT investigation_id, id, avg(coalesce(weight, 0.75)::DOUBLE) AS trust FROM (SELECT investigation_id, id,
+        unnest(sources) AS s FROM ents) LEFT JOIN w ON w.event_type = s GROUP BY ALL),
+      scored AS (SELECT investigation_id, id, least(1.0::DOUBLE, trust
+        * least(1.0, 0.7 + CASE WHEN source_count >= 3 THEN 0.15 WHEN source_count = 2 THEN 0.1 ELSE 0.05 END
+          + CASE WHEN evidence_count >= 2 THEN 0.1 ELSE 0.05 END + least(0.05, 0.01 * coalesce(np, 0)))
+        * CASE WHEN source_count >= 3 THEN 1.15 WHEN source_count = 2 THEN 1.08 ELSE 1.0 END
+        * {_age('last_seen')}) AS confidence
+        FROM ents JOIN r USING (investigation_id, id) LEFT JOIN (SELECT investigation_id, id, count(DISTINCT p.key) AS np
+        FROM props GROUP BY ALL) USING (investigation_id, id))
+    SELECT investigation_id, id, round(confidence, 8) AS confidence FROM scored""",
+)
+def _(spark, d):
+    """Weights of sources from a table; one source keeps the default."""
+    own = table(spark, d, "events").where("event_type <> 'view'").groupBy(F.col("event_type").alias("source"))
+    own = own.agg(F.expr(_OWN_WEIGHT).alias("weight"))
+    scored = score.score_entities(event_entities(spark, d), AS_OF, own)
+    return scored.select("investigation_id", "id", F.round("confidence", 8).alias("confidence"))
+
+
 @query(
     "c1_scored_collector_entities",
     f"""WITH m AS ({mentions_sql('dns', 'whois', 'github')}), e AS (SELECT investigation_id, id,

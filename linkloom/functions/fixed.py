@@ -34,6 +34,20 @@ CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 # --- Fixed values: networks and names that count as internal -----------------------------------------------------
 INTERNAL_IPV4 = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16"]
+# In free text the first form that fits counts.
+IPV6_TEXT = (
+    r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+    r"|(?:[0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}"
+    r"|(?:[0-9a-fA-F]{1,4}:){1,5}(?::[0-9a-fA-F]{1,4}){1,2}"
+    r"|(?:[0-9a-fA-F]{1,4}:){1,4}(?::[0-9a-fA-F]{1,4}){1,3}"
+    r"|(?:[0-9a-fA-F]{1,4}:){1,3}(?::[0-9a-fA-F]{1,4}){1,4}"
+    r"|(?:[0-9a-fA-F]{1,4}:){1,2}(?::[0-9a-fA-F]{1,4}){1,5}"
+    r"|(?:[0-9a-fA-F]{1,4}:){1,1}(?::[0-9a-fA-F]{1,4}){1,6}"
+    r"|:(?::[0-9a-fA-F]{1,4}){1,7}"
+    r"|(?:[0-9a-fA-F]{1,4}:){1,7}:"
+    r"|::(?:[0-9a-fA-F]{1,4}:){0,4}[0-9a-fA-F]{1,4}"
+    r"|::"
+)
 INTERNAL_IPV6 = r"^(?:::1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"
 INTERNAL_HOSTS = ["localhost", "0.0.0.0", "metadata.google.internal", "169.254.169.254"]
 

@@ -969,6 +969,11 @@ def register_extractor(adapter: str, extractor: Extractor) -> None:
     _CUSTOM[adapter] = extractor
 
 
+def unregister_extractor(adapter: str) -> None:
+    """Takes an added adapter away; its observations are read as text again."""
+    _CUSTOM.pop(adapter, None)
+
+
 def _adapter_job(*adapters: str) -> Callable[..., tuple[DataFrame, DataFrame]]:
     def job(obs: DataFrame, max_certs: int | None = None) -> tuple[DataFrame, DataFrame]:
         def of(what: int) -> DataFrame:

@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from linkloom.functions import fixed
 
 
-def _lookup(weights: dict[str, float], key: Column) -> Column:
+#: Own weights of sources: by name, or a table (source, weight) of which the highest weight of a source counts.
+Overrides = dict[str, float] | DataFrame | None
+
+
+def _lookup(weights: dict[str, float], key: Column, own: Column | None = None) -> Column:
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, key), F.lit(fixed.DEFAULT_RELIABILITY))
+    found = F.coalesce(F.try_element_at(table, key), F.lit(fixed.DEFAULT_RELIABILITY))
+    return found if own is None else F.coalesce(F.try_element_at(own, key), found)
 
 
 def clamp(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def reliability(sources: Column, overrides: dict[str, float] | None = None) -> Column:
-    """Mean trust in the sources."""
+def own_weights(overrides: DataFrame) -> Column:
+    """A table (source, weight) as one map for all rows; there are no more sources than collectors."""
+    each = overrides.groupBy("source").agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("source", "weight")))).scalar()
+
+
+def reliability(sources: Column, overrides: dict[str, float] | None = None, own: Column | None = None) -> Column:
+    """Mean trust in the sources; a map ``own`` of weights comes before all others."""
     weights = {**fixed.SOURCE_RELIABILITY, **(overrides or {})}
-    total = F.aggregate(sources, F.lit(0.0), lambda acc, s: acc + _lookup(weights, s))
+    total = F.aggregate(sources, F.lit(0.0), lambda acc, s: acc + _lookup(weights, s, own))
     return F.when(F.size(sources) > 0, total / F.size(sources)).otherwise(F.lit(fixed.DEFAULT_RELIABILITY))
 
 
@@ -50,15 +61,19 @@ def _time(as_of: str | Column) -> Column:
     return F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
 
 
-def score_entities(ents: DataFrame, as_of: str | Column, overrides: dict[str, float] | None = None) -> DataFrame:
+def score_entities(ents: DataFrame, as_of: str | Column, overrides: Overrides = None) -> DataFrame:
     """Replaces ``confidence`` by reliability x quality x corroboration x recency."""
+    rows, trust = ents, None
+    if isinstance(overrides, DataFrame):
+        rows = ents.withColumn("_own", own_weights(overrides))
+        trust = reliability(F.col("sources"), own=F.col("_own"))
     score = (
-        reliability(F.col("sources"), overrides)
+        (trust if trust is not None else reliability(F.col("sources"), overrides))
         * quality(F.size("sources"), F.col("evidence_count"), F.size(F.map_keys("properties")))
         * corroboration(F.size(F.array_distinct("sources")))
         * recency(F.col("last_seen"), _time(as_of))
     )
-    return ents.withColumn("confidence", clamp(score))
+    return rows.withColumn("confidence", clamp(score)).select(*ents.columns)
 
 
 def score_relationships(rels: DataFrame, ents: DataFrame | None, as_of: str | Column) -> DataFrame:
@@ -83,7 +98,7 @@ def score_relationships(rels: DataFrame, ents: DataFrame | None, as_of: str | Co
 
 
 def score_all(
-    ents: DataFrame, rels: DataFrame, as_of: str | Column, overrides: dict[str, float] | None = None
+    ents: DataFrame, rels: DataFrame, as_of: str | Column, overrides: Overrides = None
 ) -> tuple[DataFrame, DataFrame]:
     """Entities first: edges are lifted by the new entity scores."""
     scored = score_entities(ents, as_of, overrides)

@@ -10,15 +10,6 @@ from linkloom.functions.once import built_once
 
 TEXT_CONFIDENCE = 0.85
 
-# Same alternatives the address rules accept, without anchors: the scan takes the first form that fits.
-_GROUP = r"[0-9a-fA-F]{1,4}"
-IPV6_TEXT = "|".join(
-    [rf"(?:{_GROUP}:){{7}}{_GROUP}"]
-    + [rf"(?:{_GROUP}:){{1,6}}:{_GROUP}"]
-    + [rf"(?:{_GROUP}:){{1,{6 - n}}}(?::{_GROUP}){{1,{n + 1}}}" for n in range(1, 5 + 1)]
-    + [rf":(?::{_GROUP}){{1,7}}", rf"(?:{_GROUP}:){{1,7}}:", rf"::(?:{_GROUP}:){{0,4}}{_GROUP}", "::"]
-)
-
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})" if group == 0 else pattern), F.lit(1))
@@ -33,7 +24,7 @@ def text_candidates(text: Column, exclude_email_domains: bool = False) -> Column
     """Distinct (type, standardized value) pairs found in a text, as an array."""
     edge, start, end = values.WORD_EDGE, values.WORD_START, values.WORD_END
     ipv4 = _guarded(_all(text, start + fixed.IPV4_TEXT + end), text.rlike(r"\d\.\d"))
-    ipv6 = _guarded(_all(text, IPV6_TEXT), text.contains(":") & text.rlike(r"::|(?:[0-9a-fA-F]{1,4}:){7}"))
+    ipv6 = _guarded(_all(text, fixed.IPV6_TEXT), text.contains(":") & text.rlike(r"::|(?:[0-9a-fA-F]{1,4}:){7}"))
     email = _guarded(_all(text, edge + fixed.EMAIL_TEXT + end), text.contains("@"))
     asn = _guarded(_all(text, "(?i)" + start + fixed.ASN_TEXT + end, 1), text.rlike(r"(?i)AS\d"))
     url = _guarded(_all(text, "(?i)" + fixed.URL_TEXT), text.contains("://"))

@@ -63,10 +63,10 @@ def test_incremental_correlation_equals_one_batch(spark, tmp_path):
 
     def run():
         stream = jobs.stream_observations(spark, source, files_per_trigger=1)
-        jobs.stream_correlate(stream, out, state, now, buckets=4, co_occurrence=True).awaitTermination()
+        jobs.stream_correlate(stream, out, state, now, buckets=4, fuzzy=False, co_occurrence=True).awaitTermination()
 
     run()
-    batch = correlate(spark.createDataFrame(rows + people, schemas.OBSERVATIONS), now, co_occurrence=True)
+    batch = correlate(spark.createDataFrame(rows + people, schemas.OBSERVATIONS), now, fuzzy=False, co_occurrence=True)
     same_tables(spark, out, batch)
     methods = {r.method for r in batch["relationships"].select("method").distinct().collect()}
     assert {"co_occurrence", "dns_a_record", ""} <= methods
@@ -78,7 +78,7 @@ def test_incremental_correlation_equals_one_batch(spark, tmp_path):
     late = [observation(20, "d1.example.com", "198.51.100.9"), profile(6, "hackernews", "AnnLee", **about)]
     spark.createDataFrame(late, schemas.OBSERVATIONS).coalesce(1).write.mode("append").parquet(source)
     run()
-    same_tables(spark, out, correlate(spark.createDataFrame(rows + people + late, schemas.OBSERVATIONS), now, co_occurrence=True))
+    same_tables(spark, out, correlate(spark.createDataFrame(rows + people + late, schemas.OBSERVATIONS), now, fuzzy=False, co_occurrence=True))
 
 
 def test_a_batch_that_runs_twice(spark, tmp_path):
