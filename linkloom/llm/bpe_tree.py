@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm.common import query, record_batch, table, texts
+from linkloom.llm.common import give_back, query, record_batch, table, texts
 
 #: Texts of up to so many characters, and pieces of up to so many bytes, are leaves of the tree.
 LEAF_CHARS = 4_096
@@ -199,6 +199,9 @@ def encoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 some = batch.slice(at, ROWS)
                 ids = [coder.encode(t.decode("utf-8", "replace")) for t in some.column("text").to_pylist()]
                 yield record_batch(schema, {"doc_id": some.column("doc_id"), "ids": ids})
+        # The worker may serve other stages next.
+        _CODERS.clear()
+        give_back()
 
     return texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
 

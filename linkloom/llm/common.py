@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -96,6 +98,16 @@ def batches_of(rows: Iterable, weigh: Callable, most: int) -> Iterator[list]:
 SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; a Python worker lives on after its task, and other stages use the same
+    executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into runs of rows of a bounded number and, but for a single longer text, of bounded bytes."""
     for batch in batches:
@@ -108,6 +120,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
             stop = min(max(stop, start + 1), start + SLICE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def record_batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:

@@ -24,6 +24,7 @@ from linkloom.llm.common import (
     free_name,
     query,
     record_batch,
+    slices,
     summed_counts,
     table,
     texts,
@@ -164,7 +165,7 @@ def _window_rows(items: DataFrame, sizes: list[int] | None, wanted) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             # Only the words of one run of texts are held at a time.
             split = ((doc_id, words(t)) for doc_id, t in zip(ids, batch.column("text").to_pylist(), strict=True))
