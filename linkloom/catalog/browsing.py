@@ -999,6 +999,137 @@ def _(spark, d):
     )
 
 
+@query(
+    "s4_stix_relationships",
+    f"""{_E}, k AS (SELECT *, CASE type WHEN 'Domain' THEN 'domain-name' WHEN 'IP' THEN 'ipv4-addr' WHEN 'Email'
+        THEN 'email-addr' ELSE 'identity' END AS kind FROM ents),
+      e AS (SELECT *, sha1({_NS} || encode(kind || ':' || investigation_id || ':' || value)) AS h0 FROM k),
+      t AS (SELECT investigation_id, 'user:' || investigation_id AS source_ref, confidence,
+        kind || '--' || {_UUID5.format(h='h0')} AS target_ref FROM e),
+      r AS (SELECT *, sha1({_NS} || encode('relationship:' || investigation_id || ':' || source_ref || ':related-to:'
+        || target_ref)) AS h FROM t)
+    SELECT investigation_id, 'relationship--' || {_UUID5.format(h='h')} AS id, 'related-to' AS relationship_type, source_ref,
+      target_ref, floor(confidence * 100 + 1e-9)::INT AS confidence FROM r""",
+)
+def _(spark, d):
+    objects = stix.to_stix(event_entities(spark, d), _event_edges(spark, d), F.lit(AS_OF).cast("timestamp"))
+    fields = ["relationship_type", "source_ref", "target_ref"]
+    return objects.where("type = 'relationship'").select(
+        "investigation_id", "id", *[F.get_json_object("object", f"$.{x}").alias(x) for x in fields],
+        F.get_json_object("object", "$.confidence").cast("int").alias("confidence"),
+    )
+
+
+@query(
+    "s1_observation_records",
+    f"""{_E} SELECT id, investigation_id, source_adapter, collected_at, method, target, normalized_value, confidence, status
+    FROM obs""",
+)
+def _(spark, d):
+    """Observations written as JSON and read back, row by row."""
+    from linkloom.sources.observations import read_observations
+
+    path = _folder(spark, "observations")
+    event_observations(spark, d).withColumns(
+        {c: F.col(c).cast("timestamp") for c in ("collected_at", "created_at")}
+    ).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return read_observations(spark, path, "json").select(
+        "id", "investigation_id", "source_adapter", F.col("collected_at").cast("timestamp_ntz").alias("collected_at"), "method",
+        "target", "normalized_value", "confidence", "status",
+    )
+
+
+def _imported(spark, d, name):
+    """A table of an export read back, with the name of its investigation."""
+    back = bundle.import_lines(bundle.export_bundle(_model(spark, d)), "check", F.lit(AS_OF).cast("timestamp"))
+    names = back["investigations"].select(F.col("id").alias("investigation_id"), "name")
+    return back[name].join(names, "investigation_id")
+
+
+@query(
+    "s2_imported_entities",
+    f"""{_E} SELECT name, type, value, e.confidence, source_count::INT AS source_count FROM ents e
+    JOIN inv ON inv.id = e.investigation_id""",
+)
+def _(spark, d):
+    return _imported(spark, d, "entities").select("name", "type", "value", "confidence", "source_count")
+
+
+@query(
+    "s2_imported_observations",
+    f"""{_E} SELECT name, source_adapter, method, obs.target, normalized_value, confidence, obs.status FROM obs
+    JOIN inv ON inv.id = obs.investigation_id""",
+)
+def _(spark, d):
+    return _imported(spark, d, "observations").select(
+        "name", "source_adapter", "method", "target", "normalized_value", "confidence", "status"
+    )
+
+
+@query(
+    "s2_imported_activity",
+    f"""{_E} SELECT name, event_type, details FROM act JOIN inv ON inv.id = act.investigation_id""",
+)
+def _(spark, d):
+    return _imported(spark, d, "activity_log").select("name", "event_type", "details")
+
+
+@query(
+    "s3_exported_records",
+    f"""{_E} SELECT id AS investigation_id, 'investigation' AS section, id AS record_id, NULL::DOUBLE AS confidence FROM inv
+      UNION ALL SELECT investigation_id, 'observations', id, confidence FROM obs
+      UNION ALL SELECT investigation_id, 'entities', id, confidence FROM ents
+      UNION ALL SELECT investigation_id, 'relationships', 'user:' || investigation_id || ':uses:' || id, confidence FROM ents
+      UNION ALL SELECT investigation_id, 'activity_log', '' || id, NULL FROM act""",
+)
+def _(spark, d):
+    record = [F.get_json_object("record", f"$.{x}") for x in ("id", "confidence")]
+    return bundle.export_bundle(_model(spark, d)).select(
+        "investigation_id", "section", record[0].alias("record_id"), record[1].cast("double").alias("confidence")
+    )
+
+
+@query(
+    "a14_graph_edges",
+    f"""{_E} SELECT investigation_id, 'user:' || investigation_id AS source_id, 'uses' AS relationship_type,
+      id AS target_id, confidence FROM ents""",
+)
+def _(spark, d):
+    return report.graph_summary(event_entities(spark, d), _event_edges(spark, d))[1]
+
+
+@query(
+    "a14_graph_counts",
+    f"""{_E} SELECT investigation_id, count(*) AS total_nodes, count(*) AS total_edges FROM ents GROUP BY ALL""",
+)
+def _(spark, d):
+    return report.graph_summary(event_entities(spark, d), _event_edges(spark, d))[2]
+
+
+@query(
+    "q4_entity_context_rows",
+    f"""{_E}, {_RELS_SQL} SELECT investigation_id, source_id AS seed, 'relationships' AS part,
+      source_id || ':uses:' || target_id AS id FROM edges
+    UNION ALL SELECT investigation_id, target_id, 'relationships', source_id || ':uses:' || target_id FROM edges
+    UNION ALL SELECT investigation_id, source_id, 'related', target_id FROM edges
+    UNION ALL SELECT investigation_id, id, 'entities', id FROM ents""",
+)
+def _(spark, d):
+    """The edges and neighbours of every entity, and the entities themselves, row by row."""
+    ents, rels = event_entities(spark, d), _event_edges(spark, d)
+    users = rels.select("investigation_id", F.col("source_id").alias("id")).distinct()
+    everyone = ents.unionByName(users, allowMissingColumns=True)
+    prov = resolve.entity_provenance(event_mentions(spark, d), uuid_only=False)
+    known = everyone.select("investigation_id", "id")
+    found = browse.entity_context(everyone, rels, prov, event_observations(spark, d), known)
+    edges = found["relationships"].select("investigation_id", "seed", F.lit("relationships").alias("part"), "id")
+    near = found["related"].where("type IS NOT NULL").select("investigation_id", "seed", F.lit("related").alias("part"), "id")
+    own = found["entities"].where("type IS NOT NULL")
+    return edges.unionByName(near).unionByName(
+        own.select("investigation_id", F.col("id").alias("seed"), F.lit("entities").alias("part"), "id")
+    )
+
+
 def _halves(spark, d):
     """The events before and after the middle of the month, as two runs."""
     rows = event_mentions(spark, d)
@@ -1405,3 +1536,70 @@ def _(spark, d):
         feed = jobs.stream_activity(spark, source).withColumn("calls", F.lit(1))
         jobs.stream_budgets(feed, budgets, out, f"{out}-state").awaitTermination()
     return jobs.budgets_now(spark, out).select("investigation_id", "calls_used", "budget_left")
+
+
+# --- correlation as observations come ----------------------------------------------------------------------------
+
+_STREAMED = ["dns", "gitlab", "reddit"]
+_STREAMED_SQL = f"""{_PROFILES_SQL}, am AS (SELECT investigation_id, observation_id, source, id, type, value, confidence
+    FROM ({mentions_sql(*_STREAMED)})
+    UNION ALL SELECT inv, obs, p, e.id, e.type, e.value, e.c FROM pm WHERE e IS NOT NULL AND p IN ('gitlab', 'reddit'))"""
+_STREAMS: dict[tuple[str, str], str] = {}
+
+
+def _streamed(spark, d, name):
+    """A table of a stream over DNS records and profiles, in three batches of which the second comes twice."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STREAMS:
+        source, out = _folder(spark, "observations"), _folder(spark, "correlated")
+        h = F.md5(F.col("id").cast("binary"))
+        parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        rows = observations(spark, d, *_STREAMED).withColumn("_at", F.pmod(F.xxhash64("id"), F.lit(3)))
+        rows = rows.withColumn("id", F.concat_ws("-", *parts))
+        for batch in (0, 1, 1, 2):
+            rows.where(F.col("_at") == batch).drop("_at").write.mode("append").parquet(source)
+            stream = jobs.stream_observations(spark, source)
+            jobs.stream_correlate(stream, out, f"{out}-state", AS_OF, buckets=4, fuzzy=False).awaitTermination()
+        _STREAMS[key] = out
+    return jobs.correlated(spark, _STREAMS[key], name)
+
+
+@query(
+    "x2_streamed_entities",
+    f"""WITH {_STREAMED_SQL}, x AS (SELECT investigation_id, id, min(type) AS type, min(value) AS value,
+        max(confidence) AS c FROM am GROUP BY ALL),
+      kept AS (SELECT investigation_id, type, value, arg_min(id, (-c, id)) AS id FROM x GROUP BY ALL),
+      e AS (SELECT x.investigation_id, x.type, x.value, count(DISTINCT am.source) AS s,
+        count(DISTINCT observation_id) AS n FROM am JOIN x USING (investigation_id, id) GROUP BY ALL)
+    SELECT kept.investigation_id, kept.id, kept.type, kept.value, CAST(s AS INTEGER) AS source_count, n AS evidence_count
+    FROM kept JOIN e USING (investigation_id, type, value)""",
+)
+def _(spark, d):
+    found = _streamed(spark, d, "entities")
+    return found.select("investigation_id", "id", "type", "value", "source_count", "evidence_count")
+
+
+@query(
+    "x2_streamed_relationships",
+    f"""WITH {_STREAMED_SQL}, ac AS (SELECT DISTINCT inv, CASE e.type WHEN 'Person' THEN 'username_person:user' || k || ':'
+          || e.id[8:] ELSE 'username_email:user' || k || ':' || e.value END AS id, 'username:user' || k AS source_id,
+        e.id AS target_id, CASE e.type WHEN 'Person' THEN 'same_person' ELSE 'has_email' END AS relationship_type
+        FROM (SELECT *, regexp_extract(obs, '([0-9]+)$', 1) AS k FROM pm WHERE p IN ('gitlab', 'reddit'))
+        WHERE e.type IN ('Person', 'Email'))
+    SELECT investigation_id, id, source_id, target_id, relationship_type FROM ({edges_sql(_EDGES, 'dns')})
+    UNION SELECT investigation_id, id, source_id, target_id, relationship_type FROM ({edges_sql(_LINKS, 'dns')})
+    UNION SELECT investigation_id, id, source_id, target_id, relationship_type FROM ({_EMAIL_LINKS})
+    UNION SELECT * FROM ac""",
+)
+def _(spark, d):
+    found = _streamed(spark, d, "relationships")
+    return found.select("investigation_id", "id", "source_id", "target_id", "relationship_type")
+
+
+@query(
+    "x2_streamed_provenance",
+    f"WITH {_STREAMED_SQL} SELECT DISTINCT id AS entity_id, md5(observation_id) AS observation, investigation_id FROM am",
+)
+def _(spark, d):
+    found = _streamed(spark, d, "entity_provenance")
+    return found.select("entity_id", F.replace("observation_id", F.lit("-"), F.lit("")).alias("observation"), "investigation_id")
