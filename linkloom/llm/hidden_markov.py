@@ -47,6 +47,9 @@ NOISE = 0.5
 PRIOR_WORDS = 20_000
 #: Training runs over stretches of so many words; a stretch inside a text starts in the long-run mix of states.
 STRETCH = 512
+#: Forward shares are brought back to a sum of 1 every so many words; what a few words come to is far from the least
+#: double.
+RESCALE = 8
 BATCH_TOKENS = 400_000
 BLOCK_BYTES = 12 << 20
 #: Expected counts are summed as whole numbers of this fraction, so that the sum does not depend on its order.
@@ -81,20 +84,29 @@ def _by_time(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, active, np.r_[0, np.cumsum(active)]
 
 
+def _rescaled(alpha: np.ndarray) -> np.ndarray:
+    """Divides every row by its sum, in place, and gives the sums."""
+    scale = alpha @ np.ones(alpha.shape[1])
+    alpha *= (1 / scale)[:, None]
+    return scale
+
+
 def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log probability of each class sequence, exact over its whole length."""
     order, active, _ = _by_time(starts, lengths)
     begin = starts[order]
     emit = np.ascontiguousarray(model.emit.T)
     total = np.zeros(len(order))
-    alpha = np.zeros((len(order), len(model.start)))
+    alpha = np.broadcast_to(model.start, (len(order), len(model.start)))
     for t, n in enumerate(active.tolist()):
-        alpha = (np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else alpha[:n] @ model.move) * emit[
-            classes[begin[:n] + t]
-        ]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        total[:n] += np.log(scale)
+        if t:
+            # Sequences that have ended add what has come together since they were rescaled last.
+            total[n : len(alpha)] += np.log(alpha[n:] @ np.ones(alpha.shape[1]))
+            alpha = alpha[:n] @ model.move
+        alpha = alpha * emit[classes[begin[:n] + t]]
+        if t % RESCALE == RESCALE - 1:
+            total[:n] += np.log(_rescaled(alpha))
+    total[: len(alpha)] += np.log(alpha @ np.ones(alpha.shape[1]))
     out = np.zeros(len(order))
     out[order] = total
     return out
@@ -112,31 +124,46 @@ def expected_and_likelihood(
     order, active, offset = _by_time(starts, lengths)
     begin = starts[order]
     states = len(model.start)
-    emit = np.ascontiguousarray(model.emit.T)
+    ones = np.ones(states)
     laid = np.concatenate([classes[begin[:n] + t] for t, n in enumerate(active.tolist())])
+    # Emissions first; on the way back each row is multiplied by what follows it.
+    ahead = np.ascontiguousarray(model.emit.T)[laid]
     alpha = np.empty((len(laid), states))
-    scales = np.empty(len(laid))
-    opening = np.where(first[order][:, None], model.start, model.long_run())
+    scales = {}
+    likelihood = 0.0
     for t, n in enumerate(active.tolist()):
         a, b = offset[t], offset[t + 1]
-        now = (opening[:n] if t == 0 else alpha[offset[t - 1] : offset[t - 1] + n] @ model.move) * emit[laid[a:b]]
-        scales[a:b] = now.sum(axis=1)
-        alpha[a:b] = now / scales[a:b, None]
+        now = alpha[a:b]
+        if t == 0:
+            now[:] = np.where(first[order][:, None], model.start, model.long_run())
+        else:
+            np.matmul(alpha[offset[t - 1] : offset[t - 1] + n], model.move, out=now)
+        now *= ahead[a:b]
+        if t % RESCALE == RESCALE - 1:
+            scales[t] = _rescaled(now)
+            likelihood += float(np.log(scales[t]).sum())
+    ends = alpha[offset[lengths[order] - 1] + np.arange(len(order))] @ ones
+    likelihood += float(np.log(ends).sum())
     moves = np.zeros((states, states))
+    back = np.ascontiguousarray(model.move.T)
     beta = np.ones((0, states))
     for t in range(len(active) - 1, -1, -1):
         a, b = offset[t], offset[t + 1]
-        here = np.ones((b - a, states))
-        if len(beta):
-            c, d = offset[t + 1], offset[t + 2]
-            ahead = emit[laid[c:d]] * beta / scales[c:d, None]
-            here[: d - c] = ahead @ model.move.T
-            moves += alpha[a : a + d - c].T @ ahead
+        going = len(beta)
+        here = np.empty((b - a, states))
+        here[going:] = (1 / ends[going : b - a])[:, None]
+        if going:
+            after = ahead[b : b + going]
+            after *= beta
+            if t + 1 in scales:
+                after *= (1 / scales[t + 1])[:, None]
+            np.matmul(after, back, out=here[:going])
+            moves += alpha[a : a + going].T @ after
         beta = here
         alpha[a:b] *= here
     begun = alpha[: offset[1]][first[order]].sum(axis=0)
     emits = np.stack([np.bincount(laid, weights=alpha[:, k], minlength=KINDS) for k in range(states)])
-    return Hmm(begun, moves * model.move, emits), float(np.log(scales).sum())
+    return Hmm(begun, moves * model.move, emits), likelihood
 
 
 def from_counts(counts: Hmm) -> Hmm:
@@ -253,6 +280,12 @@ def finished(counts: Hmm, words_of: Counts) -> Hmm:
     return model._replace(emit=emit / emit.sum(axis=1, keepdims=True))
 
 
+def _numbered(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of several texts, and for each word of theirs the place of its hash."""
+    flat = pa.array(np.concatenate(found)).dictionary_encode()
+    return flat.dictionary.to_numpy(), flat.indices.to_numpy()
+
+
 def in_blocks(docs: DataFrame) -> DataFrame:
     """(block, doc_id, text, train): texts dealt into blocks of about 12 MB by a hash of id and text."""
     rows = texts(docs)
@@ -277,10 +310,10 @@ def block_words(blocks: DataFrame) -> DataFrame:
             some = hashes.array(words(lower(text)))
             found.append(some)
             weights.append(np.full(len(some), train, np.int8))
-        distinct, place = np.unique(np.concatenate(found), return_inverse=True)
+        distinct, place = _numbered(found)
         counts = np.bincount(place, weights=np.concatenate(weights), minlength=len(distinct)).astype(np.int64)
         block = group.column("block")[0].as_py()
-        return pa.table([pa.array([block] * len(distinct), pa.int64()), distinct.view(np.int64), counts], schema=schema)
+        return pa.table([np.full(len(distinct), block, np.int64), distinct.view(np.int64), counts], schema=schema)
 
     return blocks.groupBy("block").applyInArrow(run, "block bigint, hash bigint, c bigint")
 
@@ -337,11 +370,16 @@ def scored(docs: DataFrame, *, states: int = STATES, rounds: int | None = None)
         hashes = Hashes()
         room = np.log10(np.maximum(words_of.room(), 1))
         whole = np.log10(words_of.n + words_of.v + 1)
+        found = [hashes.array(words(lower(text))) for text in left.column("text").to_pylist()]
+        distinct, place = _numbered(found)
+        # The vocabulary has every word of the block.
+        count_of = known_counts[np.searchsorted(known, distinct)]
+        class_of = np.where(count_of > 0, (distinct % np.uint64(CLASSES)).astype(np.int32), np.int32(UNSEEN))
+        ends = np.cumsum([len(f) for f in found])[:-1]
         sequences, rows = [], []
-        for text in left.column("text").to_pylist():
-            found, classes = token_classes(text, hashes)
-            c = np.append(known_counts[np.searchsorted(known, found)] if len(found) else [], words_of.tokens[END])
-            classes = np.where(c > 0, classes, UNSEEN)
+        for spots in np.split(place, ends):
+            c = np.append(count_of[spots], words_of.tokens[END])
+            classes = np.append(class_of[spots], np.int32(END if words_of.tokens[END] else UNSEEN))
             plain = np.log10(c + 1.0)
             sequences.append(classes)
             rows.append((len(c), int((c > 0).sum()), (plain - whole).sum(), (plain - room[classes]).sum()))

@@ -41,6 +41,39 @@ def test_recursions_against_all_state_paths():
     assert all(np.allclose(a, b) for a, b in zip(counts, want, strict=True))
 
 
+def plain_passes(model, classes):
+    """Forward and backward over one sequence, rescaled at every word: expected counts and the log likelihood."""
+    alpha, total = [], 0.0
+    for t, o in enumerate(classes):
+        now = (model.start if t == 0 else alpha[-1] @ model.move) * model.emit[:, o]
+        total += math.log(now.sum())
+        alpha.append(now / now.sum())
+    beta = np.ones(len(model.start))
+    move, emit = np.zeros_like(model.move), np.zeros_like(model.emit)
+    for t in range(len(classes) - 1, -1, -1):
+        share = alpha[t] * beta
+        emit[:, classes[t]] += share / share.sum()
+        if t:
+            pairs = alpha[t - 1][:, None] * model.move * (model.emit[:, classes[t]] * beta)
+            move += pairs / pairs.sum()
+            beta = model.move @ (model.emit[:, classes[t]] * beta)
+            beta /= beta.sum()
+    return move, emit, total
+
+
+def test_long_sequences_against_rescaling_at_every_word():
+    model = small_model(4, seed=7)
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 7, 8, 9, 16, 17, 300, 300, 511])
+    seqs = [rng.integers(0, H.KINDS, n).astype(np.int32) for n in lengths]
+    flat, starts = np.concatenate(seqs), np.cumsum(lengths) - lengths
+    want = [plain_passes(model, s) for s in seqs]
+    assert np.allclose(H.forward(model, flat, starts, lengths), [w[2] for w in want], rtol=1e-10)
+    counts, likelihood = H.expected_and_likelihood(model, flat, starts, lengths, np.ones(len(seqs), bool))
+    assert np.allclose(counts.move, sum(w[0] for w in want)) and np.allclose(counts.emit, sum(w[1] for w in want))
+    assert abs(likelihood - sum(w[2] for w in want)) < 1e-6
+
+
 def test_a_round_does_not_lower_the_likelihood():
     rng = np.random.default_rng(5)
     seqs = [rng.integers(0, 6, 40).astype(np.int32) + 10 * (k % 2) for k in range(12)]
