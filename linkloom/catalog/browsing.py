@@ -23,11 +23,11 @@ from linkloom.catalog.extracting import _EDGES, _LINKS, edges_sql, mentions_sql,
 from linkloom.catalog.registry import query, table
 from linkloom.catalog.resolving import _EMAIL_LINKS, _RELS_SQL, _event_edges, event_entities
 from linkloom.functions import values
-from linkloom.operators import browse, candidates, graph as graphs, link, pages, report, resolve
+from linkloom.operators import browse, candidates, graph as graphs, link, lookup, pages, report, resolve
 from linkloom.sources import bundle, stix, tables
 from linkloom.sources.observations import read_platforms
 from linkloom.sources.reports import write_report
-from linkloom.session import cut_lineage
+from linkloom.session import checkpoint_dir, cut_lineage
 from linkloom.streaming import jobs
 
 _E = f"WITH {EVENTS_SQL}"
@@ -329,6 +329,23 @@ def _(spark, d):
     return report.shared_values(rows)
 
 
+@query(
+    "a4_shared_values_by_sketches",
+    f"""WITH {EVENTS_SQL}, m AS (SELECT DISTINCT type, value, investigation_id FROM ents)
+    SELECT type, value, count(*) AS overlap_count, true AS within_error FROM m GROUP BY ALL HAVING count(*) > 1""",
+)
+def _(spark, d):
+    mentions = event_mentions(spark, d)
+    sketches = cut_lineage(report.value_sketches(mentions))
+    close = report.shared_values_of(sketches).withColumnRenamed("overlap_count", "estimate")
+    exact = report.shared_values(mentions)
+    # four standard errors
+    near = F.abs(F.col("estimate") - F.col("overlap_count")) <= 0.065 * F.col("overlap_count")
+    return exact.join(close, ["type", "value"], "left").select(
+        "type", "value", "overlap_count", F.coalesce(near, F.lit(False)).alias("within_error")
+    )
+
+
 @query(
     "a5_graph_stats",
     f"""{_E} SELECT investigation_id, count(*) AS total_nodes, count(*) AS total_edges FROM ents GROUP BY ALL""",
@@ -556,6 +573,23 @@ def _(spark, d):
     return browse.activity_page(event_activity(spark, d), 50, 10)
 
 
+@query(
+    "q5_activity_pages_by_key",
+    f"""{_E} SELECT id, investigation_id, event_type, details, created_at FROM act ORDER BY created_at DESC, id DESC
+    LIMIT 40 OFFSET 80""",
+)
+def _(spark, d):
+    folder = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    lookup.write_pages(event_activity(spark, d), folder, "created_at", "id", rows_per_part=500)
+    after = None
+    for _page in range(2):
+        seen = lookup.page_after(spark, folder, "created_at", "id", 40, after).orderBy("created_at", "id").first()
+        after = (seen["created_at"], seen["id"])
+    return lookup.page_after(spark, folder, "created_at", "id", 40, after).select(
+        "id", "investigation_id", "event_type", "details", "created_at"
+    )
+
+
 @query(
     "q6_observation_page",
     f"""{_E} SELECT id, source_adapter, target, collected_at FROM obs ORDER BY collected_at DESC, id DESC LIMIT 50""",
@@ -600,6 +634,29 @@ def _(spark, d):
     return browse.search_entities(ents, ["SMALL", "LARGE"], 0.4, " GEAR ").select("id", "value", "type")
 
 
+@query(
+    "q8_search_by_index",
+    """SELECT 'part:' || p_partkey AS id, p_name AS value, p_type AS type FROM part
+    WHERE contains(lower(p_name), 'gear') OR contains(lower(p_type), 'gear')""",
+)
+def _(spark, d):
+    ents = table(spark, d, "part").selectExpr("'part:' || p_partkey AS id", "p_name AS value", "p_type AS type")
+    folder = f"{checkpoint_dir(spark)}/grams-{uuid.uuid4().hex}"
+    lookup.add_to_index(ents, folder, ["value", "type"], ["id"])
+    return lookup.containing(ents, folder, " GEAR ", ["value", "type"], ["id"])
+
+
+@query(
+    "q9_search_by_index",
+    f"""{_E} SELECT id, name, target FROM inv WHERE contains(lower(target), 'u1') OR contains(lower(name), 'u1')""",
+)
+def _(spark, d):
+    rows = event_investigations(spark, d).select("id", "name", "target")
+    folder = f"{checkpoint_dir(spark)}/grams-{uuid.uuid4().hex}"
+    lookup.add_to_index(rows, folder, ["name", "target"], ["id"])
+    return lookup.containing(rows, folder, "U1", ["name", "target"], ["id"])
+
+
 @query(
     "q9_investigation_search",
     f"""{_E} SELECT id, name, target FROM inv WHERE status = 'paused' AND (contains(lower(target), 'u1')

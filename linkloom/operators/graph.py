@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import values
+from linkloom.operators.ordering import first_rows
 from linkloom.operators.resolve import edges_bidi
 from linkloom.session import cut_lineage
 
@@ -109,58 +112,80 @@ def entity_relationships(rels: DataFrame, ids: DataFrame, incident_only: bool =
     return at_source.unionByName(at_target)
 
 
+def _grown(front: DataFrame, links: DataFrame, forward: bool) -> DataFrame:
+    """Half paths one edge longer: forward ones at their last node, backward ones before their first."""
+    inv = "investigation_id"
+    here, there = ("from_id", "to_id") if forward else ("to_id", "from_id")
+    new = F.array(there)
+    longer = F.concat("path", new) if forward else F.concat(new, "path")
+    step = front.withColumnRenamed("node", here).join(links, [inv, here])
+    step = step.where(~F.array_contains("path", F.col(there)))
+    return step.select(inv, "end", F.col(there).alias("node"), longer.alias("path"))
+
+
+def _meeting(pairs: DataFrame, ahead: DataFrame, back: DataFrame) -> DataFrame:
+    """Paths of the pairs that consist of a half path from the source and one to the target that share their middle."""
+    inv = "investigation_id"
+    # Half paths that meet nothing are not multiplied by the targets of their source.
+    ahead = ahead.join(back.select(inv, "node").distinct(), [inv, "node"], "left_semi")
+    first = pairs.join(ahead.withColumnRenamed("end", "src"), [inv, "src"])
+    rest = back.select(inv, F.col("end").alias("dst"), "node", F.expr("slice(path, 2, size(path))").alias("_rest"))
+    return (
+        first.join(rest, [inv, "dst", "node"])
+        .where(~F.arrays_overlap("path", "_rest"))
+        .select(inv, "src", "dst", F.concat("path", "_rest").alias("path"))
+    )
+
+
 def paths(rels: DataFrame, pairs: DataFrame, max_hops: int = 4, keep: int | None = None) -> DataFrame:
     """All simple paths of at most ``max_hops`` edges between the pairs (investigation_id, src, dst).
 
-    A first pass walks backwards from the targets and notes how far each node is from them. The forward pass then only
-    grows a path when its end can still reach its target with the hops left, so dead ends are never carried along.
-    ``keep`` keeps that many paths per pair, shortest first; a pair that has them is not searched any further.
+    Half paths grow from every source and to every target, once however many pairs share it, and meet in the middle: a
+    path of L edges is a half of L/2 edges, rounded up, and one of the rest that share a node and no other. So
+    nothing longer than half a path is carried along. ``keep`` keeps that many paths per pair, shortest first; a pair
+    that has them is not searched any further.
     """
     if max_hops < 1:
         raise ValueError("max_hops must be 1 or more")
     inv = "investigation_id"
     links = _links(rels, max_hops)
-    targets = pairs.select(inv, F.col("dst")).distinct()
-    frontier = targets.select(inv, "dst", F.col("dst").alias("node"))
-    back = frontier.withColumn("left", F.lit(0))
-    for hop in range(1, max_hops + 1):
-        step = (
-            frontier.withColumnRenamed("node", "to_id")
-            .join(links, [inv, "to_id"])
-            .select(inv, "dst", F.col("from_id").alias("node"))
-            .distinct()
-        )
-        frontier = step.join(back.select(inv, "dst", "node"), [inv, "dst", "node"], "left_anti")
-        if hop > 1:
-            frontier = cut_lineage(frontier)
-        back = back.unionByName(frontier.withColumn("left", F.lit(hop)))
-    back = cut_lineage(back)
-    partial = pairs.select(inv, "src", "dst", F.col("src").alias("node"), F.array("src").alias("path")).distinct()
-    done = partial.where(F.col("src") == F.col("dst"))
-    growing = partial.where(F.col("src") != F.col("dst"))
-    for hop in range(1, max_hops + 1):
-        step = (
-            growing.withColumnRenamed("node", "from_id")
-            .join(links, [inv, "from_id"])
-            .where(~F.array_contains("path", F.col("to_id")))
-            .select(inv, "src", "dst", F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
-        )
-        able = back.where(F.col("left") <= max_hops - hop).select(inv, "dst", "node")
-        step = step.join(able, [inv, "dst", "node"], "left_semi")
-        if 1 < hop < max_hops:
-            step = cut_lineage(step)
-        done = done.unionByName(step.where(F.col("node") == F.col("dst")))
-        growing = step.where(F.col("node") != F.col("dst"))
-        if keep is not None and 1 < hop < max_hops:
+    pairs = pairs.select(inv, "src", "dst").distinct()
+    same = pairs.where(F.col("src") == F.col("dst")).select(inv, "src", "dst", F.array("src").alias("path"))
+    pairs = pairs.where(F.col("src") != F.col("dst"))
+    if max_hops > 2:
+        pairs = cut_lineage(pairs)
+
+    def ends(side: str) -> DataFrame:
+        return pairs.select(inv, F.col(side).alias("end")).distinct()
+
+    halves = {
+        side: [ends(side).select(inv, "end", F.col("end").alias("node"), F.array("end").alias("path"))]
+        for side in ("src", "dst")
+    }
+    reach_of = {"src": (max_hops + 1) // 2, "dst": max_hops // 2}
+    done = [same]
+    for hops in range(1, max_hops + 1):
+        side = "src" if hops % 2 else "dst"
+        front = halves[side][-1]
+        if keep is not None:
+            front = front.join(ends(side), [inv, "end"], "left_semi")
+        longer = _grown(front, links, side == "src")
+        grown = len(halves[side])
+        # A half that a longer one builds on is read several times.
+        halves[side].append(cut_lineage(longer) if 1 < grown < reach_of[side] else longer)
+        found = _meeting(pairs, halves["src"][(hops + 1) // 2], halves["dst"][hops // 2])
+        if keep is not None and 1 < hops < max_hops:
+            found = cut_lineage(found)
+        done.append(found)
+        if keep is not None and 1 < hops < max_hops:
             # All paths found later are longer.
-            full = done.groupBy(inv, "src", "dst").count().where(F.col("count") >= keep).drop("count")
-            growing = growing.join(full, [inv, "src", "dst"], "left_anti")
-    found = done.select(inv, "src", "dst", "path", (F.size("path") - 1).alias("hops"))
+            all_found = functools.reduce(DataFrame.unionByName, done)
+            full = all_found.groupBy(inv, "src", "dst").count().where(F.col("count") >= keep).drop("count")
+            pairs = cut_lineage(pairs.join(full, [inv, "src", "dst"], "left_anti"))
+    every = functools.reduce(DataFrame.unionByName, done)
+    found = every.select(inv, "src", "dst", "path", (F.size("path") - 1).alias("hops"))
     if keep is not None:
-        from pyspark.sql import Window as W
-
-        window = W.partitionBy(inv, "src", "dst").orderBy("hops", "path")
-        found = found.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= keep).drop("_n")
+        found = first_rows(found, [inv, "src", "dst"], [F.col("hops"), F.col("path")], keep)
     return found
 
 

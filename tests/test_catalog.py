@@ -26,6 +26,10 @@ SAMPLE = [
     "q3_entity_evidence",
     "v5_selected_candidates",
     "g4_paths",
+    "a4_shared_values_by_sketches",
+    "q5_activity_pages_by_key",
+    "q8_search_by_index",
+    "q9_search_by_index",
     "s4_stix_objects",
     "s4_stix_relationships",
     "c1a_own_source_weights",
