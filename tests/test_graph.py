@@ -83,6 +83,27 @@ def test_paths(spark, small):
     assert few.count() == sum(min(2, len(walk([a], b, 5))) for a, b in wanted)
 
 
+def test_long_paths_in_a_ladder(spark):
+    """Two rails with rungs between them: 8 hops lead over a node of each step, and each odd way ends on the other rail."""
+    edges = [(f"{r}{k}", f"{r}{k + 1}") for r in "ab" for k in range(8)] + [(f"a{k}", f"b{k}") for k in range(9)]
+    rels = spark.createDataFrame(
+        [(f"{a}:r:{b}", "i", a, b, "r", 0.5, 1, None, "m") for a, b in edges], schemas.RELATIONSHIPS
+    )
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def walk(path, dst, left):
+        if path[-1] == dst:
+            return [tuple(path)]
+        return [p for m in near[path[-1]] if left and m not in path for p in walk([*path, m], dst, left - 1)]
+
+    pairs = spark.createDataFrame([("i", "a0", "b5"), ("i", "a0", "a8"), ("i", "b2", "a4")], "investigation_id string, src string, dst string")
+    got = sorted(tuple(r.path) for r in graph.paths(rels, pairs, 8).collect())
+    assert got == sorted(walk(["a0"], "b5", 8) + walk(["a0"], "a8", 8) + walk(["b2"], "a4", 8))
+
+
 def test_edges_both_ways(spark, small):
     _ents, rels, _nodes, pairs, _adjacent = small
     assert resolve.edges_bidi(rels).count() == 2 * len(pairs)
