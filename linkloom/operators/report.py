@@ -55,7 +55,7 @@ def value_sketches(mentions: DataFrame, lg_k: int = 12) -> DataFrame:
     """Per type, value and day a sketch of the investigations that have the value, of bounded size.
 
     Sketches of new days are added without reading old ones. Counts from them are off by about 1.04 / sqrt(2 ** lg_k),
-    1.6 % at the default (one standard error); small counts are exact. ``shared_values`` stays the exact form.
+    1.6 % at the default (one standard error), and much less for small counts. ``shared_values`` stays the exact form.
     """
     day = F.to_date("seen_at").alias("day")
     return mentions.groupBy("type", "value", day).agg(F.hll_sketch_agg("investigation_id", lg_k).alias("sketch"))
