@@ -187,6 +187,40 @@ def test_names_with_a_common_stem(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_dense_investigations_are_counted_by_cells(spark, monkeypatch):
+    """No pair is shuffled, and all of them are counted, whatever the number of blocks."""
+    rnd = random.Random(3)
+    rows = [(inv, f"o{o}", f"e{e}") for inv in ("a", "b") for o in range(12) for e in rnd.sample(range(40), rnd.randrange(1, 40))]
+    rows += [("c", "o1", "e1"), ("c", "o1", "e2"), ("c", None, "e3"), (None, "o1", "e3")]
+    table = spark.createDataFrame(rows, "investigation_id string, observation_id string, entity_id string")
+    holds = defaultdict(set)
+    for inv, o, e in rows:
+        holds[inv, o].add(e)
+    shared, total = defaultdict(set), defaultdict(set)
+    for (inv, o), names in holds.items():
+        if inv and o:
+            for e in names:
+                total[inv, e].add(o)
+            for x, y in combinations(sorted(names), 2):
+                shared[inv, x, y].add(o)
+    want = {}
+    for (inv, x, y), seen in shared.items():
+        union = len(total[inv, x] | total[inv, y])
+        want[inv, x, y] = (len(seen), min(seen), round(max(0.3, min(0.9, 1.5 * len(seen) / union)), 9))
+    monkeypatch.setattr(resolve, "FEW_PAIRS", 10)
+    monkeypatch.setattr(resolve, "PAIRS_AT_ONCE", 50)
+    for cell in (4_000_000, 500):
+        monkeypatch.setattr(resolve, "CELL_PAIRS", cell)
+        found = resolve.co_occurrences(table.unionAll(table))
+        got = {
+            (r.investigation_id, r.source_id, r.target_id): (r.shared, r.observation_id, round(r.confidence, 9))
+            for r in found.collect()
+        }
+        assert got == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan
+
+
 def test_rules_for_names_run_once_a_name(spark):
     """Names are written before grams are cut out of them, so no later step holds the rule that makes them."""
     rows = spark.createDataFrame(
