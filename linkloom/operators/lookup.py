@@ -7,10 +7,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 #: Code points of the longest gram; a shorter search text is a gram itself.
 GRAM = 3
+#: Parts of a table of pages that one task writes.
+PARTS_PER_TASK = 64
+#: Rows of a task that ``monotonically_increasing_id`` can count.
+TASK_ROWS = 1 << 33
 
 
 # --- pages by key ------------------------------------------------------------------------------------------------
@@ -25,7 +29,13 @@ def write_pages(rows: DataFrame, folder: str, time_col: str, id_col: str, rows_p
     spark = rows.sparkSession
     parts = max(1, -(-rows.count() // rows_per_part))
     order = [F.desc(time_col), F.desc(id_col)]
-    placed = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    # A task writes many parts: tasks, and what a range partitioning samples for each, are what the driver hears of.
+    spread = rows.repartitionByRange(-(-parts // PARTS_PER_TASK), *order).sortWithinPartitions(*order)
+    # A row's number is that of its task and, in the last 33 bits, its place in the task.
+    numbered = spread.withColumn("_at", F.monotonically_increasing_id())
+    place = F.col("_at").bitwiseAND(F.lit(TASK_ROWS - 1))
+    part = F.col("_at") - place + F.floor(place / rows_per_part)
+    placed = numbered.withColumn("_part", part).drop("_at")
     placed.sortWithinPartitions("_part", *order).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/rows")
     # An empty table has no part to read its columns from.
     rows.limit(0).write.mode("overwrite").parquet(f"{folder}/columns")
@@ -35,9 +45,16 @@ def write_pages(rows: DataFrame, folder: str, time_col: str, id_col: str, rows_p
     bounds.coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts")
 
 
-def _written_pages(spark: SparkSession, folder: str) -> DataFrame:
+def _written_pages(spark: SparkSession, folder: str, parts: list[int] | None = None) -> DataFrame:
+    """The rows of all parts, or of some; only the folders of these are listed."""
     columns = spark.read.parquet(f"{folder}/columns").schema
-    return spark.read.schema(StructType(columns.fields).add("_part", IntegerType())).parquet(f"{folder}/rows")
+    whole = StructType(columns.fields).add("_part", LongType())
+    if parts is None:
+        return spark.read.schema(whole).parquet(f"{folder}/rows")
+    if not parts:
+        return spark.createDataFrame([], whole)
+    paths = [f"{folder}/rows/_part={k}" for k in parts]
+    return spark.read.schema(whole).option("basePath", f"{folder}/rows").parquet(*paths)
 
 
 def page_after(
@@ -50,21 +67,23 @@ def page_after(
     """
     if limit < 1:
         raise ValueError("limit must be 1 or more")
-    rows = _written_pages(spark, folder)
+    types = {f.name: f.dataType for f in spark.read.parquet(f"{folder}/columns").schema}
     parts = spark.read.parquet(f"{folder}/parts")
+    key = None
     if after is not None:
         # Nulls are the least values of a struct, as they come last in falling order.
-        types = {f.name: f.dataType for f in rows.schema}
         key = F.struct(F.lit(after[0]).cast(types[time_col]).alias("t"), F.lit(after[1]).cast(types[id_col]).alias("id"))
         parts = parts.where(F.col("last") < key)
-        rows = rows.where(F.struct(F.col(time_col).alias("t"), F.col(id_col).alias("id")) < key)
     # The first part may give as little as one row, so the page ends where the parts behind it have the others.
     nth = F.row_number().over(W.orderBy("_part"))
     behind = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     counted = parts.select("_part", nth.alias("k"), F.first("n").over(W.orderBy("_part")).alias("first"), behind.alias("b"))
     needed = counted.where((F.col("k") <= 2) | (F.col("b") - F.col("first") + 1 < limit))
     chosen = [r["_part"] for r in needed.select("_part").collect()]
-    return rows.where(F.col("_part").isin(chosen)).drop("_part").orderBy(F.desc(time_col), F.desc(id_col)).limit(limit)
+    rows = _written_pages(spark, folder, chosen).where(F.col("_part").isin(chosen))
+    if key is not None:
+        rows = rows.where(F.struct(F.col(time_col).alias("t"), F.col(id_col).alias("id")) < key)
+    return rows.drop("_part").orderBy(F.desc(time_col), F.desc(id_col)).limit(limit)
 
 
 # --- pieces of text ----------------------------------------------------------------------------------------------

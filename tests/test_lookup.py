@@ -35,6 +35,24 @@ def test_a_late_page_opens_few_parts(spark, tmp_path):
         assert "_part" in parts and parts.count(",") <= 4
 
 
+def test_few_tasks_write_many_parts(spark, tmp_path):
+    """Parts are as small as asked for, but neither tasks nor listed folders are as many as parts."""
+    folder = str(tmp_path / "pages")
+    rows = spark.range(3000).selectExpr("id", "timestamp_seconds(id) AS at")
+    spark.sparkContext.setJobGroup("pages", "")
+    lookup.write_pages(rows, folder, "at", "id", rows_per_part=10)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("pages") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("none", "")
+    parts = len([p for p in (tmp_path / "pages" / "rows").iterdir() if p.name.startswith("_part=")])
+    assert 300 <= parts <= 310
+    page = lookup.page_after(spark, folder, "at", "id", 10, (datetime.fromtimestamp(300), 300))
+    assert [r.id for r in page.collect()] == list(range(299, 289, -1))
+    assert len(page.inputFiles()) <= 4
+    # Only the table of parts is made from a listing of all their folders.
+    assert sum(n >= 290 for n in tasks) <= 1
+
+
 def test_pages_of_nothing(spark, tmp_path):
     folder = str(tmp_path / "pages")
     lookup.write_pages(spark.createDataFrame([], "id bigint, at timestamp"), folder, "at", "id")
