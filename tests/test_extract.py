@@ -230,3 +230,18 @@ def test_search_hits(spark):
     row = text.extract_search_hits(df).first()
     assert row.domains == ["b.org", "example.com", "x.io"]
     assert row.emails == ["a@b.org"] and row.urls == ["https://x.io/p?q=1"]
+
+
+def test_news_are_scanned_as_text(spark):
+    """An escaped line end is no letter of the address behind it."""
+    from linkloom.catalog.browsing import _newsfeed
+    from linkloom.plans.correlate import correlate
+
+    rows = observations(spark, ("newsfeed", "doc1", {"text": "write to\nthe.65@mail7.example.com"}))
+    extract.register_extractor("newsfeed", _newsfeed)
+    try:
+        found = correlate(rows, "2024-02-15 00:00:00")["entities"]
+    finally:
+        extract.unregister_extractor("newsfeed")
+    assert ids(found) == ["email:the.65@mail7.example.com"]
+    assert ids(correlate(rows, "2024-02-15 00:00:00")["entities"]) != ids(found)
