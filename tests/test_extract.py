@@ -232,6 +232,17 @@ def test_search_hits(spark):
     assert row.emails == ["a@b.org"] and row.urls == ["https://x.io/p?q=1"]
 
 
+def test_links_within_their_own_mentions(spark):
+    """One pass gives the links that two passes give."""
+    payloads = ("a.com", {"A": ["192.0.2.1"], "NS": ["ns.b.net"]}), ("x@c.org", {"A": ["192.0.2.2"]})
+    rows = observations(spark, *[("dns", *p) for p in payloads])
+    ents = extract.extract_dns(rows)[0].select("investigation_id", "id")
+    want = link.link_dns(rows, ents)
+    got = link.links_within(rows, "dns")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 0
+
+
 def test_news_are_scanned_as_text(spark):
     """An escaped line end is no letter of the address behind it."""
     from linkloom.catalog.browsing import _newsfeed
