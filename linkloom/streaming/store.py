@@ -20,11 +20,15 @@ class BatchStore:
     def __init__(self, spark: SparkSession, folder: str, buckets: int):
         self.spark, self.folder, self.buckets = spark, folder, buckets
 
-    def save(self, df: DataFrame, name: str, batch: int) -> None:
-        """Replaces what the batch has written into this table."""
+    def save(self, df: DataFrame, name: str, batch: int, gather: bool = False) -> None:
+        """Replaces what the batch has written into this table.
+
+        Each task writes its own file per bucket; to ``gather`` the rows of a bucket costs a shuffle, which a table that
+        stays is worth: it is written by as many tasks as the bucket needs, as one investigation may hold most rows.
+        """
         rows = df.withColumn("bucket", bucket_of("investigation_id", self.buckets)).withColumn("batch", F.lit(batch))
-        # A bucket is written by as many tasks as its rows need; one investigation may hold most of them.
-        placed = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "investigation_id")
+        rows = rows.hint("rebalance", F.col("bucket")) if gather else rows
+        placed = rows.sortWithinPartitions("bucket", "investigation_id")
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(
             f"{self.folder}/{name}"
         )
@@ -66,7 +70,7 @@ class BatchStore:
         or after leaves tables that read the same.
         """
         for name, (schema, merge) in tables.items():
-            self.save(merge(self.rows(name, schema, upto)).drop("batch"), name, -upto - 1)
+            self.save(merge(self.rows(name, schema, upto)).drop("batch"), name, -upto - 1, gather=True)
         at, fs = self._fs(f"{self.folder}/base/upto={upto}")
         fs.mkdirs(at)
         for name in tables:

@@ -1,9 +1,38 @@
 """What is read or grouped once stays so."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from linkloom.catalog.derive import observations
+from linkloom.operators import accounts, extract, partials
+from linkloom.streaming.store import BatchStore
 
 
 def test_entity_context_reads_stored_tables(spark, sf_dir):
     """The joins read entities and relationships, not the events that both are made from, time and again."""
     found = entry.queries()["q4_entity_context_rows"](spark, sf_dir)
     assert found.inputFiles() and not [f for f in found.inputFiles() if "events" in f]
+
+
+def test_sightings_are_grouped_once(spark, sf_dir):
+    """Pairs are columns of the sightings that entities are made from, those of accounts among them."""
+    obs = observations(spark, sf_dir, "gitlab", "reddit")
+    said = extract.said_in(obs, adapters=["gitlab", "reddit"])
+    now = F.lit("2024-02-01").cast("timestamp")
+    mentions, _ = accounts.account_entities(extract.accounts_of(said), now)
+    parts = partials.partials(said, mentions)
+    assert "Aggregate" not in parts.pairs._jdf.queryExecution().optimizedPlan().toString()
+    known = mentions.unionByName(extract.mentions_of(said)).select("investigation_id", "id", "observation_id").distinct()
+    assert parts.pairs.count() == known.count()
+    assert parts.entities.agg(F.sum("evidence_count")).first()[0] == known.count()
+
+
+def test_a_batch_is_saved_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(100).selectExpr("'inv' || id % 7 AS investigation_id", "id").repartition(3)
+    store = BatchStore(spark, str(tmp_path), 4)
+    store.save(rows, "rows", 0)
+    files = list(tmp_path.glob("rows/batch=0/bucket=*/*.parquet"))
+    tasks = {f.name.split("-")[1] for f in files}
+    assert len(tasks) == 3
+    kept = store.rows("rows", rows.schema).drop("batch")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
