@@ -1,5 +1,7 @@
 """What is read or grouped once stays so."""
 
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -14,6 +16,12 @@ def test_entity_context_reads_stored_tables(spark, sf_dir):
     assert found.inputFiles() and not [f for f in found.inputFiles() if "events" in f]
 
 
+def test_only_stating_adapters_are_read_for_edges(spark, sf_dir):
+    edges = extract.extract_all(observations(spark, sf_dir, "dns", "github"))[1]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter .*source_adapter#\d+ IN \(", plan)
+
+
 def test_sightings_are_grouped_once(spark, sf_dir):
     """Pairs are columns of the sightings that entities are made from, those of accounts among them."""
     obs = observations(spark, sf_dir, "gitlab", "reddit")
