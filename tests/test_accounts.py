@@ -73,6 +73,38 @@ def test_links_match_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_busy_and_other_user_names_are_linked_alike(spark, monkeypatch):
+    """Profiles meet each with each or by the keys of the rules: the links and their evidence are the same."""
+    rnd = random.Random(5)
+    names = "investigation_id observation_id platform username full_name email bio organization website location".split()
+    rows = [
+        (
+            "inv", f"o{i:03d}", rnd.choice(["github", "gitlab", "reddit"]), f"u{rnd.randrange(12)}",
+            *[rnd.choice([None, "", "x", "y"]) for _ in range(2)], rnd.choice([None, "", "likes green tea", "green tea, chess"]),
+            *[rnd.choice([None, "", "x", "y"]) for _ in range(3)],
+        )
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+
+    def links(few):
+        monkeypatch.setattr(accounts, "FEW_ACCOUNTS", few)
+        return sorted(tuple(r) for r in accounts.account_links(df).collect())
+
+    at_home, by_key = links(1000), links(0)
+    assert at_home == by_key and len(at_home) > 100
+
+
+def test_pairs_of_accounts_are_not_joined_with_profiles_again(spark):
+    """The joins left are those of user names with many accounts: sizes of keys on both sides, and the pairs."""
+    df = spark.createDataFrame([["x"] * 10], ", ".join(
+        f"{n} string" for n in "investigation_id observation_id platform username full_name email bio organization website "
+        "location".split()
+    ))
+    plan = accounts.account_links(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3
+
+
 def test_same_name_alone_is_not_enough(spark):
     df = spark.createDataFrame(
         [("i", f"o{p}", p, "me", "", "", "", "", "", "", "", 0.5) for p in ("github", "reddit")],

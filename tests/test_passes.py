@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from linkloom.catalog.derive import observations
-from linkloom.operators import accounts, extract, partials
+from linkloom.catalog.resolving import _accounts
+from linkloom.operators import accounts, extract, partials, resolve
 from linkloom.streaming.store import BatchStore
 
 
@@ -44,3 +45,15 @@ def test_a_batch_is_saved_without_a_shuffle(spark, tmp_path):
     assert len(tasks) == 3
     kept = store.rows("rows", rows.schema).drop("batch")
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_accounts_of_one_row_group_are_dealt_to_all_tasks(spark, sf_dir):
+    held = _accounts(spark, sf_dir).select(F.spark_partition_id().alias("task"), "observation_id").groupBy("task").count()
+    assert held.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_key_of_one_member_is_left_out_before_pairs_are_joined(spark):
+    members = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c")], "g string, m string")
+    pairs = resolve.member_pairs(members, ["g"], "m")
+    assert re.search(r"_n#\d+L > 1", pairs._jdf.queryExecution().optimizedPlan().toString())
+    assert [tuple(r) for r in pairs.collect()] == [("g", "a", "b")]
