@@ -124,3 +124,25 @@ def test_ends_are_looked_up_once_for_links_and_scores(spark):
         "gone": ("a", "b", 0.5, 0.7, 1, "m"),
     }
     assert score.score_between(partials.relationships(met, ents), NOW).count() == 5
+
+
+def test_a_cell_is_sent_names_once_and_returns_pairs_in_their_order():
+    """Memberships are places among the names of a block; pairs come sorted, so that what is written of them is small."""
+    import pyarrow as pa
+
+    names = {0: ["a", "c", "e"], 1: ["b", "d"]}
+    holds = [(0, "o1", [0, 1, 2]), (1, "o1", [0, 1]), (0, "o2", [2]), (1, "o2", [0])]
+    rows = [
+        {"investigation_id": "i", "_i": 0, "_j": 1, "_b": b, "observation_id": None, "_members": None,
+         "_names": [{"entity_id": n, "_n": 2} for n in names[b]]} for b in names
+    ] + [
+        {"investigation_id": "i", "_i": 0, "_j": 1, "_b": b, "observation_id": o, "_members": places, "_names": None}
+        for b, o, places in holds
+    ]
+    of = pa.schema([("investigation_id", pa.string()), ("_i", pa.int32()), ("_j", pa.int32()), ("_b", pa.int32()),
+                    ("observation_id", pa.string()), ("_members", pa.list_(pa.int32())),
+                    ("_names", pa.list_(pa.struct([("entity_id", pa.string()), ("_n", pa.int64())])))])
+    got = resolve._cell_pairs(pa.Table.from_pylist(rows, of)).to_pylist()
+    found = [(r["id_a"], r["id_b"], r["shared"], r["observation_id"]) for r in got]
+    assert found == [("a", "b", 1, "o1"), ("a", "d", 1, "o1"), ("b", "c", 1, "o1"), ("b", "e", 2, "o1"),
+                     ("c", "d", 1, "o1"), ("d", "e", 1, "o1")]
